@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,7 +181,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
             n = batch.num_rows
             hit, items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), [empty] * n
             spans = batch.column("matches")
-            sizes = pa.compute.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(sizes).tolist():
                 own = spans[k].as_py()
                 starts, lengths = np.array([s["start"] for s in own]), np.array([s["words"] for s in own])

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_substring_dedup": substring_dedup.op5,
         "op8_decontaminate": decontaminate.op8,
+        "op9_quality_rules": quality.op9,
     }
 
 
