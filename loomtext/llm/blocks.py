@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -30,6 +30,21 @@ def dealt(documents: DataFrame) -> DataFrame:
     return documents.withColumn("blk", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int"))
 
 
+def dealt_rows(documents: DataFrame, **more: Column) -> DataFrame:
+    """The block of each row and the row as one column, ``row``; texts are held once. ``more`` by name."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+    n = PER_PARTITION * partitions(documents.sparkSession)
+    return rows.withColumn("blk", F.pmod(F.xxhash64(F.col("row.doc_id").cast("long")), F.lit(n)).cast("int"))
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """A block of ``dealt_rows`` with doc_id and text as columns."""
+    row = table.column("row").combine_chunks()
+    fields = {f.name.lower(): f.name for f in row.type}
+    ids = pc.cast(pc.struct_field(row, fields["doc_id"]), pa.int64())
+    return table.append_column("doc_id", pa.chunked_array([ids])).append_column("text", pa.chunked_array([pc.cast(pc.struct_field(row, fields["text"]), pa.string())]))
+
+
 def cut_points(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where sorted 64-bit keys pass from one bucket's range to the next; buckets + 1 points."""
     step = (1 << 64) // buckets + 1

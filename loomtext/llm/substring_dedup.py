@@ -216,8 +216,9 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return _flags(table, ones, earlier, 1)
 
 
-def _remove(buckets: int, names: list[str], types: pa.Schema | None):
+def _remove(buckets: int):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = blocks.opened(table)
         block = Block(table)
         n = table.num_rows
         lengths, removed, changed, texts = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), []
@@ -241,8 +242,7 @@ def _remove(buckets: int, names: list[str], types: pa.Schema | None):
                 texts.append(_kept(run, d, out))
         old = table.column("text").combine_chunks()
         new = pc.replace_with_mask(old, pa.array(changed), pa.array(texts, old.type)) if texts else old
-        out = {c: table.column(c) for c in names} | {"kept_text": new, "n_words": pa.array(lengths), "n_removed": pa.array(removed)}
-        return pa.table(out)
+        return pa.table({"row": table.column("row"), "kept_text": new, "n_words": pa.array(lengths), "n_removed": pa.array(removed)})
 
     return remove
 
@@ -273,10 +273,9 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None) -> Data
     symbols_shared = scratch.write("symbols", blocks.answer(asked, _answer_symbols, answer))
     asked = blocks.resume(texts, symbols_shared, _send_windows(buckets), "bucket int, blk int, ones binary, twos binary, ids binary")
     windows_earlier = scratch.write("windows", blocks.answer(asked, _answer_windows, answer))
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    whole = blocks.dealt(whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")))
+    whole = blocks.dealt_rows(documents)
     schema = whole.select("row").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return blocks.resume(whole, symbols_shared.unionByName(windows_earlier), _remove(buckets, ["row"], None), schema)
+    return blocks.resume(whole, symbols_shared.unionByName(windows_earlier), _remove(buckets), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
