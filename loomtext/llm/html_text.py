@@ -55,6 +55,10 @@ TABLE = [
     (1, 0.0, 30, 0.0, 4, 0.0, 0, 1, 1, 0, 1), (90, 0.2, 2, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (25, 0.4, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1), (6, 0.5, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1),
     (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1, 0, 1), (200, 0.0, 10, 0.0, 8, 0.5, 0, 1, 1, 0, 1), (5, 1.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1),
     (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (7, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0, 1), (40, 0.0, 1, 1.0, 3, 0.5, 0, 1, 1, 0, 1),
+    (300, 0.0, 110, 0.0, 250, 0.0, 0, 1, 1, 0, 1), (250, 0.0, 400, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (2, 0.0, 300, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (9, 0.0, 90, 0.0, 1, 1.0, 0, 1, 1, 0, 1),
+    (45, 0.0, 160, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (70, 0.0, 220, 0.0, 1, 1.0, 0, 1, 1, 0, 1), (10, 0.6, 120, 0.0, 80, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 200, 0.0, 150, 0.0, 0, 1, 1, 1, 1),
+    (1, 0.0, 500, 0.0, 500, 0.0, 0, 1, 1, 0, 1), (6, 1.0, 120, 0.0, 90, 0.0, 0, 1, 1, 0, 1), (30, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0, 1), (3, 0.0, 4, 1.0, 6, 1.0, 0, 1, 1, 1, 1),
+    (150, 0.3, 90, 0.0, 300, 0.2, 0, 1, 1, 0, 1), (5, 0.0, 0, 0.0, 200, 0.9, 0, 1, 1, 1, 1), (8, 1.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1, 1), (18, 0.7, 80, 0.1, 100, 0.1, 0, 1, 1, 0, 1),
     # inside an article element, but lists of links or parts that call themselves something else
     (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (5, 1.0, 4, 1.0, 0, 0.0, 0, 1, 1, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (30, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0, 0),
     (6, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 1, 0), (70, 0.0, 3, 0.0, 20, 0.0, 1, 1, 1, 0, 0), (4, 1.0, 3, 1.0, 2, 0.0, 1, 1, 1, 0, 0), (2, 0.0, 60, 0.0, 0, 0.0, 1, 1, 1, 0, 0),
@@ -62,12 +66,19 @@ TABLE = [
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0, 0), (10, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (9, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
     (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 1, 1, 0), (40, 0.0, 3, 0.0, 70, 0.0, 0, 0, 1, 0, 0), (12, 0.0, 90, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (60, 0.1, 40, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
     (3, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 1, 0), (25, 0.0, 4, 0.0, 30, 0.0, 1, 0, 1, 0, 0), (80, 0.0, 20, 0.0, 4, 0.0, 1, 0, 1, 0, 0),
+    (200, 0.0, 150, 0.0, 9, 0.0, 0, 0, 1, 0, 0), (30, 0.0, 300, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (9, 0.5, 250, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (60, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
+    (18, 0.0, 1, 0.0, 4, 0.0, 1, 0, 1, 0, 0), (17, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 0), (20, 0.1, 200, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (16, 0.0, 70, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
+    (90, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (70, 0.0, 0, 0.0, 2, 0.0, 0, 0, 1, 0, 0), (300, 0.0, 300, 0.0, 300, 0.0, 1, 1, 1, 0, 0), (100, 0.0, 200, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (5, 0.0, 400, 0.0, 2, 0.0, 1, 0, 1, 0, 0),
     # pages that name no article: runs of text and what stands between
     (50, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (80, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 40, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (20, 0.2, 35, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
     (4, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 3, 0.5, 55, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1, 1), (15, 0.0, 60, 0.0, 8, 0.5, 0, 0, 0, 0, 1),
     (12, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 7, 0.0, 22, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1, 1),
     (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
     (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.3, 3, 1.0, 4, 0.8, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 5, 0.5, 0, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1, 0),
+    (50, 0.0, 60, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (80, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 130, 0.0, 7, 0.0, 0, 0, 0, 0, 1), (24, 0.0, 22, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
+    (17, 0.0, 0, 0.0, 6, 0.0, 1, 0, 0, 0, 0), (60, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (21, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (110, 0.0, 60, 0.0, 5, 0.3, 1, 0, 0, 0, 0),
+    (4, 1.0, 80, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 90, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (9, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (8, 0.2, 120, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 110, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.9, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
     (40, 0.0, 3, 0.0, 50, 0.0, 1, 0, 0, 0, 0), (12, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (5, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1, 0), (90, 0.1, 9, 0.0, 7, 0.0, 1, 0, 0, 0, 0),
 ]
 
@@ -176,13 +187,13 @@ def blocks_of(page: str) -> list[Block]:
             at = n if at < 0 else at + 1
             continue
         m = TAG.match(page, tag)
-        if not m:  # a sign, or an end tag without a name
-            stop = page.find(">", tag) if page.startswith("</", tag) else -1
-            if stop >= 0:
-                at = stop + 1
-            else:
-                pieces.append(("<", link))
-                at = tag + 1
+        if not m and (page.startswith("</", tag) or page[tag + 1 : tag + 2].isalpha()):  # never closed, or without a name
+            stop = page.find(">", tag)
+            at = n if stop < 0 else stop + 1
+            continue
+        if not m:  # a sign
+            pieces.append(("<", link))
+            at = tag + 1
             continue
         name, closing, at = m[1].lower(), page[tag + 1] == "/", m.end()
         if name == "br":
