@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,14 @@ class Scratch:
         self.at = f"{shared_dir(spark)}/loomtext-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, large: bool = False) -> DataFrame:
+        """``large``: whole texts were shuffled for it, and the next step should not begin beside them."""
         path = f"{self.at}/{name}"
         df.write.parquet(path)
         self.paths[name] = path
         schema = df.schema
         del df
-        self.clean()
+        self.clean(large)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -56,10 +58,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def clean(self) -> None:
-        """Spark's cleaner removes shuffle files when their plans are collected as garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def clean(self, wait: bool = False) -> None:
+        """Spark's cleaner removes shuffle files once their plans are collected as garbage."""
+        for _ in range(2 if wait else 1):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.8 if wait else 0)
 
 
 def partitions(spark: SparkSession) -> int:

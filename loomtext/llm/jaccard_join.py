@@ -5,16 +5,18 @@ heavy ones by how often they occur (from a sketch of fixed size that counts all
 that are alike enough share an n-gram among the first few of each (the prefix), so rare n-grams
 bring candidates together and common passages don't.
 
-1. Blocks of documents send their prefix n-grams (6 bytes each); buckets tell which ones several
-   blocks have. The rest, nearly all, is done with.
-2. Documents with equal sets are one class from here on. For each shared prefix n-gram its classes
-   are linked to a leader by hash, a star and no pairs; with several hashes, a class has leaders
-   enough to reach its group. Each leader's candidates (in chunks of ``CHUNK``) become a prefix tree;
-   the leader's set walks down the tree, adds up the overlap along shared paths, and leaves a
-   subtree when what remains can't reach the threshold.
-3. Classes that are in one component already need no further pair. What is left, n-grams with
-   classes of different components, gets two more rounds of stars, then the pairs between
-   components, so no link between components is missed.
+1. Blocks of documents send their prefix n-grams with their set's size (8 bytes each); buckets tell
+   which ones other sets of a fitting size have. The rest, nearly all, is done with.
+2. Documents with equal sets are one class from here on. For each shared prefix n-gram and range of
+   sizes, classes are linked to a leader by hash: stars, no pairs; several hashes give a class
+   leaders enough to reach its group. Counts of grams by cell (a quarter byte a gram) bound the
+   overlap from above and drop candidates that can't reach the threshold.
+3. For the candidates left, blocks give out whole sets. A leader's candidates (in chunks of
+   ``CHUNK``) become a prefix tree; the leader's set walks down the tree, adds up the overlap along
+   shared paths, and leaves a subtree when what remains can't reach the threshold.
+4. Classes that are in one component already need no further pair. What is left, n-grams with
+   classes of different components, gets the pairs between components, by 2 and 3 again, so no link
+   between components is missed.
 """
 
 from __future__ import annotations
@@ -30,15 +32,17 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .common import Scratch, need, partitions
-from .substring_dedup import _answer_symbols, _requests, _sizes
+from .substring_dedup import _flags, _requests, _sizes
 from .text import SPACED, Words, window_hashes, window_sums, word_runs
 
 CELLS = 1 << 20
 SLICES = 64
-#: An n-gram is heavy when its cell has so many times the mean of cells.
-HEAVY = 8
+#: An n-gram is heavy when its cell is so many standard deviations of an even spread over the mean.
+HEAVY = 5.0
 CHUNK = 256
-KEY_BYTES = 6
+#: Bits of a key that tell the set's size; larger sizes count as the largest.
+SIZE_BITS = 16
+LARGEST = (1 << SIZE_BITS) - 1
 
 
 def _grams(run: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +80,8 @@ def sketch(documents: DataFrame, n: int) -> np.ndarray:
     for r in counted.collect():  # SLICES rows, 8 * CELLS bytes together
         total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     total = total.ravel()
-    mean = total.mean()
-    with np.errstate(divide="ignore"):
-        level = np.log2(np.maximum(total / max(mean, 1e-9) / HEAVY, 1e-9)) + 1
-    return np.where((total > HEAVY * mean) & (total > 2 * HEAVY), np.clip(level, 1, 31), 0).astype(np.uint8)
+    over = total - total.mean() - HEAVY * np.sqrt(total.mean()) - HEAVY
+    return np.where(over > 0, np.clip(np.log2(np.maximum(over, 1)) + 1, 1, 31), 0).astype(np.uint8)
 
 
 def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -114,27 +116,54 @@ class Sets:
         prefixes = [s[: prefix_length(len(s), percent)] for s in self.sets.values()]
         self.prefix = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
         self.lengths = np.array([len(p) for p in prefixes], np.int64)
-        self.keys, self.at, counts = np.unique(_short(self.prefix), return_inverse=True, return_counts=True)
+        sizes = np.repeat(np.array([min(len(s), LARGEST) for s in self.sets.values()], np.uint64), self.lengths)
+        # the low bits of a gram: the top ones only tell the order, and would crowd heavy grams into one bucket
+        self.keys, self.at, counts = np.unique(self.prefix << np.uint64(SIZE_BITS) | sizes, return_inverse=True, return_counts=True)
         self.repeated = counts > 1
 
-    def cuts(self, buckets: int) -> np.ndarray:
-        return blocks.cut_points(self.keys << np.uint64(64 - 8 * KEY_BYTES), buckets)
-
-
-def _short(keys: np.ndarray) -> np.ndarray:
-    """The low bits: the top ones only tell the order, and would crowd heavy grams into one bucket."""
-    return keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
-
 
 def _send(buckets: int, n: int, percent: int, levels):
     def send(table: pa.Table) -> pa.Table:
         block = Sets(table, n, percent, levels.value)
-        return _requests(table.column("blk")[0].as_py(), block.cuts(buckets), keys=blocks.pack(block.keys, KEY_BYTES))
+        return _requests(table.column("blk")[0].as_py(), blocks.cut_points(block.keys, buckets), keys=block.keys)
 
     return send
 
 
-FOUND = "kind int, doc_id long, sig binary, n int, gram long, pos int, grams binary"
+def _fitting(percent: int):
+    """Whether another set with the gram has a size that can do; sorted by size, the next one tells."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        gram, size = keys[order] >> np.uint64(SIZE_BITS), (keys[order] & np.uint64(LARGEST)).astype(np.int64)
+        fits = np.zeros(len(keys) + 1, bool)
+        fits[1:-1] = (gram[1:] == gram[:-1]) & ((100 * size[:-1] >= percent * size[1:]) | (size[1:] == LARGEST))
+        flags = np.zeros(len(keys), bool)
+        flags[order] = fits[:-1] | fits[1:]
+        return _flags(table, parts, flags, 0)
+
+    return answer
+
+
+FOUND = "kind int, doc_id long, blk int, sig binary, n int, gram long, pos int, cells binary"
+
+
+def cells_of(grams: np.ndarray) -> bytes:
+    """How many grams each of a number of cells has, one cell for about four grams; empty if a count is too large for a byte."""
+    size = max(16, 1 << (len(grams) // 4).bit_length())
+    counts = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(a: bytes, b: bytes) -> float:
+    """An upper bound of the grams that two sets share."""
+    if not a or not b:
+        return float("inf")
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    return float(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
 
 
 def _candidates(buckets: int, n: int, percent: int, levels):
@@ -143,26 +172,45 @@ def _candidates(buckets: int, n: int, percent: int, levels):
     def find(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Sets(table, n, percent, levels.value)
         (flags,) = blocks.rows_by_bucket(answers, "flags", kind=0)
-        shared = (blocks.bits(flags, _sizes(block.cuts(buckets))) | block.repeated)[block.at]
-        rows = table.num_rows
+        shared = (blocks.bits(flags, _sizes(blocks.cut_points(block.keys, buckets))) | block.repeated)[block.at]
         signatures = list(block.sets)
         sizes = np.array([len(s) for s in block.sets.values()], np.int32)
         owner = np.repeat(np.arange(len(signatures)), block.lengths)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(block.lengths) - block.lengths, block.lengths)
         hit = np.flatnonzero(shared)
         involved = np.unique(owner[hit])
-        none = lambda k, t: pa.nulls(k, t)
-        names = ["kind", "doc_id", "sig", "n", "gram", "pos", "grams"]
-        docs = [pa.array([0] * rows, pa.int32()), table.column("doc_id").combine_chunks(), pa.array(block.signatures, pa.binary()), pa.array(block.sizes, pa.int32()), none(rows, pa.int64()), none(rows, pa.int32()), none(rows, pa.binary())]
-        k = len(hit)
-        tokens = [pa.array([1] * k, pa.int32()), none(k, pa.int64()), pa.array([signatures[i] for i in owner[hit].tolist()], pa.binary()), pa.array(sizes[owner[hit]], pa.int32()), pa.array(block.prefix[hit].view(np.int64)), pa.array(place[hit].astype(np.int32)), none(k, pa.binary())]
-        k = len(involved)
-        sets = [pa.array([2] * k, pa.int32()), none(k, pa.int64()), pa.array([signatures[i] for i in involved.tolist()], pa.binary()), pa.array(sizes[involved] if k else [], pa.int32()), none(k, pa.int64()), none(k, pa.int32()), pa.array([block.sets[signatures[i]].tobytes() for i in involved.tolist()], pa.binary())]
-        return pa.concat_tables([pa.table(dict(zip(names, x, strict=True))) for x in (docs, tokens, sets)])
+        own = [signatures[i] for i in involved.tolist()]
+        blk = table.column("blk")[0].as_py()
+        kinds = [
+            {"kind": 0, "doc_id": table.column("doc_id").combine_chunks(), "sig": pa.array(block.signatures, pa.binary()), "n": pa.array(block.sizes, pa.int32())},
+            {"kind": 1, "sig": pa.array([signatures[i] for i in owner[hit].tolist()], pa.binary()), "n": pa.array(sizes[owner[hit]], pa.int32()), "gram": pa.array(block.prefix[hit].view(np.int64)), "pos": pa.array(place[hit].astype(np.int32))},
+            {"kind": 2, "sig": pa.array(own, pa.binary()), "n": pa.array(sizes[involved], pa.int32()), "cells": pa.array([cells_of(block.sets[x]) for x in own], pa.binary())},
+        ]
+        return pa.concat_tables([_filled(x, blk) for x in kinds])
 
     return find
 
 
+_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "blk": pa.int32(), "sig": pa.binary(), "n": pa.int32(), "gram": pa.int64(), "pos": pa.int32(), "cells": pa.binary()}
+
+
+def _filled(columns: dict, blk: int) -> pa.Table:
+    rows = len(columns["sig"])
+    columns = columns | {"kind": pa.array([columns["kind"]] * rows, pa.int32()), "blk": pa.array([blk] * rows, pa.int32())}
+    return pa.table({k: columns.get(k, pa.nulls(rows, t)) for k, t in _TYPES.items()})
+
+
+def _give(n: int, percent: int, levels):
+    """The whole sets that a block is asked for."""
+
+    def give(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        own: dict[bytes, np.ndarray] = Sets(table, n, percent, levels.value).sets if wanted.num_rows else {}
+        names = sorted(x for x in wanted.column("sig").to_pylist() if x in own)
+        return pa.table({"sig": pa.array(names, pa.binary()), "grams": pa.array([own[x].tobytes() for x in names], pa.binary())})
+
+    return give
+
+
 class PrefixTree:
     """Ordered sets as a path-compressed trie: sorted, with the length of each common path."""
 
@@ -261,50 +309,67 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _able(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, m, b, n) whose cell counts allow the threshold."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("m", "n", "x", "y")]
+            able = [most_common(x, y) * (100 + percent) >= percent * (m + n) for m, n, x, y in zip(*columns, strict=True)]
+            yield batch.filter(pa.array(able, pa.bool_())).select(["a", "b"])
+
+    one = cells.select(F.col("sig").alias("a"), F.col("cells").alias("x"))
+    two = cells.select(F.col("sig").alias("b"), F.col("cells").alias("y"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(bound, "a binary, b binary")
+
+
 def classes(documents: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n) of every document, and (sig, label) of the sets that are linked to others."""
+    """(doc_id, sig, n) of every document, and (node, label) of the sets that are linked to others."""
     spark = documents.sparkSession
     buckets = partitions(spark)
     texts = need(documents, doc_id="long", text="string")
     levels = spark.sparkContext.broadcast(sketch(texts, n))
     dealt = blocks.dealt(texts)
     asked = blocks.ask(dealt, _send(buckets, n, percent, levels), "bucket int, blk int, keys binary")
-    shared = scratch.write("shared", blocks.answer(asked, _answer_symbols, "blk int, bucket int, kind int, flags binary"))
-    found = scratch.write("found", blocks.resume(dealt, shared, _candidates(buckets, n, percent, levels), FOUND))
+    shared = scratch.write("shared", blocks.answer(asked, _fitting(percent), "blk int, bucket int, kind int, flags binary"), large=True)
+    found = scratch.write("found", blocks.resume(dealt, shared, _candidates(buckets, n, percent, levels), FOUND), large=True)
     documents = found.where("kind = 0").select("doc_id", "sig", "n")
+    cells = found.where("kind = 2").groupBy("sig").agg(F.max("cells").alias("cells"))
     tokens = found.where("kind = 1").select("gram", "sig", "n", "pos")
-    sets = found.where("kind = 2").select("sig", "grams").groupBy("sig").agg(F.first("grams").alias("grams"))
-    sets = scratch.write("sets", sets)
-    # a gram that only one class has, in several blocks, is no candidate
-    live = tokens.groupBy("gram").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x != y").select("gram")
-    tokens = scratch.write("tokens", tokens.join(live, "gram").distinct())
-    labels: DataFrame | None = None
-    every: list[DataFrame] = []
-    done: list[DataFrame] = []
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    for k in range(4):
-        rest = tokens if labels is None else _unsettled(tokens, labels)
-        rest = scratch.write(f"rest{k}", rest.withColumn("label", F.col("sig")) if labels is None else rest)
-        if not rest.limit(1).count():
-            break
-        if k < 3:
-            star = F.struct(F.xxhash64("sig", F.lit(k), F.pmod("gram", F.lit(3))).alias("h"), "sig", "n", "label")
-            lead = rest.groupBy("gram").agg(F.min(star).alias("lead"))
-            pairs = rest.join(lead, "gram").select(F.col("lead.sig").alias("a"), F.col("lead.n").alias("m"), F.col("lead.label").alias("la"), F.col("sig").alias("b"), "n", "label")
-            pairs = pairs.where("label != la").where(alike).select("a", "b")
+    # the least gram that two sets share: what is left in each there must do
+    left = f"(1 + least(n - pos - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)"
+    step = float(np.log(100 / percent))
+    links: list[DataFrame] = []
+    labels: DataFrame | None = None
+    done: DataFrame | None = None
+    for k in range(2):
+        if k == 0:
+            # sizes in ranges, once more by half a range further: a group of copies is whole in one or the other
+            ranges = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.floor(F.ln("n") / step + h / 2).alias("size")) for h in range(2)]))
+            near = tokens.withColumn("r", ranges).select("gram", "sig", "n", F.col("r.h").alias("h"), F.col("r.size").alias("size"))
+            star = F.struct(F.xxhash64("sig", F.col("h"), F.pmod("gram", F.lit(2))).alias("z"), "sig", "n")
+            lead = near.groupBy("gram", "h", "size").agg(F.min(star).alias("lead"), F.max("sig").alias("x"), F.min("sig").alias("y")).where("x != y").drop("x", "y")
+            pairs = near.join(lead, ["gram", "h", "size"]).select(F.col("lead.sig").alias("a"), F.col("lead.n").alias("m"), F.col("sig").alias("b"), "n").where("a != b")
         else:
-            other = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("la"))
-            pairs = rest.withColumnRenamed("sig", "b").join(other, "gram").where("label > la").where(alike)
-            # the least gram that both have: at it, what is left in each set must suffice
-            pairs = pairs.where(f"(1 + least(n - pos - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)").select("a", "b")
-        pairs = pairs.distinct()
-        for x in done:
-            pairs = pairs.join(x, ["a", "b"], "left_anti")
-        pairs = scratch.write(f"pairs{k}", pairs)
-        done.append(pairs)
-        every.append(scratch.write(f"links{k}", _verified(pairs, sets, percent)))
-        labels = connected(reduce(DataFrame.unionByName, every), scratch, f"labels{k}")
-    return documents, labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
+            rest = scratch.write("rest", _unsettled(tokens, labels))
+            one = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("la"), F.floor(F.ln("n") / step).alias("size"))
+            two = rest.withColumn("size", F.explode(F.array(*[F.floor(F.ln("n") / step) + d for d in (-1, 0, 1)]))).withColumnRenamed("sig", "b")
+            pairs = two.join(one, ["gram", "size"]).where("label > la").where(left).select("a", "m", "b", "n")
+        pairs = pairs.where(alike).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = scratch.write(f"pairs{k}", _able(pairs, cells, percent))
+        if k and not pairs.limit(1).count():
+            break
+        done = pairs
+        ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        wanted = found.where("kind = 0").select("sig", "blk").join(ends, "sig").groupBy("sig").agg(F.min("blk").alias("blk"))
+        sets = scratch.write(f"sets{k}", blocks.resume(dealt, scratch.write(f"wanted{k}", wanted), _give(n, percent, levels), "sig binary, grams binary"), large=True)
+        links.append(scratch.write(f"links{k}", _verified(pairs, sets, percent)))
+        scratch.drop(f"sets{k}", f"wanted{k}")
+        labels = connected(reduce(DataFrame.unionByName, links), scratch, f"labels{k}")
+    return documents, labels
 
 
 def _unsettled(tokens: DataFrame, labels: DataFrame) -> DataFrame:

@@ -310,12 +310,12 @@ def score_texts(documents: DataFrame, held_out: Column, scratch: Scratch | None
     texts = blocks.dealt(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out")))
     answer = "blk int, bucket int, kind int, answer binary"
     asked = blocks.ask(texts, _send_words(buckets), "bucket int, blk int, keys binary, counts binary")
-    words = scratch.write("words", blocks.answer(asked, _answer_words, answer + ", tokens long, known long"))
+    words = scratch.write("words", blocks.answer(asked, _answer_words, answer + ", tokens long, known long"), large=True)
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     words = words.drop("tokens", "known")
     pair = "bucket int, blk int, contexts binary, counts binary, degrees binary, words binary, own binary"
     asked = blocks.resume(texts, words, _send_pairs(buckets), pair)
-    pairs = scratch.write("pairs", blocks.answer(asked, _answer_pairs, answer))
+    pairs = scratch.write("pairs", blocks.answer(asked, _answer_pairs, answer), large=True)
     schema = whole.select("row", "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)

@@ -270,9 +270,9 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None) -> Data
     texts = blocks.dealt(need(documents, doc_id="long", text="string"))
     asked = blocks.ask(texts, _send_symbols(buckets), "bucket int, blk int, keys binary")
     answer = "blk int, bucket int, kind int, flags binary"
-    symbols_shared = scratch.write("symbols", blocks.answer(asked, _answer_symbols, answer))
+    symbols_shared = scratch.write("symbols", blocks.answer(asked, _answer_symbols, answer), large=True)
     asked = blocks.resume(texts, symbols_shared, _send_windows(buckets), "bucket int, blk int, ones binary, twos binary, ids binary")
-    windows_earlier = scratch.write("windows", blocks.answer(asked, _answer_windows, answer))
+    windows_earlier = scratch.write("windows", blocks.answer(asked, _answer_windows, answer), large=True)
     whole = blocks.dealt_rows(documents)
     schema = whole.select("row").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
     return blocks.resume(whole, symbols_shared.unionByName(windows_earlier), _remove(buckets), schema)

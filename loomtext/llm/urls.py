@@ -177,7 +177,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
                 out.append(float(sum(odds[cell(t)] for t in tokens(host, path, segments, cache)) + odds[CELLS]) if host or path else float(odds[CELLS]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "log_odds"])
 
-    out = whole.mapInArrow(score, whole.schema.add("log_odds", "double"))
+    out = whole.mapInArrow(score, whole.select(*whole.columns).schema.add("log_odds", "double"))
     said = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("row", "host", "path", "rule", F.coalesce("by_rule", said).alias("verdict"), "log_odds")
 
