@@ -30,6 +30,8 @@ from .text import CHUNK
 
 #: Bounds of the fit: labelled documents of each language, and letters of the automaton and of the norm.
 SAMPLE, LETTERS = 200, 30_000
+#: Languages that are told apart at most: those with the most labelled rows.
+LANGUAGES = 200
 PIECE = 512
 #: Letters that the table knows, by how often they occur in the samples; others are one letter.
 ALPHABET = 62
@@ -107,10 +109,11 @@ class Model:
             letters = grid[t, :n, None]
             to = self.step[state[:n] * self.width + letters]
             stuck = to < 0
-            found[:n] += stuck
             again = self.step[self.roots[None, :] * self.width + letters]
-            state[:n] = np.where(stuck, np.where(again < 0, self.roots, again), to)
-        count[order] = found + (np.array(longest)[:, None] > 0)
+            alone = stuck & (again < 0)  # a letter that the language hasn't got is a phrase
+            found[:n] += (stuck & (state[:n] != self.roots)) + alone.astype(np.int64)
+            state[:n] = np.where(stuck, np.where(alone, self.roots, again), to)
+        count[order] = found + (state != self.roots)
         return count
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -149,7 +152,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, letters: int = LETTERS) -> M
     rows = documents.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
     bound = 4 * letters // sample + 200  # letters of each sampled document, so that all of them are heard
-    size = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    size = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     # hashes are spread evenly, so about twice the sample lies below this bound
     share = size.select(F.col("lang").alias("l"), (F.lit(2.0 * sample) / F.col("rows") * 2.0**31).alias("most"))
     near = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 31)) <= F.col("most"))
