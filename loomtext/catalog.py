@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import score_queries, text_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in [*text_queries.QUERIES, *score_queries.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.oracles() | score_queries.oracles()
