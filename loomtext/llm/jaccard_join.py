@@ -1,15 +1,15 @@
 """Exact Jaccard self-join of n-gram sets by prefix trees, and the components of its links.
 
-Every document's set of n-gram hashes is put in one global order: light n-grams by hash, then the
-heavy ones by how often they occur (from a sketch of fixed size that counts all documents). Two sets
+Every document's set of n-gram hashes is put in one global order: by how often the n-gram's cell in
+a sketch of fixed size, which counts all documents, is met, then by hash. Two sets
 that are alike enough share an n-gram among the first few of each (the prefix), so rare n-grams
 bring candidates together and common passages don't.
 
 1. Blocks of documents send their prefix n-grams with their set's size (8 bytes each); buckets tell
    which ones other sets of a fitting size have. The rest, nearly all, is done with.
 2. Documents with equal sets are one class from here on. For each shared prefix n-gram and range of
-   sizes, classes are linked to a leader by hash: stars, no pairs; several hashes give a class
-   leaders enough to reach its group. Counts of grams by cell (a quarter byte a gram) bound the
+   sizes, classes are linked to a leader by hash: stars, no pairs. Several hashes give a class some
+   leaders; it is tried against the ``LEADERS`` with which it shares most. Counts of grams by cell (a quarter byte a gram) bound the
    overlap from above and drop candidates that can't reach the threshold.
 3. For the candidates left, blocks give out whole sets. A leader's candidates (in chunks of
    ``CHUNK``) become a prefix tree; the leader's set walks down the tree, adds up the overlap along
@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -37,8 +37,8 @@ from .text import SPACED, Words, window_hashes, window_sums, word_runs
 
 CELLS = 1 << 20
 SLICES = 64
-#: An n-gram is heavy when its cell is so many standard deviations of an even spread over the mean.
-HEAVY = 5.0
+#: Leaders that a class is tried against: those with which it shares most prefix n-grams.
+LEADERS = 3
 CHUNK = 256
 #: Bits of a key that tell the set's size; larger sizes count as the largest.
 SIZE_BITS = 16
@@ -57,7 +57,7 @@ def _grams(run: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(documents: DataFrame, n: int) -> np.ndarray:
-    """For each of CELLS cells 0, or 1 to 31 for heavy ones, rising with the logarithm of their count."""
+    """For each of CELLS cells a number from 0 to 255 that rises with its count over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -80,15 +80,16 @@ def sketch(documents: DataFrame, n: int) -> np.ndarray:
     for r in counted.collect():  # SLICES rows, 8 * CELLS bytes together
         total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     total = total.ravel()
-    over = total - total.mean() - HEAVY * np.sqrt(total.mean()) - HEAVY
-    return np.where(over > 0, np.clip(np.log2(np.maximum(over, 1)) + 1, 1, 31), 0).astype(np.uint8)
+    z = (total - total.mean()) / max(np.sqrt(total.mean()), 1e-9)
+    near = 16 * (np.minimum(z, 4) + 4)  # counts about the mean, in sixteenths of a deviation
+    far = 4 * np.log2(np.maximum(z / 4, 1))
+    return np.clip(near + far, 0, 255).astype(np.uint8)
 
 
 def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Numbers whose order is the global order of n-grams."""
+    """Numbers whose order is the global order of n-grams: by how often their cell is met, then by hash."""
     level = levels[(grams & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-    heavy = (np.uint64(1) << np.uint64(63)) | (level << np.uint64(58)) | (grams >> np.uint64(6))
-    return np.where(level > 0, heavy, grams >> np.uint64(1))
+    return level << np.uint64(56) | grams >> np.uint64(8)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -296,13 +297,17 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = scratch.write(f"{name}-both", both.distinct())
-    labels = scratch.write(f"{name}-0", both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")))
-    for k in range(1, 200):
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        passed = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = passed.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        jumped = jumped.select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        after = scratch.write(f"{name}-{k}", jumped)
+    labels = both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label"))
+
+    def step(labels: DataFrame) -> DataFrame:
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        passed = labels.join(near, "node").select(*[c for c in labels.columns if c != "label"], F.least("label", "near").alias("label"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jumped = passed.join(far, "label", "left")
+        return jumped.select(*[c for c in labels.columns if c != "label"], F.least("label", F.coalesce("far", "label")).alias("label"))
+
+    for k in range(200):
+        after = scratch.write(f"{name}-{k}", step(labels.withColumn("old", F.col("label"))))
         if not after.where("label != old").limit(1).count():
             return after.select("node", "label")
         labels = after.select("node", "label")
@@ -356,7 +361,13 @@ def classes(documents: DataFrame, n: int, percent: int, scratch: Scratch) -> tup
             one = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("la"), F.floor(F.ln("n") / step).alias("size"))
             two = rest.withColumn("size", F.explode(F.array(*[F.floor(F.ln("n") / step) + d for d in (-1, 0, 1)]))).withColumnRenamed("sig", "b")
             pairs = two.join(one, ["gram", "size"]).where("label > la").where(left).select("a", "m", "b", "n")
-        pairs = pairs.where(alike).distinct()
+        pairs = pairs.where(alike)
+        if k == 0:
+            pairs = pairs.groupBy("a", "m", "b", "n").agg(F.count("*").alias("grams"))
+            best = Window.partitionBy("b").orderBy(F.desc("grams"), F.xxhash64("a"), "a")
+            pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("grams", "rank")
+        else:
+            pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.write(f"pairs{k}", _able(pairs, cells, percent))
