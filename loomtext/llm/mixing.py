@@ -124,7 +124,7 @@ r as (select *, most / weight as ratio, sum(source_size) over () as budget from
 l as (
   select *, (budget - coalesce(sum(most) over (order by ratio, source is null, encode(source) rows between unbounded preceding and 1 preceding), 0)::double)
     / sum(weight) over (order by ratio, source is null, encode(source) rows between current row and unbounded following) as level from r),
-f as (select *, first(level order by ratio, source is null, encode(source)) filter (where ratio > level) over () as shared from l),
+f as (select *, (select level from l where ratio > level order by ratio, source is null, encode(source) limit 1) as shared from l),
 t as (select source, source_size, least(most::double, coalesce(shared, 'inf'::double) * weight) as target from f),
 c as (
   select d.doc_id, d.size, t.source_size, t.target,

@@ -71,3 +71,14 @@ def test_table(spark):
     at = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "source").collect()]
     check(mixing.op2(spark, at).collect(), docs)
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{at}/documents.parquet')")
+    want = sorted((a, b, c, round(d, 6), e) for a, b, c, d, e in con.execute(mixing.ORACLE).fetchall())
+    got = sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.op2(spark, at).collect())
+    assert got == want
