@@ -204,6 +204,18 @@ QUERIES = [
 ]
 
 
+def tokenize_chars_whole(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", tokens.tokenized(F.col("text"), "none", characters=True, lowercase=True).alias("tokenized"))
+
+
+def wer_raw_conversations_whole(spark, sf_dir):
+    return word_errors.pair_errors(conv_pairs(spark, sf_dir), tokens.words).select("conv_id", "turn", "distance", "ref_length")
+
+
+#: Queries over whole texts and all rows where the one with SQL, of the same name otherwise, is cut to what SQL can tell.
+WHOLE = [tokenize_chars_whole, wer_raw_conversations_whole]
+
+
 def _sql(expr: str, pairs: list[tuple[str, str]]) -> str:
     """The same replacements for RE2, whose groups are written with a backslash."""
     for pattern, to in pairs:
