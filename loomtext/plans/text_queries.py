@@ -212,8 +212,20 @@ def wer_raw_conversations_whole(spark, sf_dir):
     return word_errors.pair_errors(conv_pairs(spark, sf_dir), tokens.words).select("conv_id", "turn", "distance", "ref_length")
 
 
+def normalize_text_whole(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", normalize.normalized(F.col("text")).alias("normalized"))
+
+
+def wer_by_pair_whole(spark, sf_dir):
+    return word_errors.pair_errors(bench_pairs(spark, sf_dir)).select("id", "distance", "ref_length")
+
+
+def wer_corpus_whole(spark, sf_dir):
+    return word_errors.corpus_rate(word_errors.pair_errors(bench_pairs(spark, sf_dir))).select("distance", "ref_length", F.round("wer", 6).alias("wer"))
+
+
 #: Queries over whole texts and all rows where the one with SQL, of the same name otherwise, is cut to what SQL can tell.
-WHOLE = [tokenize_chars_whole, wer_raw_conversations_whole]
+WHOLE = [tokenize_chars_whole, wer_raw_conversations_whole, normalize_text_whole, wer_by_pair_whole, wer_corpus_whole]
 
 
 def _sql(expr: str, pairs: list[tuple[str, str]]) -> str:

@@ -20,3 +20,15 @@ def test_whole_turns(spark, tmp_path):
     assert got == {t: " ".join(x.replace(" ", "▁")).lower() for _, t, _, x in rows}
     got = {r["turn"]: (r["distance"], r["ref_length"]) for r in queries["wer_raw_conversations_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: (distance(user.split(), reply.split()), 200), 2: (0, 1)}
+
+
+def test_rows_with_numbers(spark, tmp_path):
+    turns = [(1, 0, "user", "Two hundred and five"), (1, 1, "assistant", "the cat sat"), (1, 2, "user", "20 million dollars")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    items = [(1, "two hundred and five"), (2, "205"), (3, "the cat sat"), (4, "the cat sit")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries = contract.queries()
+    run = lambda name: [tuple(r) for r in queries[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("normalize_text_whole")) == [(1, 0, "205"), (1, 1, "the cat sat"), (1, 2, "$20000000")]
+    assert sorted(run("wer_by_pair_whole")) == [(1, 0, 1), (2, 3, 1), (3, 1, 3)]
+    assert run("wer_corpus_whole") == [(4, 5, 0.8)]
