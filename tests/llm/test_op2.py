@@ -55,7 +55,44 @@ def test_stream_is_in_order_and_whole(spark):
     out = mixing.stream(d).collect()
     assert [r["mix_finish"] for r in out] == sorted(r["mix_finish"] for r in out)
     assert abs(sum(r["mix_taken"] for r in out) - sum(x[2] for x in docs)) <= 2
-    assert all(r["mix_finish"] - r["size"] / 1 <= 1 or r["mix_taken"] for r in out)
+    assert all(r["mix_taken"] for r in out)
+
+
+def brute_mix(docs, share):
+    """(doc_id, taken) by putting every part in order and cutting at the budget; docs are (doc_id, source, size)."""
+    import hashlib
+    import math
+
+    per = {}
+    for _, s, n in docs:
+        per[s] = per.get(s, 0) + n
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(per))}
+    target, parts = fair(per, weights), []
+    quota = {s: math.floor(target[s] * share) for s in per}
+    for s in sorted(per, key=lambda s: (quota[s] - target[s] * share, s))[: int(sum(per.values()) * share) - sum(quota.values())]:
+        quota[s] += quota[s] < 3 * per[s]
+    for s in per:
+        own = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, n) for d, x, n in docs if x == s)
+        at = 0
+        for k in range(3):
+            for _, d, n in own:
+                at += n
+                finish, first = at / target[s], max(0, min(n, quota[s] - at + n))
+                parts += [(min(finish, share), s, d, first), (finish, s, d, n - first)]
+    left, out = int(sum(per.values()) * share), {d: 0 for d, _, _ in docs}
+    for _, _, d, n in sorted(p for p in parts if p[3]):
+        out[d] += min(n, left)
+        left -= min(n, left)
+    return out
+
+
+def test_truncated_in_order_of_finish(spark):
+    rng = random.Random(4)
+    docs = [(i, rng.choice(["a", "a", "b", "c", "d"]), rng.randrange(1, 90)) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    for share in (1.0, 0.37, 0.05):
+        rows = mixing.schedule(d, share=share).collect()
+        assert {r["row"]["doc_id"]: sum(c["taken"] for c in r["copies"]) for r in rows} == brute_mix(docs, share)
 
 
 def test_edges(spark):

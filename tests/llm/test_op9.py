@@ -1,4 +1,7 @@
-from brute import quality_counts
+import random
+import time
+
+from brute import SPACED, quality_counts
 
 from loomtext.llm import quality
 
@@ -16,6 +19,81 @@ def test_counts(spark):
     assert got == {i: quality_counts(t) for i, t in enumerate(texts)}
 
 
+def brute_ratio(docs, trusted):
+    """doc_id -> mean log ratio; docs are (doc_id, text)."""
+    import math
+
+    import xxhash
+
+    def cells(text):
+        last = "\n"
+        for w in SPACED.findall(text or ""):
+            yield xxhash.xxh64_intdigest(w, 42) % quality.BUCKETS
+            yield xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(last, 42)) % quality.BUCKETS
+            last = w
+
+    every, good = [0.5] * quality.BUCKETS, [0.5] * quality.BUCKETS
+    for d, t in docs:
+        for c in cells(t):
+            every[c] += 1
+            good[c] += d in trusted
+    a, b = sum(good), sum(every)
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    return {d: mean([math.log(good[c] / a) - math.log(every[c] / b) for c in cells(t)]) for d, t in docs}
+
+
+def test_ratio_and_verdict(spark):
+    rng = random.Random(2)
+    good, bad = [f"g{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    docs = [(i, " ".join(rng.choice(good if i % 3 else bad) for _ in range(rng.randrange(40, 120)))) for i in range(60)] + [(60, None), (61, "")]
+    trusted = {i for i in range(60) if i % 3 and i % 2}
+    labels = spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int")
+    out = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    want = brute_ratio(docs, trusted)
+    rows = out.collect()
+    assert all(abs(r["llr"] - want[r["row"]["doc_id"]]) < 1e-9 for r in rows)
+    assert all(r["kept"] == (not r["base_failed"] and want[r["row"]["doc_id"]] >= quality.THRESHOLD) for r in rows)
+    assert 10 < sum(r["kept"] for r in rows) < 45
+
+
+def test_pairs_count_beside_words(spark):
+    """Documents of the same words, of which one kind alone has the trusted order."""
+    names = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(names if i % 2 else names[::-1])) for i in range(20)]
+    out = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int"))
+    ratio = {r["row"]["doc_id"] % 2: r["llr"] for r in out.collect()}
+    assert ratio[1] > ratio[0] + 0.1
+
+
+def test_filters_stay_above(spark):
+    at = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, labels)
+    rows = judged.select("row.doc_id", *quality.COUNTS).collect()
+    began = time.time()
+    for c in quality.COUNTS:
+        flag = "" if c in ("base_failed", "kept") else " > 3"
+        out = judged.where(f"{c}{flag}").select("row.doc_id")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sort_array(") <= 2 and plan.count("split(") <= 2 and plan.count("xxhash64(") <= 3
+        assert {r[0] for r in out.collect()} == {r["doc_id"] for r in rows if (r[c] if not flag else r[c] > 3)}
+    assert time.time() - began < 100
+
+
+def test_a_million_words(spark):
+    rng = random.Random(3)
+    words = [f"{rng.randrange(1 << 20):x}" for _ in range(1 << 20)]
+    text = " ".join(words + words[:7] + ["z"] + words[500:504])
+    got = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert tuple(got[c] for c in COLUMNS) == quality_counts(text)
+
+
+def test_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a b c d " * 30), (1, "a b c d " * 30), (None, None), (None, None)], "doc_id long, text string")
+    rows = quality.judge(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert len(rows) == 4 and len({tuple(r[1:]) for r in rows}) == 2
+
+
 def test_extra_columns_and_empty(spark):
     d = spark.createDataFrame([(1, "a b " * 60, 3, "x"), (None, None, None, None)], "doc_id long, text string, n_words int, llr string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
