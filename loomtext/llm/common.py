@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,36 +33,37 @@ class Scratch:
     """Tables written once into the shared folder; reading them back has no lineage but the files.
 
     A lost executor costs a reread, not a recomputation. ``drop`` removes tables that no later step
-    reads and lets Spark clean up the shuffles that only they needed.
+    reads; what is left goes when the driver's JVM ends, as results may still be read from it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/loomtext-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        path, system = self._open(self.at)
+        system.deleteOnExit(path)
+
+    def _open(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, name: str, df: DataFrame, large: bool = False) -> DataFrame:
-        """``large``: whole texts were shuffled for it, and the next step should not begin beside them."""
+        """``large``: whole texts were shuffled for it. Spark removes shuffle files once their plan is
+        collected as garbage, so a collection is asked for, lest they stay beside the next step's."""
         path = f"{self.at}/{name}"
         df.write.parquet(path)
         self.paths[name] = path
         schema = df.schema
         del df
-        self.clean(large)
+        if large:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def clean(self, wait: bool = False) -> None:
-        """Spark's cleaner removes shuffle files once their plans are collected as garbage."""
-        for _ in range(2 if wait else 1):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.8 if wait else 0)
+            path, system = self._open(self.paths.pop(name))
+            system.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,24 +6,28 @@ that are alike enough share an n-gram among the first few of each (the prefix),
 bring candidates together and common passages don't.
 
 1. Blocks of documents send their prefix n-grams with their set's size (8 bytes each); buckets tell
-   which ones other sets of a fitting size have. The rest, nearly all, is done with.
+   which ones other sets of a fitting size have. The rest, nearly all, is done with; the sets that
+   have some are written once, and texts aren't read again.
 2. Documents with equal sets are one class from here on. For each shared prefix n-gram and range of
    sizes, classes are linked to a leader by hash: stars, no pairs. Several hashes give a class some
-   leaders; it is tried against the ``LEADERS`` with which it shares most. Counts of grams by cell (a quarter byte a gram) bound the
-   overlap from above and drop candidates that can't reach the threshold.
-3. For the candidates left, blocks give out whole sets. A leader's candidates (in chunks of
-   ``CHUNK``) become a prefix tree; the leader's set walks down the tree, adds up the overlap along
-   shared paths, and leaves a subtree when what remains can't reach the threshold.
-4. Classes that are in one component already need no further pair. What is left, n-grams with
-   classes of different components, gets the pairs between components, by 2 and 3 again, so no link
-   between components is missed.
+   leaders; it is tried against the ``LEADERS`` with which it shares most. Counts of grams by cell (a
+   quarter byte a gram) bound the overlap from above and drop candidates that can't reach the
+   threshold. A leader's candidates (in chunks of ``CHUNK``) become a prefix tree; the leader's set
+   walks down it.
+3. Classes that are in one component already need no further pair. An n-gram whose classes are in
+   different components is taken as a whole: what each of its sets holds after the n-gram goes into
+   a prefix tree, and all of them walk down together, adding up overlaps along shared paths and
+   leaving a subtree when what remains can't reach the threshold, or when it holds only their own
+   component. What comes out is at most one link for each class (a forest of the components it
+   joins), so nothing grows with pairs. Two sets meet in full at the first n-gram they share, where
+   what follows it is all that they have in common: so no link between components is missed. More
+   than ``GROUP`` sets of one n-gram are dealt to chunks, of which every two meet in a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,9 @@ SLICES = 64
 #: Leaders that a class is tried against: those with which it shares most prefix n-grams.
 LEADERS = 3
 CHUNK = 256
+#: Sets of one n-gram that a task puts into a tree.
+GROUP = 2048
+GROUP_BYTES = 32 << 20
 #: Bits of a key that tell the set's size; larger sizes count as the largest.
 SIZE_BITS = 16
 LARGEST = (1 << SIZE_BITS) - 1
@@ -148,7 +155,7 @@ def _fitting(percent: int):
     return answer
 
 
-FOUND = "kind int, doc_id long, blk int, sig binary, n int, gram long, pos int, cells binary"
+FOUND = "kind int, doc_id long, sig binary, n int, gram long, pos int, cells binary, grams binary"
 
 
 def cells_of(grams: np.ndarray) -> bytes:
@@ -168,7 +175,7 @@ def most_common(a: bytes, b: bytes) -> float:
 
 
 def _candidates(buckets: int, n: int, percent: int, levels):
-    """Rows of kind 0 (a document), 1 (a shared prefix n-gram of a set), 2 (a set that has some)."""
+    """Rows of kind 0 (a document), 1 (a shared prefix n-gram of a set), 2 (a set that has some, whole)."""
 
     def find(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Sets(table, n, percent, levels.value)
@@ -181,37 +188,25 @@ def _candidates(buckets: int, n: int, percent: int, levels):
         hit = np.flatnonzero(shared)
         involved = np.unique(owner[hit])
         own = [signatures[i] for i in involved.tolist()]
-        blk = table.column("blk")[0].as_py()
         kinds = [
             {"kind": 0, "doc_id": table.column("doc_id").combine_chunks(), "sig": pa.array(block.signatures, pa.binary()), "n": pa.array(block.sizes, pa.int32())},
             {"kind": 1, "sig": pa.array([signatures[i] for i in owner[hit].tolist()], pa.binary()), "n": pa.array(sizes[owner[hit]], pa.int32()), "gram": pa.array(block.prefix[hit].view(np.int64)), "pos": pa.array(place[hit].astype(np.int32))},
-            {"kind": 2, "sig": pa.array(own, pa.binary()), "n": pa.array(sizes[involved], pa.int32()), "cells": pa.array([cells_of(block.sets[x]) for x in own], pa.binary())},
+            {"kind": 2, "sig": pa.array(own, pa.binary()), "n": pa.array(sizes[involved], pa.int32()), "cells": pa.array([cells_of(block.sets[x]) for x in own], pa.binary()), "grams": pa.array([block.sets[x].tobytes() for x in own], pa.binary())},
         ]
-        return pa.concat_tables([_filled(x, blk) for x in kinds])
+        return pa.concat_tables([_filled(x) for x in kinds])
 
     return find
 
 
-_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "blk": pa.int32(), "sig": pa.binary(), "n": pa.int32(), "gram": pa.int64(), "pos": pa.int32(), "cells": pa.binary()}
+_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "sig": pa.binary(), "n": pa.int32(), "gram": pa.int64(), "pos": pa.int32(), "cells": pa.binary(), "grams": pa.binary()}
 
 
-def _filled(columns: dict, blk: int) -> pa.Table:
+def _filled(columns: dict) -> pa.Table:
     rows = len(columns["sig"])
-    columns = columns | {"kind": pa.array([columns["kind"]] * rows, pa.int32()), "blk": pa.array([blk] * rows, pa.int32())}
+    columns = columns | {"kind": pa.array([columns["kind"]] * rows, pa.int32())}
     return pa.table({k: columns.get(k, pa.nulls(rows, t)) for k, t in _TYPES.items()})
 
 
-def _give(n: int, percent: int, levels):
-    """The whole sets that a block is asked for."""
-
-    def give(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        own: dict[bytes, np.ndarray] = Sets(table, n, percent, levels.value).sets if wanted.num_rows else {}
-        names = sorted(x for x in wanted.column("sig").to_pylist() if x in own)
-        return pa.table({"sig": pa.array(names, pa.binary()), "grams": pa.array([own[x].tobytes() for x in names], pa.binary())})
-
-    return give
-
-
 class PrefixTree:
     """Ordered sets as a path-compressed trie: sorted, with the length of each common path."""
 
@@ -262,6 +257,156 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+class Forest:
+    """Links that join components, among sets of which each tree member shares an n-gram with each probe.
+
+    ``after`` are the sets' n-grams behind that one; ``sizes`` are of the whole sets.
+    """
+
+    def __init__(self, after: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, tree: np.ndarray, probes: np.ndarray, percent: int):
+        self.percent, self.labels = percent, np.unique(labels, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+        lengths = np.array([len(a) for a in after])
+        grams, flat = np.unique(np.concatenate(after), return_inverse=True)
+        ends = np.cumsum(lengths)
+        numbers = [flat[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        self.tree = np.array(sorted(tree.tolist(), key=lambda k: numbers[k].astype(">u4").tobytes()))
+        self.sets = [numbers[k] for k in self.tree]
+        self.lengths, self.sizes = lengths[self.tree], sizes[self.tree]
+        self.common = np.array([_common(a, b) for a, b in zip(self.sets[:-1], self.sets[1:], strict=True)], np.int64)
+        self.probes, self.probe_sizes, self.probe_lengths = probes, sizes[probes], lengths[probes]
+        self.width = len(grams) + 1
+        held = [numbers[k] for k in probes]
+        owner = np.repeat(np.arange(len(probes)), self.probe_lengths)
+        every = np.concatenate(held)
+        self.keys = owner * self.width + every  # sorted: a probe's n-grams, in order
+        self.first = np.cumsum(self.probe_lengths) - self.probe_lengths
+        order = np.argsort(every, kind="stable")
+        self.having, self.at = owner[order], np.searchsorted(every[order], np.arange(self.width + 1))
+
+    def grown(self) -> list[tuple[int, int]]:
+        every = np.arange(len(self.probes))
+        # members low..high share the first ``depth`` n-grams; overlap and n-grams used up, of each active probe
+        stack = [(0, len(self.sets), 0, every, np.ones(len(every), np.int64), np.zeros(len(every), np.int64))]
+        while stack:
+            low, high, depth, active, overlap, used = stack.pop()
+            inner = self.common[low : high - 1]
+            to = int(inner.min()) if len(inner) else int(self.lengths[low])
+            own = np.unique(self.labels[self.tree[low:high]])
+            if len(own) == 1:
+                other = self.labels[self.probes[active]] != own[0]
+                active, overlap, used = active[other], overlap[other], used[other]
+            if len(active) and to > depth:
+                path = self.sets[low][depth:to]
+                spans = [self.having[self.at[g] : self.at[g + 1]] for g in path.tolist()]
+                overlap = overlap + np.bincount(np.concatenate(spans), minlength=len(self.probes))[active]
+                used = np.searchsorted(self.keys, active * self.width + path[-1], "right") - self.first[active]
+            reach = overlap + np.minimum(int(self.lengths[low:high].max()) - to, self.probe_lengths[active] - used)
+            able = self._enough(reach, int(self.sizes[low:high].min()), active)
+            if not able.any():
+                continue
+            active, overlap, used = active[able], overlap[able], used[able]
+            edges = [low, *(np.flatnonzero(inner == to) + low + 1).tolist(), high] if len(inner) else [low, high]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a == 1 and self.lengths[a] == to:  # the path ends here
+                    self._link(a, active[self._enough(overlap, int(self.sizes[a]), active)])
+                else:
+                    stack.append((a, b, to, active, overlap, used))
+        return self.links
+
+    def _enough(self, overlap: np.ndarray, size: int, active: np.ndarray) -> np.ndarray:
+        return overlap * (100 + self.percent) >= self.percent * (size + self.probe_sizes[active])
+
+    def _link(self, member: int, alike: np.ndarray) -> None:
+        m = self.tree[member]
+        for p in self.probes[alike].tolist():
+            if self.labels[p] != self.labels[m]:
+                self.links.append((int(m), p))
+                self.labels[self.labels == self.labels[p]] = self.labels[m]
+
+
+def _side_by_side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by n-gram and chunks, each from the least set to the largest, and where each ends."""
+    key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("gram", "i", "j", "n")])
+    order = np.lexsort(key[::-1])
+    key = key[:3, order]
+    return order, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, len(order))
+
+
+def _promising(table: pa.Table, percent: int) -> pa.Array:
+    """Which of the rows (of some n-grams' chunks) have a partner that could reach the threshold: of another
+    component, of a fitting size, with enough left behind the n-gram, and enough cells in common."""
+    n, left = table.column("n").to_numpy().astype(np.int64), table.column("n").to_numpy() - table.column("pos").to_numpy()
+    labels = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+    chunk, i, j = (table.column(c).to_numpy() for c in ("chunk", "i", "j"))
+    cells = table.column("cells").to_pylist()
+    order, ends = _side_by_side(table)
+    able = np.zeros(len(order), bool)
+    begin = 0
+    for end in ends.tolist():
+        own = order[begin:end]
+        begin = end
+        if len(own) < 2 or (labels[own] == labels[own[0]]).all():
+            continue
+        size, rest = n[own], left[own]
+        high = np.searchsorted(100 * size, 10000 * size // percent, "right")  # sizes that fit, rounded up
+        for k in range(len(own) - 1):
+            m = own[k]
+            others = own[k + 1 : high[k]]
+            ok = (labels[others] != labels[m]) & ((chunk[others] != chunk[m]) | (i[m] == j[m]))
+            ok &= np.minimum(rest[k + 1 : high[k]], rest[k]) * (100 + percent) >= percent * (size[k + 1 : high[k]] + size[k])
+            others = others[ok & ~(able[others] & able[m])]
+            if not len(others):
+                continue
+            good = np.ones(len(others), bool)
+            if cells[m]:
+                mine = np.frombuffer(cells[m], np.uint8)
+                for t, o in enumerate(others.tolist()):
+                    if cells[o]:
+                        theirs = np.frombuffer(cells[o], np.uint8).reshape(-1, len(mine)).sum(0, dtype=np.int64)
+                        good[t] = np.minimum(mine, theirs).sum() * (100 + percent) >= percent * (n[m] + n[o])
+            able[others[good]] = True
+            able[m] |= good.any()
+    return pa.array(able)
+
+
+def _joined(rest: DataFrame, sets: DataFrame, cells: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components, of ``rest`` (gram, sig, n, pos, label); a forest for each n-gram."""
+
+    def promising(table: pa.Table) -> pa.Table:
+        return table.filter(_promising(table, percent)).select(["gram", "i", "j", "chunk", "sig", "n", "pos", "label"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        order, ends = _side_by_side(table)
+        chunk, n = table.column("chunk").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        one, two = table.column("i").to_numpy(), table.column("j").to_numpy()
+        labels = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        ids, after = table.column("sig").to_pylist(), table.column("after").combine_chunks()
+        found: list[tuple[int, int]] = []
+        begin = 0
+        for end in ends.tolist():
+            own = order[begin:end]
+            begin = end
+            tree, probes = np.flatnonzero(chunk[own] == one[own[0]]), np.flatnonzero(chunk[own] == two[own[0]])
+            if len(tree) and len(probes) and (labels[own] != labels[own[0]]).any():
+                sets = [np.frombuffer(after[k].as_buffer(), np.uint64) for k in own.tolist()]
+                found += [(own[a], own[b]) for a, b in Forest(sets, n[own], labels[own], tree, probes, percent).grown()]
+        return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.binary()), "b": pa.array([ids[b] for _, b in found], pa.binary())})
+
+    # so many chunks that neither the sets of one nor their bytes are too many for a task
+    chunks = rest.groupBy("gram").agg((F.floor(F.greatest(F.count("*") / GROUP, F.sum("n") * 8 / GROUP_BYTES)) + 1).cast("int").alias("chunks"))
+    dealt = rest.join(chunks, "gram").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    dealt = dealt.join(cells, "sig").select("gram", "i", "j", "chunk", "sig", "n", "pos", "label", "cells")
+    # a call takes the chunks of some n-grams, which are small
+    calls = 8 * partitions(rest.sparkSession)
+    dealt = dealt.withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls)))
+    some = dealt.groupBy("call").applyInArrow(promising, "gram long, i int, j int, chunk int, sig binary, n int, pos int, label binary")
+    some = scratch.write("promising", some)
+    whole = some.withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls))).join(sets, "sig").withColumn("after", F.expr("substring(grams, 8 * pos + 9)"))
+    return whole.select("call", "gram", "i", "j", "chunk", "sig", "n", "label", "after").groupBy("call").applyInArrow(grow, "a binary, b binary").distinct()
+
+
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the distinct candidate edges (a, b), those whose sets are alike enough; a leads."""
 
@@ -308,6 +453,8 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     for k in range(200):
         after = scratch.write(f"{name}-{k}", step(labels.withColumn("old", F.col("label"))))
+        if k:
+            scratch.drop(f"{name}-{k - 1}")
         if not after.where("label != old").limit(1).count():
             return after.select("node", "label")
         labels = after.select("node", "label")
@@ -338,48 +485,31 @@ def classes(documents: DataFrame, n: int, percent: int, scratch: Scratch) -> tup
     asked = blocks.ask(dealt, _send(buckets, n, percent, levels), "bucket int, blk int, keys binary")
     shared = scratch.write("shared", blocks.answer(asked, _fitting(percent), "blk int, bucket int, kind int, flags binary"), large=True)
     found = scratch.write("found", blocks.resume(dealt, shared, _candidates(buckets, n, percent, levels), FOUND), large=True)
+    scratch.drop("shared")
     documents = found.where("kind = 0").select("doc_id", "sig", "n")
-    cells = found.where("kind = 2").groupBy("sig").agg(F.max("cells").alias("cells"))
-    tokens = found.where("kind = 1").select("gram", "sig", "n", "pos")
-    alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    # the least gram that two sets share: what is left in each there must do
-    left = f"(1 + least(n - pos - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)"
+    # a class stands once for each block that has it
+    sets = found.where("kind = 2").groupBy("sig").agg(F.first("grams").alias("grams"))
+    cells = found.where("kind = 2").groupBy("sig").agg(F.first("cells").alias("cells"))
+    tokens = found.where("kind = 1").groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    tokens = scratch.write("tokens", tokens)
     step = float(np.log(100 / percent))
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-    done: DataFrame | None = None
-    for k in range(2):
-        if k == 0:
-            # sizes in ranges, once more by half a range further: a group of copies is whole in one or the other
-            ranges = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.floor(F.ln("n") / step + h / 2).alias("size")) for h in range(2)]))
-            near = tokens.withColumn("r", ranges).select("gram", "sig", "n", F.col("r.h").alias("h"), F.col("r.size").alias("size"))
-            star = F.struct(F.xxhash64("sig", F.col("h"), F.pmod("gram", F.lit(2))).alias("z"), "sig", "n")
-            lead = near.groupBy("gram", "h", "size").agg(F.min(star).alias("lead"), F.max("sig").alias("x"), F.min("sig").alias("y")).where("x != y").drop("x", "y")
-            pairs = near.join(lead, ["gram", "h", "size"]).select(F.col("lead.sig").alias("a"), F.col("lead.n").alias("m"), F.col("sig").alias("b"), "n").where("a != b")
-        else:
-            rest = scratch.write("rest", _unsettled(tokens, labels))
-            one = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("la"), F.floor(F.ln("n") / step).alias("size"))
-            two = rest.withColumn("size", F.explode(F.array(*[F.floor(F.ln("n") / step) + d for d in (-1, 0, 1)]))).withColumnRenamed("sig", "b")
-            pairs = two.join(one, ["gram", "size"]).where("label > la").where(left).select("a", "m", "b", "n")
-        pairs = pairs.where(alike)
-        if k == 0:
-            pairs = pairs.groupBy("a", "m", "b", "n").agg(F.count("*").alias("grams"))
-            best = Window.partitionBy("b").orderBy(F.desc("grams"), F.xxhash64("a"), "a")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("grams", "rank")
-        else:
-            pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.write(f"pairs{k}", _able(pairs, cells, percent))
-        if k and not pairs.limit(1).count():
-            break
-        done = pairs
-        ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = found.where("kind = 0").select("sig", "blk").join(ends, "sig").groupBy("sig").agg(F.min("blk").alias("blk"))
-        sets = scratch.write(f"sets{k}", blocks.resume(dealt, scratch.write(f"wanted{k}", wanted), _give(n, percent, levels), "sig binary, grams binary"), large=True)
-        links.append(scratch.write(f"links{k}", _verified(pairs, sets, percent)))
-        scratch.drop(f"sets{k}", f"wanted{k}")
-        labels = connected(reduce(DataFrame.unionByName, links), scratch, f"labels{k}")
+    # sizes in ranges, once more by half a range further: a group of copies is whole in one or the other
+    ranges = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.floor(F.ln("n") / step + h / 2).alias("size")) for h in range(2)]))
+    near = tokens.withColumn("r", ranges).select("gram", "sig", "n", F.col("r.h").alias("h"), F.col("r.size").alias("size"))
+    star = F.struct(F.xxhash64("sig", F.col("h"), F.pmod("gram", F.lit(2))).alias("z"), "sig", "n")
+    lead = near.groupBy("gram", "h", "size").agg(F.min(star).alias("lead"), F.max("sig").alias("x"), F.min("sig").alias("y")).where("x != y").drop("x", "y")
+    pairs = near.join(lead, ["gram", "h", "size"]).select(F.col("lead.sig").alias("a"), F.col("lead.n").alias("m"), F.col("sig").alias("b"), "n").where("a != b")
+    pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", "m", "b", "n").agg(F.count("*").alias("grams"))
+    best = Window.partitionBy("b").orderBy(F.desc("grams"), F.xxhash64("a"), "a")
+    pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("grams", "rank")
+    pairs = scratch.write("pairs", _able(pairs, cells, percent))
+    links = scratch.write("links", _verified(pairs, sets, percent))
+    labels = connected(links, scratch, "stars")
+    rest = scratch.write("rest", _unsettled(tokens, labels))
+    more = scratch.write("joined", _joined(rest, sets, cells, percent, scratch))
+    if more.limit(1).count():
+        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), scratch, "joined-labels")
+    scratch.drop("tokens", "pairs", "links", "rest", "promising", "joined")
     return documents, labels
 
 
@@ -413,7 +543,8 @@ def keep_first(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Rows with a null doc_id stay. Where rows share a doc_id, equal ones among the kept are one.
     """
-    found = components(documents, n, percent)
+    scratch = Scratch(documents.sparkSession)
+    found = scratch.write("components", components(documents, n, percent, scratch))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     whole = documents.where("doc_id is not null")
     out = whole.join(kept, whole["doc_id"] == kept["__kept"], "left_semi")

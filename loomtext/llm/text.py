@@ -97,6 +97,63 @@ class Words:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
+class Letters:
+    """UTF-8 words, and hashes of them without one of their letters; word k is ``data[begin[k]:end[k]]``."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.begin, self.end = begin, end
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(_P, len(data)), out=self.total[1:])
+        self.back = powers(_P_INV, len(data) + 1)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # where letters begin
+        self.low, self.high = np.searchsorted(lead, begin), np.searchsorted(lead, end)
+        self.lead = np.append(lead, len(data))
+
+    @classmethod
+    def of_texts(cls, texts: list[str]) -> Letters:
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(c) for c in coded], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64) if texts else ends, ends)
+
+    def _hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[begin]) * self.back[begin]
+
+    def whole(self) -> np.ndarray:
+        return self._hash(self.begin, self.end)
+
+    def begins(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the first n letters of the words that have as many."""
+        which = np.flatnonzero(self.high - self.low >= n)
+        return which, self._hash(self.begin[which], self._place(which, n))
+
+    def _place(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Where the letter n of each word begins, or where the word ends."""
+        at = self.low[which] + n
+        return np.where(at < self.high[which], self.lead[np.minimum(at, len(self.lead) - 1)], self.end[which])
+
+    def without_one(self, m: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of each word, or of the first m letters of longer ones, without each of its letters."""
+        size = self.high - self.low
+        which = np.arange(len(size)) if m is None else np.flatnonzero(size > m)
+        count = size[which] if m is None else np.full(len(which), m)
+        word = np.repeat(which, count)
+        letter = np.repeat(self.low[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        stop = np.repeat(self.end[which] if m is None else self._place(which, m), count)
+        at, after = self.lead[letter], np.minimum(self.lead[letter + 1], stop)
+        begin = self.begin[word]
+        head = (self.total[at] - self.total[begin]) * self.back[begin]
+        # what follows moves to the letter's place
+        tail = (self.total[stop] - self.total[after]) * self.back[begin + (after - at)]
+        return word, head + tail
+
+    def flagged(self, word: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which words have a hash among the sorted keys."""
+        out = np.zeros(len(self.begin), bool)
+        if len(keys) and len(hashes):
+            out[word[keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes]] = True
+        return out
+
+
 def window_sums(h: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums from which ``window_hashes`` takes any window."""
     total = np.zeros(len(h) + 1, np.uint64)

@@ -48,6 +48,48 @@ def test_tree_against_all_pairs():
         assert sorted(tree.walk(probe, 70)) == want
 
 
+def test_forest_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for percent in (60, 80):
+        sets = [np.unique(rng.integers(0, 25, rng.integers(0, 20)).astype(np.uint64)) for _ in range(200)]
+        labels, sizes = rng.integers(0, 120, 200), np.array([len(s) + 1 for s in sets])
+        alike = lambda i, j: 100 * (len(np.intersect1d(sets[i], sets[j])) + 1) >= percent * len(np.union1d(sets[i], sets[j])) + percent  # noqa: E731, B023
+        for tree, probes in ((np.arange(200), np.arange(200)), (np.arange(90), np.arange(90, 200))):
+            links = jaccard_join.Forest(sets, sizes, labels, tree, probes, percent).grown()
+            assert all(labels[i] != labels[j] and alike(i, j) for i, j in links) and len(links) < 120
+
+            def parts(edges):
+                top = list(range(200))
+
+                def find(x):
+                    while top[x] != x:
+                        x = top[x]
+                    return x
+
+                for i, j in edges:
+                    top[find(i)] = find(j)
+                return {frozenset(i for i in range(200) if find(i) == r) for r in {find(i) for i in range(200)}}
+
+            first = [(int(np.flatnonzero(labels == v)[0]), int(i)) for i, v in enumerate(labels)]
+            every = [(i, j) for i in tree.tolist() for j in probes.tolist() if i != j and alike(i, j)]
+            assert parts(first + links) == parts(first + every)
+
+
+def test_common_gram_of_a_thousand_variants(spark, monkeypatch):
+    """Variants of one short text that share most n-grams; nearly none are links, some are chains."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 150)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(900):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(3)}"
+        docs.append((i, " ".join(w[: rng.randrange(40, 61)])))
+    for percent in (80, 90):
+        assert run(spark, docs, percent=percent) == sorted(near_components(docs, 3, percent), key=str)
+
+
 def test_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"zz", b"zy")], "a binary, b binary")
     got = {bytes(r[0]): bytes(r[1]) for r in jaccard_join.connected(edges, Scratch(spark), "t").collect()}
