@@ -4,25 +4,28 @@ For each language a suffix automaton is built of labelled text. A text is parsed
 where the last phrase ended, the longest match is the next phrase. The language that needs the
 fewest phrases, in proportion to what it needs for text of its own kind, wins.
 
-The automata of all languages form one table (state and letter to state), and the texts of a batch
-are parsed side by side, one letter of each at a step; texts are cut into pieces of ``PIECE``
-letters, each parsed by itself, so a long text is many short ones and nothing of it is skipped.
+The automata of all languages form one sparse table, a hash table of (state, letter) to state, so
+any number of letters and languages has room. Texts are cut into pieces of ``PIECE`` letters that are
+parsed side by side, one letter of each at a step. A piece's first phrases may begin elsewhere than
+in a parse of the whole text, so the parse of the piece before is carried on into it until both
+begin a phrase at the same letter; from there on they agree. What comes out is the parse of the
+whole text, whatever the pieces.
 
-Scale: fitted on at most ``SAMPLE`` labelled documents of each language (the least by hash), of
-whose text ``LETTERS`` make the automaton and as many the norm; the table is bounded by the number
-of languages. Documents are only mapped.
+Scale: fitted on at most ``SAMPLE`` labelled documents of each language (those of least hashed id),
+from which ``LETTERS`` make the automaton and as many the norm. Every sampled document gives an even
+share, short ones pass on what they lack, and a share is a span from anywhere in its text. Documents
+are only mapped.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, need
@@ -30,168 +33,260 @@ from .text import CHUNK
 
 #: Bounds of the fit: labelled documents of each language, and letters of the automaton and of the norm.
 SAMPLE, LETTERS = 200, 30_000
-#: Languages that are told apart at most: those with the most labelled rows.
-LANGUAGES = 200
 PIECE = 512
-#: Letters that the table knows, by how often they occur in the samples; others are one letter.
-ALPHABET = 62
-LETTER = re.compile(r"[^\W\d_]")
+#: Flags of a batch of pieces: letters times pieces times languages.
+FLAGS = 1 << 25
+LETTER = regex.compile(r"\p{L}")
 _SPACE, _OTHER = 0, 1
 
 
-def automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """The suffix automaton of a text of letters below ``size``: next state, or -1; state 0 is the root."""
-    states = 2 * len(text) + 2
-    step = np.full((states, size), -1, np.int32)
-    link, length = [-1] + [0] * (states - 1), [0] * states
+class Table:
+    """(state, letter) to state, as open addressing over 64-bit keys; -1 where there is none."""
+
+    def __init__(self, states: np.ndarray, letters: np.ndarray, to: np.ndarray, width: int):
+        self.width = width
+        keys = states.astype(np.int64) * width + letters
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.mask, self.keys, self.to = size - 1, np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = (self._slot(keys[left]) + step) & self.mask
+            free = self.keys[at] < 0
+            at_free, first = np.unique(at[free], return_index=True)
+            chosen = left[free][first]
+            self.keys[at_free], self.to[at_free] = keys[chosen], to[chosen]
+            left = np.setdiff1d(left, chosen, assume_unique=True)
+            step += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        keys = states * self.width + letters
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.to[at[hit]]
+            more = ~hit & (held >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a text: of each state its letters and next states; state 0 is the root."""
+    link, length = [-1], [0]
     move: list[dict[int, int]] = [{}]
     last = 0
-    for c in text.tolist():
+    for c in text:
         new = len(move)
         move.append({})
-        length[new] = length[last] + 1
+        length.append(length[last] + 1)
+        link.append(0)
         at = last
         while at != -1 and c not in move[at]:
             move[at][c] = new
             at = link[at]
-        if at == -1:
-            link[new] = 0
-        else:
+        if at != -1:
             q = move[at][c]
             if length[q] == length[at] + 1:
                 link[new] = q
             else:
                 copy = len(move)
                 move.append(dict(move[q]))
-                length[copy], link[copy] = length[at] + 1, link[q]
+                length.append(length[at] + 1)
+                link.append(link[q])
                 while at != -1 and move[at].get(c) == q:
                     move[at][c] = copy
                     at = link[at]
                 link[q] = link[new] = copy
         last = new
-    for k, row in enumerate(move):
-        for c, to in row.items():
-            step[k, c] = to
-    return step[: len(move)]
+    return move
 
 
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray  # of each code point below 0x10000 its letter
-    step: np.ndarray  # all automata, flat: state * letters + letter -> state
+    points: np.ndarray  # code points of the letters known, sorted; letter k + 2
+    table: Table
     roots: np.ndarray
+    first: np.ndarray  # of each language and letter, the state from the root, or -1
     norm: np.ndarray  # phrases a letter that each language needs for its own text
-    width: int
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters = self.codes[np.minimum(points, 0xFFFF)]
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        letters = np.where(self.points[at] == points, at + 2, _OTHER) if len(self.points) else np.full(len(points), _OTHER)
+        letters[np.isin(points, _BLANKS)] = _SPACE
         keep = np.ones(len(letters), bool)
         keep[1:] = (letters[1:] != _SPACE) | (letters[:-1] != _SPACE)
         return letters[keep]
 
-    def phrases(self, pieces: list[np.ndarray]) -> np.ndarray:
-        """For each piece and language, the number of phrases of its parse."""
-        count = np.zeros((len(pieces), len(self.roots)), np.int64)
-        order = np.argsort([-len(p) for p in pieces], kind="stable")
-        longest = [len(pieces[i]) for i in order]
-        if not pieces or not longest[0]:
-            return count
-        grid = np.zeros((longest[0], len(pieces)), np.int64)
-        for k, i in enumerate(order.tolist()):
-            grid[: len(pieces[i]), k] = pieces[i]
-        active = np.searchsorted(-np.array(longest), -np.arange(longest[0]), "left")  # pieces that have a letter at this step
-        state = np.tile(self.roots, (len(pieces), 1))
-        found = np.zeros_like(count)
-        for t in range(longest[0]):
-            n = int(active[t])
-            letters = grid[t, :n, None]
-            to = self.step[state[:n] * self.width + letters]
-            stuck = to < 0
-            again = self.step[self.roots[None, :] * self.width + letters]
-            alone = stuck & (again < 0)  # a letter that the language hasn't got is a phrase
-            found[:n] += (stuck & (state[:n] != self.roots)) + alone.astype(np.int64)
-            state[:n] = np.where(stuck, np.where(alone, self.roots, again), to)
-        count[order] = found + (state != self.roots)
+    def _step(self, state: np.ndarray, letters: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins with these letters. At a root nothing is pending."""
+        to = self.table.find(state, letters)
+        fresh = (to < 0) | (state == self.roots[language])
+        again = self.first[language, letters]
+        # a letter that the language hasn't got is a phrase by itself
+        return np.where(fresh, np.where(again < 0, self.roots[language], again), to), fresh
+
+    def phrases(self, texts: list[np.ndarray], piece: int = PIECE) -> np.ndarray:
+        """For each text and language, the number of phrases of its parse."""
+        count = np.zeros((len(texts), len(self.roots)), np.int64)
+        pieces = [(k, a) for k, t in enumerate(texts) for a in range(0, len(t), piece)]
+        most = max(1, FLAGS // (piece * len(self.roots)))
+        at, unsettled = 0, set()
+        while at < len(pieces):
+            to = min(len(pieces), at + most)
+            while to < len(pieces) and to > at + 1 and pieces[to][1]:  # whole texts, unless one is more than a batch
+                to -= 1
+            if to < len(pieces) and pieces[to][1]:
+                to = next((k for k in range(to, len(pieces)) if not pieces[k][1]), len(pieces))
+            unsettled |= self._parse(texts, pieces[at:to], piece, count)
+            at = to
+        if unsettled:  # a piece that never began a phrase with the parse before it: take longer pieces
+            again = sorted(unsettled)
+            count[again] = self.phrases([texts[k] for k in again], 8 * piece)
         return count
 
+    def _parse(self, texts: list[np.ndarray], pieces: list[tuple[int, int]], piece: int, count: np.ndarray) -> set[int]:
+        """Adds up the phrases of whole texts; texts whose pieces don't all settle are returned and count nothing."""
+        n, many = len(pieces), len(self.roots)
+        order = sorted(range(n), key=lambda p: -min(piece, len(texts[pieces[p][0]]) - pieces[p][1]))
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        lengths = np.array([min(piece, len(texts[pieces[p][0]]) - pieces[p][1]) for p in order])
+        grid = np.zeros((int(lengths[0]), n), np.int64)
+        for r, p in enumerate(order):
+            k, a = pieces[p]
+            grid[: lengths[r], r] = texts[k][a : a + piece]
+        language = np.tile(np.arange(many), n).reshape(n, many)
+        state = np.tile(self.roots, (n, 1))
+        begins = np.zeros((int(lengths[0]), n, many), bool)
+        for t in range(int(lengths[0])):
+            m = int(np.searchsorted(-lengths, -t, "left"))  # pieces that have a letter at this step
+            letters = np.repeat(grid[t, :m], many)
+            new, fresh = self._step(state[:m].ravel(), letters, language[:m].ravel())
+            state[:m], begins[t, :m] = new.reshape(m, many), fresh.reshape(m, many)
+        total = begins.sum(0, dtype=np.int64)
+        # carry each piece's parse on into the next one of its text until both begin a phrase at a letter
+        goes_on = np.array([p for p in range(1, n) if pieces[p][0] == pieces[p - 1][0]], np.int64)
+        unsettled: set[int] = set()
+        if len(goes_on):
+            at, lang = np.repeat(row[goes_on], many), np.tile(np.arange(many), len(goes_on))
+            own = state[np.repeat(row[goes_on - 1], many), lang]
+            t = 0
+            while len(at):
+                over = lengths[at] <= t
+                if over.any():
+                    owners = np.array(order)[at[over]]
+                    unsettled |= {pieces[p][0] for p in owners.tolist() if p + 1 < n and pieces[p + 1][0] == pieces[p][0]}
+                    at, lang, own = at[~over], lang[~over], own[~over]
+                    continue
+                own, fresh = self._step(own, grid[t, at], lang)
+                alone = begins[t, at, lang]
+                settled = fresh & alone
+                total[at, lang] += np.where(settled, 0, fresh.astype(np.int64) - alone)
+                at, lang, own = at[~settled], lang[~settled], own[~settled]
+                t += 1
+        owner = np.array([k for k, _ in pieces])
+        np.add.at(count, owner, total[row])
+        return unsettled
+
     def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is the winner's share against the others."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        pieces: list[np.ndarray] = []
-        owner: list[int] = []
-        size = np.zeros(len(texts))
-        for k, text in enumerate(texts):
-            if text and self.languages and LETTER.search(text):
-                letters = self.encode(text)
-                size[k] = len(letters)
-                cut = [letters[a : a + PIECE] for a in range(0, len(letters), PIECE)]
-                pieces += cut
-                owner += [k] * len(cut)
-        if not pieces:
-            return out
-        total = np.zeros((len(texts), len(self.roots)))
-        for at in range(0, len(pieces), 4096):
-            np.add.at(total, owner[at : at + 4096], self.phrases(pieces[at : at + 4096]))
-        for k in set(owner):
-            need_ = total[k] / self.norm
-            best = int(np.argmin(need_))
-            # each phrase too many halves a language's weight
-            weight = np.exp2(-np.minimum((need_ - need_[best]) * float(self.norm.mean()), 60.0))
-            out[k] = self.languages[best], float(weight[best] / weight.sum())
+        some = [k for k, text in enumerate(texts) if text and self.languages and LETTER.search(text)]
+        if some:
+            for k, phrases in zip(some, self.phrases([self.encode(texts[k]) for k in some]), strict=True):
+                need_ = phrases / self.norm
+                best = int(np.argmin(need_))
+                # each phrase too many halves a language's weight
+                weight = np.exp2(-np.minimum((need_ - need_[best]) * float(self.norm.mean()), 60.0))
+                out[k] = self.languages[best], float(weight[best] / weight.sum())
         return out
 
 
+_BLANKS = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
 def _flat(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def shares(lengths: list[int], letters: int) -> list[int]:
+    """An even share of ``letters`` for each text; what short ones lack goes to the others."""
+    out, left = [0] * len(lengths), letters
+    for place, k in enumerate(sorted(range(len(lengths)), key=lambda k: lengths[k])):
+        out[k] = min(lengths[k], left // (len(lengths) - place))
+        left -= out[k]
+    return out
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE, letters: int = LETTERS) -> Model:
-    """From (doc_id, text, lang) rows with a language; rows without a letter teach nothing."""
+    """From (doc_id, text, lang) rows with a language; rows without a letter teach nothing.
+
+    Of rows that share a language and doc_id one is read, that with the first text by code point of its span.
+    """
+    spark = documents.sparkSession
     rows = documents.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    bound = 4 * letters // sample + 200  # letters of each sampled document, so that all of them are heard
-    size = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
-    # hashes are spread evenly, so about twice the sample lies below this bound
-    share = size.select(F.col("lang").alias("l"), (F.lit(2.0 * sample) / F.col("rows") * 2.0**31).alias("most"))
+    rows = rows.select("lang", "text", F.coalesce("doc_id", F.lit("")).alias("id")).withColumn("h", F.xxhash64("id"))
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
+    # hashes are spread evenly, so about four times the sample lies below this bound
+    share = size.select(F.col("lang").alias("l"), (F.lit(4.0 * sample) / F.col("ids") * 2.0**31).alias("most"))
     near = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 31)) <= F.col("most"))
-    by: dict[str, list[str]] = {}
-    top = near.select("lang", "h", "doc_id", F.substring("text", 1, bound).alias("t")).groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(h, doc_id, t))), 1, {sample})").alias("x"))
-    for r in top.orderBy("lang").collect():  # sample texts of bounded length for each language
-        by[r["lang"]] = [_flat(x["t"]) for x in r["x"]]
-    return build(by, letters)
+    ids = near.groupBy("lang", "id", "h").agg(F.max(F.length("text")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = sorted(ids.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "rank", "id", "n").collect())  # a sample of ids for each language
+    by: dict[str, list] = {}
+    for r in chosen:
+        by.setdefault(r["lang"], []).append(r)
+    wanted = []
+    for own in by.values():
+        for half in (own[::2], own[1::2]):  # those of the automaton and those of the norm
+            wanted += [(r["lang"], r["id"], r["rank"], k) for r, k in zip(half, shares([r["n"] for r in half], letters), strict=True) if k]
+    if not wanted:
+        return build({})
+    table = spark.createDataFrame(wanted, "l string, i string, rank int, share int")
+    spans = rows.join(F.broadcast(table), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i")))
+    begin = F.expr("cast(pmod(xxhash64(id, 1), greatest(length(text) - share, 0) + 1) + 1 as int)")
+    spans = spans.select("lang", "rank", F.substring(F.col("text"), begin, F.col("share")).alias("t")).groupBy("lang", "rank").agg(F.min("t").alias("t"))
+    texts: dict[str, tuple[list[str], list[str]]] = {}
+    for lang, rank, t in sorted(map(tuple, spans.collect())):  # LETTERS letters twice for each language
+        texts.setdefault(lang, ([], []))[(rank - 1) % 2].append(_flat(t))
+    return build(texts)
 
 
-def build(by: dict[str, list[str]], letters: int = LETTERS) -> Model:
+def build(by: dict[str, tuple[list[str], list[str]]]) -> Model:
+    """The model of languages, each with texts for its automaton and texts for its norm (the same ones where there are none)."""
     languages = sorted(by)
-    train = {k: " ".join(by[k][::2])[:letters] for k in languages}
-    other = {k: " ".join(by[k][1::2])[:letters] or train[k] for k in languages}
-    points: dict[str, int] = {}
-    for text in train.values():
-        for c in set(text):
-            if LETTER.match(c) and ord(c) < 0xFFFF:
-                points[c] = points.get(c, 0) + text.count(c)
-    known = sorted(points, key=lambda c: (-points[c], c))[:ALPHABET]
-    codes = np.full(0x10000, _OTHER, np.int64)
-    codes[[i for i in range(0x10000) if chr(i).isspace()]] = _SPACE
-    for k, c in enumerate(sorted(known)):
-        codes[ord(c)] = k + 2
-    model = Model(languages, codes, np.zeros(0, np.int64), np.zeros(len(languages), np.int64), np.ones(len(languages)), len(known) + 2)
-    if not languages:
-        return model
-    codes[0xFFFF] = _OTHER
-    parts, base = [], 0
+    train = {k: " ".join(by[k][0]) for k in languages}
+    other = {k: " ".join(by[k][1]) or train[k] for k in languages}
+    points = np.array(sorted({ord(c) for t in train.values() for c in t if LETTER.match(c)}), np.uint32)
+    width = len(points) + 2
+    none = np.zeros(0, np.int64)
+    model = Model(languages, points, Table(none, none, none, width), np.zeros(len(languages), np.int64), np.full((len(languages), width), -1), np.ones(len(languages)))
+    states, letters, to, base = [], [], [], 0
     for k, lang in enumerate(languages):
-        step = automaton(model.encode(train[lang]), model.width)
+        moves = automaton(model.encode(train[lang]).tolist())
         model.roots[k] = base
-        parts.append(np.where(step < 0, -1, step + base))
-        base += len(step)
-    model.step = np.concatenate(parts).ravel()
+        for s, row in enumerate(moves):
+            states += [base + s] * len(row)
+            letters += row.keys()
+            to += [base + x for x in row.values()]
+        for c, x in moves[0].items():
+            model.first[k, c] = base + x
+        base += len(moves)
+    model.table = Table(np.array(states, np.int64), np.array(letters, np.int64), np.array(to, np.int64), width)
     for k, lang in enumerate(languages):
         text = model.encode(other[lang])
-        cut = [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
-        model.norm[k] = max(model.phrases(cut)[:, k].sum() / max(1, len(text)), 1e-3)
+        model.norm[k] = max(model.phrases([text])[0, k] / max(1, len(text)), 1e-3)
     return model
 
 

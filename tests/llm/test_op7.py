@@ -21,14 +21,53 @@ def greedy(text, train):
 
 def test_parse_against_search():
     rng = random.Random(1)
-    by = {lang: ["".join(rng.choice(letters) for _ in range(400)) for _ in range(4)] for lang, letters in (("x", "abcd "), ("y", "cdef "), ("z", "éaß "))}
-    model = langid.build(by, 1000)
-    texts = ["".join(rng.choice("abcdefé 1") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + ["a", "q" * 30]
-    pieces = [model.encode(t) for t in texts]
-    got = model.phrases(pieces)
-    for k, lang in enumerate(model.languages):
-        train = model.encode(" ".join(by[lang][::2])[:1000])
-        assert got[:, k].tolist() == [greedy(p.tolist(), train.tolist()) for p in pieces]
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(400))
+    by = {lang: ([text(letters) for _ in range(2)], [text(letters)]) for lang, letters in (("x", "abcd "), ("y", "cdef "), ("z", "éaß "))}
+    model = langid.build(by)
+    texts = ["".join(rng.choice("abcdefé 1") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + ["a", "q" * 30, "", "abcd" * 50]
+    letters = [model.encode(t) for t in texts]
+    for piece in (1, 3, 8, 512):
+        got = model.phrases(letters, piece)
+        for k, lang in enumerate(model.languages):
+            train = model.encode(" ".join(by[lang][0]))
+            assert got[:, k].tolist() == [greedy(p.tolist(), train.tolist()) for p in letters]
+
+
+def test_pieces_that_never_agree():
+    """A text that is one phrase: no piece begins where the whole does."""
+    rng = random.Random(2)
+    whole = "".join(rng.choice("ab") for _ in range(600))
+    model = langid.build({"x": ([whole], [whole])})
+    assert model.phrases([model.encode(whole), model.encode(whole[3:500])], 16).tolist() == [[1], [1]]
+
+
+def test_many_letters_and_languages():
+    rng = random.Random(3)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    far = [chr(c) for c in range(0x10330, 0x1034A)]
+    by = {f"l{k:03}": ([text := " ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(60))], [text]) for k, own in enumerate([wide[13 * k : 13 * k + 13] for k in range(230)])}
+    by["far"] = ([" ".join("".join(rng.choice(far) for _ in range(4)) for _ in range(60))], [])
+    model = langid.build(by)
+    said = model.judge(["".join(wide[13 * k : 13 * k + 9]) for k in range(230)] + ["".join(far[:9]), "½ ² 3", None])
+    assert [x[0] for x in said] == [f"l{k:03}" for k in range(230)] + ["far", "und", "und"]
+
+
+def test_shares():
+    assert langid.shares([5, 100, 50, 1], 60) == [5, 27, 27, 1]
+    assert langid.shares([5, 6], 100) == [5, 6] and langid.shares([], 5) == []
+
+
+def test_few_long_labelled_texts(spark):
+    """A language of one long document, whose opening is that of the others; repeated rows of one id."""
+    opening = "alpha beta gamma delta " * 100
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 7)))
+    body = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [(1, opening + body("rstlne", 4000), "a")] + [(2, opening + body("bcdfgk", 3000), "b")] * 30 + [(None, body("mopquv", 300), "c")] * 3
+    rows += [(10, body("rstlne", 60), None), (11, body("bcdfgk", 60), None), (12, body("mopquv", 60), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r[0]: r[1] for r in langid.identify(d, langid.F.lit(False)).select("row.doc_id", "lang_pred").collect()}
+    assert (got[10], got[11], got[12]) == ("a", "b", "c")
 
 
 def test_cases(spark):
