@@ -44,30 +44,33 @@ class Table:
     """(state, letter) to state, as open addressing over 64-bit keys; -1 where there is none."""
 
     def __init__(self, states: np.ndarray, letters: np.ndarray, to: np.ndarray, width: int):
-        self.width = width
         keys = states.astype(np.int64) * width + letters
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.mask, self.keys, self.to = size - 1, np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        self.width = width
+        self.kind = np.int32 if not len(keys) or keys.max() < 1 << 31 else np.int64
+        keys = keys.astype(self.kind)
+        size = 1 << max(4, int(3 * len(keys)).bit_length())
+        self.shift = np.uint32(33 - size.bit_length())
+        self.mask, self.keys, self.to = size - 1, np.full(size, -1, self.kind), np.full(size, -1, self.kind)
         left, step = np.arange(len(keys)), 0
         while len(left):
             at = (self._slot(keys[left]) + step) & self.mask
-            free = self.keys[at] < 0
-            at_free, first = np.unique(at[free], return_index=True)
-            chosen = left[free][first]
-            self.keys[at_free], self.to[at_free] = keys[chosen], to[chosen]
-            left = np.setdiff1d(left, chosen, assume_unique=True)
+            free = np.flatnonzero(self.keys[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            chosen = free[first]
+            self.keys[taken], self.to[taken] = keys[left[chosen]], to[left[chosen]]
+            left = np.delete(left, chosen)
             step += 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp)
 
     def find(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        keys = states * self.width + letters
+        keys = states * self.kind(self.width) + letters
         at = self._slot(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.to[at], -1)
-        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        held, out = self.keys.take(at), self.to.take(at)
+        other = held != keys
+        out[other] = -1
+        open_ = np.flatnonzero(other & (held >= 0))
         at = at[open_]
         while len(open_):
             at = (at + 1) & self.mask
@@ -116,7 +119,7 @@ class Model:
     points: np.ndarray  # code points of the letters known, sorted; letter k + 2
     table: Table
     roots: np.ndarray
-    first: np.ndarray  # of each language and letter, the state from the root, or -1
+    first: np.ndarray  # of each language and letter, the state from the root, or the root
     norm: np.ndarray  # phrases a letter that each language needs for its own text
 
     def encode(self, text: str) -> np.ndarray:
@@ -132,9 +135,8 @@ class Model:
         """The next states, and where a phrase begins with these letters. At a root nothing is pending."""
         to = self.table.find(state, letters)
         fresh = (to < 0) | (state == self.roots[language])
-        again = self.first[language, letters]
-        # a letter that the language hasn't got is a phrase by itself
-        return np.where(fresh, np.where(again < 0, self.roots[language], again), to), fresh
+        again = self.first[language, letters]  # the root itself for a letter that the language hasn't got: a phrase alone
+        return np.where(fresh, again, to), fresh
 
     def phrases(self, texts: list[np.ndarray], piece: int = PIECE) -> np.ndarray:
         """For each text and language, the number of phrases of its parse."""
@@ -162,7 +164,7 @@ class Model:
         row = np.empty(n, np.int64)
         row[order] = np.arange(n)
         lengths = np.array([min(piece, len(texts[pieces[p][0]]) - pieces[p][1]) for p in order])
-        grid = np.zeros((int(lengths[0]), n), np.int64)
+        grid = np.zeros((int(lengths[0]), n), self.table.kind)
         for r, p in enumerate(order):
             k, a = pieces[p]
             grid[: lengths[r], r] = texts[k][a : a + piece]
@@ -271,19 +273,21 @@ def build(by: dict[str, tuple[list[str], list[str]]]) -> Model:
     points = np.array(sorted({ord(c) for t in train.values() for c in t if LETTER.match(c)}), np.uint32)
     width = len(points) + 2
     none = np.zeros(0, np.int64)
-    model = Model(languages, points, Table(none, none, none, width), np.zeros(len(languages), np.int64), np.full((len(languages), width), -1), np.ones(len(languages)))
+    model = Model(languages, points, Table(none, none, none, width), none, none, np.ones(len(languages)))
+    roots, firsts = [], []
     states, letters, to, base = [], [], [], 0
     for k, lang in enumerate(languages):
         moves = automaton(model.encode(train[lang]).tolist())
-        model.roots[k] = base
+        roots.append(base)
         for s, row in enumerate(moves):
             states += [base + s] * len(row)
             letters += row.keys()
             to += [base + x for x in row.values()]
-        for c, x in moves[0].items():
-            model.first[k, c] = base + x
+        firsts.append([base + moves[0].get(c, 0) for c in range(width)])
         base += len(moves)
     model.table = Table(np.array(states, np.int64), np.array(letters, np.int64), np.array(to, np.int64), width)
+    model.roots = np.array(roots, model.table.kind)
+    model.first = np.array(firsts, model.table.kind)
     for k, lang in enumerate(languages):
         text = model.encode(other[lang])
         model.norm[k] = max(model.phrases([text])[0, k] / max(1, len(text)), 1e-3)

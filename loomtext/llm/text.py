@@ -146,14 +146,35 @@ class Letters:
         tail = (self.total[stop] - self.total[after]) * self.back[begin + (after - at)]
         return word, head + tail
 
-    def flagged(self, word: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Which words have a hash among the sorted keys."""
+    def flagged(self, word: np.ndarray, hashes: np.ndarray, keys: Keys) -> np.ndarray:
+        """Which words have a hash among the keys."""
         out = np.zeros(len(self.begin), bool)
-        if len(keys) and len(hashes):
-            out[word[keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes]] = True
+        out[word[keys.has(hashes)]] = True
         return out
 
 
+class Keys:
+    """A set of hashes: a small table says no to nearly all that aren't in it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.table = np.zeros(1 << 18, bool)
+        self.table[self._cell(self.sorted)] = True
+
+    def __len__(self) -> int:
+        return len(self.sorted)
+
+    @staticmethod
+    def _cell(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of those that are in the set."""
+        maybe = np.flatnonzero(self.table[self._cell(hashes)])
+        at = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), max(0, len(self.sorted) - 1))
+        return maybe[self.sorted[at] == hashes[maybe]] if len(maybe) else maybe
+
+
 def window_sums(h: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums from which ``window_hashes`` takes any window."""
     total = np.zeros(len(h) + 1, np.uint64)
