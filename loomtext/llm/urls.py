@@ -1,13 +1,14 @@
 """URL filter: rules first, then host word segmentation and multinomial naive Bayes.
 
-Host names run words together; a unigram model over the words of all pages (counts in the text of
-the pages) splits each label of a host by Viterbi into its likeliest words. The segmented host and
-path tokens are the features of a multinomial naive Bayes whose examples are the pages that the
-rules judge; every other page gets the class that it says.
-
-Scale: word and token counts are summed within tasks and cut to fixed sizes (the ``VOCABULARY``
-commonest words, 2**18 cells of hashed tokens), so what goes to the executors doesn't grow; pages
-are otherwise only mapped.
+Host names run words together; a unigram model over the words of all pages (counts of every word of
+two letters or more in the text of the pages) splits each part of a host by Viterbi into its
+likeliest words. The segmented host and path tokens are the features of a multinomial naive Bayes
+whose examples are the pages that the rules judge; every other page gets the class that it says.
+
+Scale: word counts are summed within tasks and stay a table. What is asked of it is small: the
+substrings of the distinct parts of hosts, joined to it by key; parts are split once each, and hosts
+carry their words to the pages by a join. Token counts are summed in 2**18 hashed cells; those, some
+MB at any input, are all that is broadcast.
 """
 
 from __future__ import annotations
@@ -16,22 +17,20 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import Scratch, need
 
 #: (rule, verdict): a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words of the unigram model: the commonest of all pages, ties by code point.
-VOCABULARY = 1 << 16
 CELLS = 1 << 18
-LONGEST = 24
 TOKEN = re.compile(r"[^\W_]+")
+#: Parts of a host, for the JVM.
+PART = r"[\p{L}\p{N}]+"
 
 
 def host_of(url: Column) -> Column:
@@ -64,48 +63,39 @@ def judged_by(rules: tuple[tuple[str, str], ...], host: Column, path: Column) ->
     return rule, verdict
 
 
-@dataclass
-class Segmenter:
-    """Unigram Viterbi over the letters of a name."""
-
-    log_p: dict[str, float]
-    unknown: float  # of one letter that no word covers
-
-    @classmethod
-    def of(cls, counts: list[tuple[str, int]]) -> Segmenter:
-        total = sum(c for _, c in counts) + 1
-        # a word costs one more factor 1/2 for each, so that a known whole beats its known parts only when likelier
-        return cls({w: math.log(c / total) for w, c in counts}, math.log(0.1 / total))
-
-    def split(self, name: str) -> list[str]:
-        best = [0.0] + [-math.inf] * len(name)
-        back = [0] * (len(name) + 1)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                p = self.log_p.get(name[start:end])
-                if p is None:
-                    p = self.unknown * (end - start)
-                if best[start] + p > best[end]:
-                    best[end], back[end] = best[start] + p, start
-        out: list[str] = []
-        end = len(name)
-        while end:
+def split(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words of a name under the unigram model; letters that no word covers stay together.
+
+    A letter by itself has a tenth of the probability of a word that stands once. Of equally likely
+    ways the one whose last words are longest wins.
+    """
+    unknown = math.log(0.1 / total)
+    lengths = sorted({len(w) for w in counts}, reverse=True)
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    for end in range(1, len(name) + 1):
+        for size in lengths:
+            if size <= end and (n := counts.get(name[end - size : end])):
+                p = best[end - size] + math.log(n / total)
+                if p > best[end]:
+                    best[end], back[end] = p, end - size
+        if best[end - 1] + unknown > best[end]:
+            best[end], back[end] = best[end - 1] + unknown, -1
+    out: list[str] = []
+    end, loose = len(name), False
+    while end:
+        if back[end] < 0:
+            out[-1:] = [name[end - 1] + out[-1]] if loose else [*out[-1:], name[end - 1]]
+            end, loose = end - 1, True
+        else:
             out.append(name[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-
-def tokens(host: str, path: str, segmenter: Segmenter, cache: dict[str, list[str]]) -> list[str]:
-    """Words of the host's labels and of the path, marked by where they stand."""
-    out = []
-    for label in host.split("."):
-        for part in TOKEN.findall(label):
-            if part not in cache:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[part] = segmenter.split(part)
-            out += [f"h:{w}" for w in cache[part]]
+            end, loose = back[end], False
+    return out[::-1]
+
+
+def tokens(host: str, path: str, words: list[str]) -> list[str]:
+    """The host's words, its last labels, and the words of the path, marked by where they stand."""
     labels = host.split(".")
+    out = [f"h:{w}" for w in words]
     out += [f"t:{'.'.join(labels[-n:])}" for n in (1, 2) if len(labels) >= n]
     return out + [f"p:{'0' if w.isdigit() else w.lower()}" for w in TOKEN.findall(path)]
 
@@ -114,29 +104,47 @@ def cell(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) & (CELLS - 1)
 
 
-def word_counts(pages: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The commonest words of the pages' text, of two letters and more, over all pages."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of every word of two letters or more in the pages' text."""
     plain = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
-    word = pages.select(F.explode_outer(F.split(F.lower(plain), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 2 and {LONGEST}")
-    top = word.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    return [(r[0], r[1]) for r in top.collect()]
+    word = pages.select(F.explode_outer(F.split(F.lower(plain), r"[^\p{L}]+")).alias("word")).where("length(word) > 1")
+    return word.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, words) of distinct ``hosts`` (name): the words of their parts in order."""
+    parts = hosts.select("name", F.posexplode(F.expr(f"regexp_extract_all(name, r'{PART}', 0)")).alias("at", "part"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")).first()
+    total, longest = sums["n"] + 1, sums["longest"]
+    one = parts.select("part").distinct()
+    begin = one.select("part", F.expr("explode(sequence(1, length(part)))").alias("b"))
+    sizes = F.expr(f"explode(filter(sequence(1, least(length(part) - b + 1, {longest})), x -> x > 1))") if longest > 1 else F.explode(F.array().cast("array<int>"))
+    pieces = begin.select("part", "b", sizes.alias("size")).select("part", F.expr("substring(part, b, size)").alias("word"))
+    known = pieces.join(counts, "word").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("part").to_pylist(), batch.column("known").to_pylist(), strict=True)
+            words = [split(part, {x["word"]: x["n"] for x in known or []}, total) for part, known in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
+
+    cuts = scratch.write("parts", one.join(known, "part", "left").mapInArrow(cut, "part string, words array<string>"))
+    each = parts.join(cuts, "part").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
+    return each.select("name", F.flatten(F.col("x.words")).alias("words"))
 
 
-def bayes(judged: DataFrame, segmenter: Segmenter) -> np.ndarray:
+def bayes(judged: DataFrame) -> np.ndarray:
     """log p(token | block) - log p(token | allow) of each cell, and last the classes' own log ratio.
 
-    ``judged`` is (host, path, blocked) of every page a rule judges; add-one smoothing. Without pages
-    of both classes only the classes' ratio, smoothed too, is left.
+    ``judged`` is (host, path, words, blocked) of every page a rule judges; add-one smoothing. Without
+    pages of both classes only the classes' ratio, smoothed too, is left.
     """
-    spark = judged.sparkSession
-    held = spark.sparkContext.broadcast(segmenter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, bool], int] = {}
-        cache: dict[str, list[str]] = {}
         for batch in batches:
-            for host, path, blocked in zip(*[batch.column(c).to_pylist() for c in ("host", "path", "blocked")], strict=True):
-                for k in (*map(cell, tokens(host, path, held.value, cache)), CELLS):
+            for host, path, words, blocked in zip(*[batch.column(c).to_pylist() for c in ("host", "path", "words", "blocked")], strict=True):
+                for k in (*map(cell, tokens(host, path, words or [])), CELLS):
                     total[k, blocked] = total.get((k, blocked), 0) + 1
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["cell", "blocked", "n"])
@@ -151,37 +159,44 @@ def bayes(judged: DataFrame, segmenter: Segmenter) -> np.ndarray:
     return np.append(smooth[1] - smooth[0], prior)
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, corpus: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``row`` (every column of ``pages``), host, path, rule, verdict and ``log_odds`` (of block).
 
-    Null urls and those without :// have an empty host and path, fit no rule, and get the verdict of
-    the model, which for no tokens is the commoner class; ties allow.
+    The words are those of the column ``html`` of ``corpus``, which is ``pages`` unless given (so that
+    whole pages needn't go along through the join to their hosts). Null urls and those without ://
+    have an empty host and path, fit no rule, and get the verdict of the model, which for no tokens is
+    the commoner class; ties allow. Equal rows are judged alike; a missing column counts as null.
     """
+    scratch = scratch or Scratch(pages.sparkSession)
+    have = {c.lower() for c in pages.columns}
     whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"))
-    url = F.col("row.url").cast("string")
+    url = (F.col("row.url") if "url" in have else F.lit(None)).cast("string")
     whole = whole.select("row", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = judged_by(rules, F.col("host"), F.col("path"))
     whole = whole.withColumn("rule", rule).withColumn("by_rule", verdict)
-    segmenter = Segmenter.of(word_counts(need(pages, html="string")))
+    counts = scratch.write("words", word_counts(need(pages if corpus is None else corpus, html="string")))
+    hosts = need(pages, url="string").select(host_of(F.col("url")).alias("name")).distinct()
+    words = scratch.write("hosts", host_words(scratch.write("names", hosts), counts, scratch))
     urls = need(pages, url="string").select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     _, verdict = judged_by(rules, F.col("host"), F.col("path"))
-    model = bayes(urls.select("host", "path", (verdict == "block").alias("blocked")).where("blocked is not null"), segmenter)
-    held = pages.sparkSession.sparkContext.broadcast((segmenter, model))
+    urls = urls.withColumn("blocked", verdict == "block").where("blocked is not null")
+    model = bayes(urls.join(words, urls.host == words.name, "left").select("host", "path", "words", "blocked"))
+    held = pages.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, odds = held.value
-        cache: dict[str, list[str]] = {}
+        odds = held.value
         for batch in batches:
-            out = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                out.append(float(sum(odds[cell(t)] for t in tokens(host, path, segments, cache)) + odds[CELLS]) if host or path else float(odds[CELLS]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "log_odds"])
+            rows = zip(*[batch.column(c).to_pylist() for c in ("host", "path", "words")], strict=True)
+            out = [float(sum(odds[cell(t)] for t in tokens(host, path, own or [])) + odds[CELLS]) if host or path else float(odds[CELLS]) for host, path, own in rows]
+            kept = [k for k in batch.schema.names if k != "words"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out, pa.float64())], [*kept, "log_odds"])
 
-    out = whole.mapInArrow(score, whole.select(*whole.columns).schema.add("log_odds", "double"))
+    joined = whole.join(words, whole.host == words.name, "left").drop("name")
+    out = joined.mapInArrow(score, whole.schema.add("log_odds", "double"))
     said = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("row", "host", "path", "rule", F.coalesce("by_rule", said).alias("verdict"), "log_odds")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     pages = need(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_id="long", url="string", html="string")
-    return judge(pages).select("row.page_id", "host", "path", "rule", "verdict")
+    return judge(pages.drop("html"), corpus=pages).select("row.page_id", "host", "path", "rule", "verdict")
