@@ -6,15 +6,16 @@ suffix can hold a whole window. Each test suffix is then binary-searched in it,
 hits are joined into longest verbatim matches with their locations.
 
 Scale: documents are only mapped over, with no shuffle. The benchmark is the stated query set: it
-goes to the executors in blocks of at most ``block_words`` words (12 bytes each), a pass of the
-chained map for each block, so a larger benchmark takes more passes, not more memory.
+goes to the executors in blocks of at most ``block_words`` words, each about 100 bytes (a window's key
+and where it stands), so 0.2 GB for a Python worker. A larger benchmark takes a pass for each block;
+between passes the documents are written, so that no task holds two blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import Scratch, need
 from .text import ALNUM, covered, word_runs
 
 WINDOW = 13
@@ -37,32 +38,42 @@ class TestBlock:
     ids: list[str]
     vocabulary: np.ndarray
     keys: np.ndarray  # one row of bytes for each distinct window, sorted
+    above: np.ndarray  # the greatest row that begins like it
     lengths: np.ndarray  # words of each distinct window
-    owners: list[np.ndarray]  # (item, word) of each place in the items where it stands
+    items: np.ndarray  # of each place where a window stands, by window: the item
+    places: np.ndarray  # and the word
+    bounds: np.ndarray  # window k stands at the places bounds[k]:bounds[k + 1]
     window: int
-    seen: np.ndarray = field(repr=False)  # which hash prefixes the vocabulary has
+    seen: np.ndarray  # which hash prefixes the vocabulary has
 
     @classmethod
     def build(cls, rows: list[tuple[str, str]], window: int) -> TestBlock:
-        ids = [r[0] for r in rows]
         runs = list(word_runs(pa.array([r[1] for r in rows], pa.string()), ALNUM, lower=True)) if rows else []
         hashes = [r.hashes() for r in runs]
         vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        found: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        keys, sizes, items, places = [np.zeros(0, f"S{4 * window}")], [_NONE], [_NONE], [_NONE]
         for run, h in zip(runs, hashes, strict=True):
-            numbers = (np.searchsorted(vocabulary, h) + 1).astype(">u4")
-            for d in range(run.docs):
-                words = numbers[run.bounds[d] : run.bounds[d + 1]]
-                size = min(window, len(words))
-                for at in range(len(words) - size + 1 if size else 0):
-                    key = words[at : at + size].tobytes().ljust(4 * window, b"\0")
-                    found.setdefault(key, (size, []))[1].append((run.first + d, at))
-        keys = sorted(found)
+            left, words, doc = run.left(), np.diff(run.bounds), run.doc_of()
+            at = np.arange(len(run)) - run.bounds[doc]
+            start = np.flatnonzero((left >= window) | (at == 0) & (words[doc] < window))
+            numbers = np.append(np.searchsorted(vocabulary, h) + 1, np.zeros(window, np.int64))
+            table = np.where(np.arange(window) < left[start][:, None], numbers[start[:, None] + np.arange(window)], 0)
+            keys.append(np.ascontiguousarray(table.astype(">u4")).view(f"S{4 * window}").ravel())
+            sizes.append(np.minimum(left[start], window))
+            items.append(run.first + doc[start])
+            places.append(at[start])
+        every, which = np.unique(np.concatenate(keys), return_inverse=True)
+        order, size = np.argsort(which, kind="stable"), np.zeros(len(every), np.int64)
+        size[which] = np.concatenate(sizes)
+        # a window of fewer words begins all rows up to itself and the greatest numbers
+        filled = every.copy().view(np.uint8).reshape(-1, 4 * window)
+        filled[np.arange(4 * window) >= 4 * size[:, None]] = 0xFF
         seen = np.zeros(1 << 16, bool)
         seen[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(every)))]).astype(np.int64)
         return cls(
-            ids, vocabulary, np.array(keys, f"S{4 * window}"), np.array([found[k][0] for k in keys], np.int64),
-            [np.array(found[k][1], np.int64) for k in keys], window, seen,
+            [r[0] for r in rows], vocabulary, every, filled.reshape(-1).view(f"S{4 * window}"), size,
+            np.concatenate(items)[order], np.concatenate(places)[order], bounds, window, seen,
         )
 
     def occurrences(self, run, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +102,7 @@ class TestBlock:
         order = np.argsort(rows, kind="stable")  # the suffix array, as deep as a window
         ordered, array = rows[order], suffixes[order]
         low = np.searchsorted(ordered, self.keys, "left")
-        above = np.array([k[: 4 * n].ljust(4 * n, b"\0") + b"\xff" * (4 * (self.window - n)) for k, n in zip(self.keys.tolist(), self.lengths.tolist(), strict=True)], f"S{4 * self.window}")
-        high = np.searchsorted(ordered, above, "right")
+        high = np.searchsorted(ordered, self.above, "right")
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         place = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
@@ -114,20 +124,25 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Tes
     yield TestBlock.build(rows, window)
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every column of ``documents`` plus ``matches``: longest verbatim matches with test items.
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """``row`` (every column of ``documents``), ``n_words`` and ``matches``: longest verbatim matches with test items.
 
     ``matches`` is an array of (item_id, start, words): ``words`` words of the document from word
     ``start`` on stand in the item, at least a whole window of it. ``n_words`` is the document's
     length. Null or wordless texts have neither words nor matches; a null item_id reads as empty;
-    items of fewer words than a window are one window, items without words none.
+    items of fewer words than a window are one window, items without words none. Equal rows are
+    treated alike, and a missing text column counts as null.
     """
     spark = documents.sparkSession
-    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    scratch = scratch or Scratch(spark)
+    have = {c.lower() for c in documents.columns}
+    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    out = out.select("row", (F.col("row.text") if "text" in have else F.lit(None)).cast("string").alias("text"))
     span = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
     out = out.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<item_id:string,start:bigint,words:bigint>>)").alias("matches"))
-    for block in _blocks(benchmark, window, block_words):
+    for k, block in enumerate(_blocks(benchmark, window, block_words)):
         held = spark.sparkContext.broadcast(block)
+        out = scratch.write(f"pass{k}", out) if k else out
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             test: TestBlock = held.value
@@ -143,7 +158,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
                 yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(lengths), pa.array(found, span)], ["row", "text", "n_words", "matches"])
 
         out = out.mapInArrow(search, out.schema)
-    return out.select("row.*", "n_words", "matches")
+        if k > 1:
+            scratch.drop(f"pass{k - 1}")
+    return out.select("row", "n_words", "matches")
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 def _joined(run, place: np.ndarray, which: np.ndarray, test: TestBlock) -> dict[int, list[dict]]:
@@ -151,9 +171,10 @@ def _joined(run, place: np.ndarray, which: np.ndarray, test: TestBlock) -> dict[
     out: dict[int, list[dict]] = {}
     if not len(place):
         return out
-    counts = np.array([len(o) for o in test.owners])
-    item, at = np.concatenate([test.owners[w] for w in which]).T
-    start, length = np.repeat(place, counts[which]), np.repeat(test.lengths[which], counts[which])
+    counts = np.diff(test.bounds)[which]
+    stands = np.repeat(test.bounds[which] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    item, at = test.items[stands], test.places[stands]
+    start, length = np.repeat(place, counts), np.repeat(test.lengths[which], counts)
     doc, shift = np.searchsorted(run.bounds, start, "right") - 1, at - start
     order = np.lexsort((start, shift, item, doc))
     doc, item, shift, start, length = doc[order], item[order], shift[order], start[order], length[order]
@@ -167,12 +188,12 @@ def _joined(run, place: np.ndarray, which: np.ndarray, test: TestBlock) -> dict[
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``documents`` with n_words, n_hit, n_items, items_sha256 and contaminated.
+    """``row`` (every column of ``documents``), n_words, n_hit, n_items, items_sha256 and contaminated.
 
     ``n_hit`` counts the document's words inside any occurrence of a window; a document is
     contaminated when that is at least one in ``share`` of its words.
     """
-    found = matches(documents, benchmark, window, block_words).select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "n_words", "matches")
+    found = matches(documents, benchmark, window, block_words)
     kept = [f for f in found.schema.fields if f.name != "matches"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

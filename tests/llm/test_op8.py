@@ -61,9 +61,10 @@ def test_empty_tables(spark):
 
 
 def test_locations(spark):
-    d = spark.createDataFrame([(1, f"a b {LONG} c", 9)], "doc_id long, text string, matches int").drop("matches")
-    b = spark.createDataFrame([(7, LONG)], "item_id long, text string")
-    assert [tuple(m) for m in decontaminate.matches(d, b).first()["matches"]] == [("7", 2, 30)]
+    d = spark.createDataFrame([(1, f"a b {LONG} c", 9, "x")], "doc_id long, text string, matches int, n_words string")
+    b = spark.createDataFrame([(7, LONG), (8, None)], "item_id long, text string")
+    row = decontaminate.matches(d, b).first()
+    assert [tuple(m) for m in row["matches"]] == [("7", 2, 30)] and row["n_words"] == 33 and row["row"]["n_words"] == "x"
 
 
 def test_columns_and_filter(spark):
@@ -74,6 +75,15 @@ def test_columns_and_filter(spark):
     assert sorted(r["text"] or "" for r in kept.collect()) == ["", "clean"]
 
 
+def test_clashing_names_and_repeated_rows(spark):
+    schema = "doc_id long, text string, n_words int, n_hit string, matches int, row int, item_id int, contaminated string, text_ string"
+    d = spark.createDataFrame([(1, LONG, 1, "h", 2, 3, 4, "c", "t")] * 3 + [(None,) * 9] * 2 + [(2, "x " * 300_000 + LONG, None, None, None, None, None, None, None)], schema)
+    b = spark.createDataFrame([(7, LONG, 1)] * 2 + [(None, None, None), (None, "zz yy", None)], "item_id long, text string, n_words int")
+    rows = decontaminate.judge(d, b).select("row.doc_id", decontaminate.F.col("n_words").alias("n"), "n_hit", "contaminated").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, 30, 30, True)] * 3 + [(None, 0, 0, False)] * 2 + [(2, 300_030, 30, False)], key=str)
+    assert decontaminate.decontaminate(d, b).columns == d.columns
+
+
 def test_table(spark):
     at = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
