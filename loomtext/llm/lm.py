@@ -3,7 +3,9 @@
 The model: p(w | u) = c(u w) / (c(u) + MU) + MU / (c(u) + MU) * p(w), with p(w) = (c(w) + 0.5) / (N +
 0.5 (V + 1)); a proper distribution over the V known words and one unknown. A trie holds contexts,
 below each its successors, and for every pair the first term, the smoothed probability, as a
-quantised log10; pointers and keys are monotone sequences in Elias-Fano code.
+quantised log10; pointers and keys are monotone sequences in Elias-Fano code, one flat image that can
+be mapped from a file. Queries search the levels as they are: a directory of bit counts leads to a
+value's high bits, a few steps among its low bytes to the value; no level is decoded.
 
 Counts cover every training document. What is gathered grows with the corpus and is dealt by key:
 
@@ -11,8 +13,9 @@ Counts cover every training document. What is gathered grows with the corpus and
    whether other blocks have the word (and add up N and V).
 2. Blocks send the pairs that other blocks may also have, below their contexts; each bucket sums
    them, builds its trie and answers every pair from it. A context of more than ``SLICE`` tokens is
-   dealt to several tries by its successors, so the commonest words don't meet in one task. Pairs
-   with a word that only one block has are counted in that block.
+   dealt to several tries by its successors, so the commonest words don't meet in one task. Contexts
+   are known by 64 bits, their successors (a million in a trie at most) by 48. Pairs with a word that
+   only one block has are in a trie of that block.
 3. Blocks score their documents.
 """
 
@@ -37,55 +40,108 @@ SLICE = 1 << 20
 #: log10 probabilities are kept in steps of STEP decades; the last code stands for none.
 STEP, NONE = 0.04, 255
 END, START = np.uint64(0x454E44), np.uint64(0x53544152)
-CTX_BYTES, WORD_BYTES = 6, 5
+CTX_BYTES, WORD_BYTES = 8, 6
 
 
 class EliasFano:
-    """A monotone sequence: low bits in whole bytes, high bits as a bitmap of their unary differences."""
+    """A monotone sequence: low bits in whole bytes, high bits as a bitmap of their unary differences, and
+    how many ones stand before each 64 bits of it."""
 
-    def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
+    def __init__(self, n: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
+        self.n, self.low, self.high, self.ranks = n, low.reshape(n, -1) if n else low.reshape(0, 0), high.reshape(-1, 8), ranks
+        self.low_bytes = self.low.shape[1]
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bytes = (max(0, (top // max(n, 1)).bit_length() - 1) + 7) // 8
-        ones = (values >> np.uint64(8 * low_bytes) if low_bytes < 8 else np.zeros(n, np.uint64)).astype(np.int64) + np.arange(n)
-        bitmap = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        low_bytes = min(7, (max(0, (top // max(n, 1)).bit_length() - 1) + 7) // 8)
+        ones = (values >> np.uint64(8 * low_bytes)).astype(np.int64) + np.arange(n)
+        size = (int(ones[-1]) // 64 + 2) * 64 if n else 64
+        bitmap = np.zeros(size, np.uint8)
         bitmap[ones] = 1
-        return cls(n, low_bytes, blocks.pack(values, low_bytes).ravel(), np.packbits(bitmap))
+        ranks = np.concatenate([[0], np.cumsum(np.bincount(ones // 64, minlength=size // 64))[:-1]])
+        return cls(n, blocks.pack(values, low_bytes).ravel(), np.packbits(bitmap), ranks.astype(np.uint32))
+
+    def _select(self, wanted: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the wanted-th ones, or zeros, of the bitmap."""
+        before = self.ranks if one else np.arange(len(self.ranks)) * 64 - self.ranks
+        chunk = np.searchsorted(before, wanted, "right") - 1
+        bits = np.unpackbits(self.high[chunk], axis=1)
+        reached = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.uint8) == (wanted - before[chunk] + 1)[:, None]
+        return chunk * 64 + reached.argmax(1)
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.low_bytes):
+            out |= self.low[at, k].astype(np.uint64) << np.uint64(8 * k)
+        return out
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        out = np.zeros(len(at), np.uint64)
+        for a in range(0, len(at), _QUERIES):
+            part = at[a : a + _QUERIES]
+            high = (self._select(part, True) - part).astype(np.uint64)
+            out[a : a + _QUERIES] = high << np.uint64(8 * self.low_bytes) | self._lows(part)
+        return out
 
-    def decode(self) -> np.ndarray:
-        high = (np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)).astype(np.uint64)
-        if not self.low_bytes:
-            return high
-        low = blocks.unpack(self.low.tobytes(), self.low_bytes)
-        return low if self.low_bytes == 8 else high << np.uint64(8 * self.low_bytes) | low
+    def search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the place of the first that is not less, and whether it is equal."""
+        out, equal = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        if self.n:
+            for a in range(0, len(values), _QUERIES):
+                out[a : a + _QUERIES], equal[a : a + _QUERIES] = self._search(values[a : a + _QUERIES])
+        return out, equal
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        zeros = 64 * len(self.ranks) - self.n
+        part = values >> np.uint64(8 * self.low_bytes)
+        beyond = part >= np.uint64(zeros)  # more than any value
+        part = np.where(beyond, 0, part).astype(np.int64)
+        high = np.minimum(self._select(part, False) - part, self.n)  # those with a greater high part begin here
+        low = np.where(part > 0, np.minimum(self._select(np.maximum(part - 1, 0), False) + 1 - part, self.n), 0)
+        low = np.where(beyond, self.n, low)
+        end, wanted = high.copy(), values & np.uint64((1 << 8 * self.low_bytes) - 1)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) // 2
+            less = self._lows(mid) < wanted[open_]
+            low[open_] = np.where(less, mid + 1, low[open_])
+            high[open_] = np.where(less, high[open_], mid)
+            open_ = open_[low[open_] < high[open_]]
+        equal = low < end
+        equal[equal] = self._lows(low[equal]) == wanted[equal]
+        return low, equal
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.low_bytes, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        sizes = struct.pack("<QQQQ", self.n, self.low.size, self.high.size, len(self.ranks))
+        return sizes + self.ranks.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def read(cls, data, at: int) -> tuple[EliasFano, int]:
-        n, low_bytes, low, high = struct.unpack_from("<QQQQ", data, at)
+        n, low, high, ranks = struct.unpack_from("<QQQQ", data, at)
         at += 32
-        a = np.frombuffer(data, np.uint8, low, at)
-        b = np.frombuffer(data, np.uint8, high, at + low)
-        return cls(n, low_bytes, a, b), at + low + high
+        r = np.frombuffer(data, np.uint32, ranks, at)
+        at += 4 * ranks
+        return cls(n, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low), r), at + low + high
+
+
+#: Queries that a level answers at once.
+_QUERIES = 1 << 17
 
 
 class Trie:
-    """Contexts, pointers to their successors, successors, and a quantised log10 for each.
+    """Contexts, the words that follow any, pointers to successors, successors, and a quantised log10 for each.
 
-    Successors of a context are kept relative to the largest of all contexts before it, so the whole
-    level is one monotone sequence; a pair is found by a successor search for the context and one
-    for the word relative to it. ``to_bytes`` is a flat image that can be memory-mapped.
+    Successors of a context are ranks among the words, kept relative to the largest of all contexts
+    before it, so the whole level is one monotone sequence; a pair is found by a search for the
+    context, one for the word, and one for its rank relative to the context. ``to_bytes`` is a flat image.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, words: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
+        self.contexts, self.words, self.pointers, self.successors, self.codes = contexts, words, pointers, successors, codes
 
     @classmethod
     def build(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
@@ -94,37 +150,40 @@ class Trie:
         fresh[1:] = context[1:] != context[:-1]
         heads = np.flatnonzero(fresh)
         pointers = np.append(heads, len(context))
-        base = cls._bases(word[pointers[1:] - 1]) if len(heads) else np.zeros(0, np.uint64)
-        relative = word + np.repeat(base, np.diff(pointers))
-        return cls(EliasFano.encode(context[heads]), EliasFano.encode(pointers), EliasFano.encode(relative), codes.astype(np.uint8))
-
-    @staticmethod
-    def _bases(last: np.ndarray) -> np.ndarray:
-        return np.concatenate([[np.uint64(0)], np.cumsum(last[:-1] + np.uint64(1), dtype=np.uint64)])
+        words, rank = np.unique(word, return_inverse=True)
+        last = rank[pointers[1:] - 1] if len(heads) else np.zeros(0, np.int64)
+        base = np.concatenate([[0], np.cumsum(last[:-1] + 1)]) if len(heads) else last
+        relative = rank + np.repeat(base, np.diff(pointers))
+        return cls(*map(EliasFano.encode, (context[heads], words, pointers, relative)), codes.astype(np.uint8))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair; NONE where there is none."""
         out = np.full(len(context), NONE, np.uint8)
-        contexts = self.contexts.decode()
-        if not len(contexts) or not len(context):
+        if not self.contexts.n or not len(context):
             return out
-        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        pointers, successors = self.pointers.decode().astype(np.int64), self.successors.decode()
+        contexts, of_context = np.unique(context, return_inverse=True)
+        at, known = self.contexts.search(contexts.astype(np.uint64))
+        at = np.where(known, at, 0)
+        begin, end = (self.pointers.get(at + k).astype(np.int64) for k in (0, 1))
         # the greatest relative value of a context is where the next one's begin
-        base = np.concatenate([[np.uint64(0)], successors[pointers[1:-1] - 1] + np.uint64(1)])
-        wanted = word + base[at]
-        place = np.minimum(np.searchsorted(successors, wanted), len(successors) - 1)
-        ok = (contexts[at] == context) & (successors[place] == wanted) & (place < pointers[at + 1])
-        out[ok] = self.codes[place[ok]]
+        base = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+        words, of_word = np.unique(word, return_inverse=True)
+        rank, met = self.words.search(words.astype(np.uint64))
+        ask = np.flatnonzero(known[of_context] & met[of_word])
+        c = of_context[ask]
+        place, equal = self.successors.search(rank[of_word[ask]].astype(np.uint64) + base[c])
+        ok = equal & (place >= begin[c]) & (place < end[c])
+        out[ask[ok]] = self.codes[place[ok]]
         return out
 
     def to_bytes(self) -> bytes:
-        return b"".join(x.to_bytes() for x in (self.contexts, self.pointers, self.successors)) + self.codes.tobytes()
+        return b"".join(x.to_bytes() for x in (self.contexts, self.words, self.pointers, self.successors)) + self.codes.tobytes()
 
     @classmethod
     def from_buffer(cls, data) -> Trie:
+        """Over bytes or a mapped file; nothing is copied."""
         at, levels = 0, []
-        for _ in range(3):
+        for _ in range(4):
             level, at = EliasFano.read(data, at)
             levels.append(level)
         return cls(*levels, np.frombuffer(data, np.uint8, offset=at))
@@ -281,8 +340,13 @@ def _score(buckets: int, tokens: int, known: int):
         asked = block.asked(total, several)
         (codes,) = blocks.rows_by_bucket(answers, "answer", kind=1)
         below = asked.context_total.astype(float) + MU
-        code = quantise(block.pair_own / below[block.context])
+        code = np.full(len(block.pair), NONE, np.uint8)
         code[asked.which] = np.frombuffer(b"".join(codes), np.uint8)
+        own = np.ones(len(block.pair), bool)  # pairs that no other block can have
+        own[asked.which] = False
+        seen = np.flatnonzero(own & (block.pair_own > 0))
+        trie = Trie.build(block.context[seen], block.word[seen], quantise(block.pair_own[seen] / below[block.context[seen]]))
+        code[own] = trie.find(block.context[own], block.word[own])
         base = (total + 0.5) / (tokens + 0.5 * (known + 1))
         pair = np.log10(restore(code) + MU / below[block.context] * base[block.word])
         starts = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])

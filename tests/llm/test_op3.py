@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import bigram_score, unigram_base
 from pyspark.sql import functions as F
@@ -19,8 +20,43 @@ def test_trie_round_trip():
     assert (trie.find(pairs[:, 0], pairs[:, 1] + np.uint64(1)) == lm.NONE).mean() > 0.99
     assert (trie.find(pairs[:, 0] + np.uint64(1), pairs[:, 1]) == lm.NONE).mean() > 0.9
     assert len(lm.Trie.build(pairs[:0, 0], pairs[:0, 1], codes[:0]).find(pairs[:, 0], pairs[:, 1])) == len(pairs)
-    values = np.sort(rng.integers(0, 1 << 45, 999)).astype(np.uint64)
-    assert (lm.EliasFano.read(lm.EliasFano.encode(values).to_bytes(), 0)[0].decode() == values).all()
+
+
+@pytest.mark.parametrize("top", [10, 300, 1 << 20, 1 << 45, (1 << 64) - 1])
+def test_levels_are_searched_as_they_are(top, tmp_path):
+    rng = np.random.default_rng(top % 97)
+    for n in (0, 1, 2, 700, 5000):
+        values = np.sort(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        path = tmp_path / f"{n}"
+        path.write_bytes(lm.EliasFano.encode(values).to_bytes())
+        level, _ = lm.EliasFano.read(np.memmap(path, np.uint8, "r"), 0)
+        assert (level.get(np.arange(n)) == values).all()
+        asked = np.concatenate([values, values + np.uint64(1), values - np.uint64(1), rng.integers(0, top, 300, dtype=np.uint64, endpoint=True), np.array([0, top, (1 << 64) - 1], np.uint64)])
+        at, equal = level.search(asked)
+        if n:
+            assert (at == np.searchsorted(values, asked)).all()
+            assert (equal == np.isin(asked, values)).all()
+
+
+def test_every_pair_comes_through_a_trie(spark, monkeypatch):
+    """Without answers of the tries all pairs are unseen."""
+    rows = [(i, f"a b c{i} d{i} a b", False) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    table = pa.table({"doc_id": [1], "text": ["a b c d"], "held_out": [False]})
+    block = lm.Block(table)
+    block.pairs()
+    assert len(block.pair) == 5
+    found = []
+    plain = lm.Trie.find
+    monkeypatch.setattr(lm.Trie, "find", lambda self, c, w: (found.append(len(c)), plain(self, c, w))[1])
+    n = len(block.keys)
+    answers = pa.table({"kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "answer": [(2 * block.own).astype(np.int64).tobytes()]})
+    none = pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([0], pa.int32()), "answer": [b""]})
+    whole = table.append_column("row", pa.array([{"doc_id": 1, "text": "a b c d"}]))
+    scored = lm._score(1, 5, n)(whole.drop_columns(["doc_id", "text"]), pa.concat_tables([answers, none]))
+    assert found == [5] and scored.num_rows == 1
+    monkeypatch.undo()
+    check(rows, lm.score_texts(d, F.col("held")).select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
 
 
 def check(rows, got):
