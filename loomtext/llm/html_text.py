@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page is cut into flat blocks at its block tags. A block's features are its word count and link
-density, those of its neighbours, and what the markup around it says of itself. The tree is grown
-(Gini impurity, on the driver, in a moment) from ``TABLE``, a small table of labelled blocks.
+density, and those of the blocks before and after it: nothing of its markup. The tree is grown (Gini
+impurity, on the driver, in a moment) from ``TABLE``, a small table of labelled blocks. What words and
+links can't tell, such as a reader's comment of a paragraph, is left out afterwards where the markup
+around it says what it is (``nav``, ``form``, a class ``comments``); no markup makes a block main text.
 
 Scale: pages are mapped one by one, nothing is shuffled, and memory follows the longest page. Every
 scan over a page moves forward only, so the time is in proportion to its length.
@@ -27,59 +29,50 @@ BLOCKS = frozenset(
     " tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't text of the page.
-SILENT = frozenset("script style noscript template title svg math iframe object textarea canvas audio video".split())
+#: Elements whose content isn't text of the page: scripts, styles, what the head says, what a form holds.
+SILENT = frozenset("script style title textarea".split())
 #: Elements that end where a like one begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
-MAIN_TAGS = frozenset("article main".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer"
     " discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags"
     " toolbar topbar widget widgets contentinfo complementary alert".split()
 )
-MAIN_WORDS = frozenset("article articlebody content entry maincontent post story".split())
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "page_has_main", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 
-#: Labelled blocks: the features in order, then 1 for main text. Word counts are rounded.
+#: Labelled blocks: the features in order, then 1 for main text. Counts of 0 mean that there is no such block.
 TABLE = [
-    # inside an article element: headings, paragraphs of any length, short lines, links in running text
-    (8, 0.0, 6, 0.0, 60, 0.0, 0, 1, 1, 1, 1), (3, 0.0, 5, 1.0, 40, 0.0, 0, 1, 1, 1, 1), (60, 0.0, 8, 0.0, 45, 0.1, 0, 1, 1, 0, 1), (2, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 0, 1),
-    (1, 0.0, 30, 0.0, 4, 0.0, 0, 1, 1, 0, 1), (90, 0.2, 2, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (25, 0.4, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1), (6, 0.5, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1, 0, 1), (200, 0.0, 10, 0.0, 8, 0.5, 0, 1, 1, 0, 1), (5, 1.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (7, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0, 1), (40, 0.0, 1, 1.0, 3, 0.5, 0, 1, 1, 0, 1),
-    (300, 0.0, 110, 0.0, 250, 0.0, 0, 1, 1, 0, 1), (250, 0.0, 400, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (2, 0.0, 300, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (9, 0.0, 90, 0.0, 1, 1.0, 0, 1, 1, 0, 1),
-    (45, 0.0, 160, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (70, 0.0, 220, 0.0, 1, 1.0, 0, 1, 1, 0, 1), (10, 0.6, 120, 0.0, 80, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 200, 0.0, 150, 0.0, 0, 1, 1, 1, 1),
-    (1, 0.0, 500, 0.0, 500, 0.0, 0, 1, 1, 0, 1), (6, 1.0, 120, 0.0, 90, 0.0, 0, 1, 1, 0, 1), (30, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0, 1), (3, 0.0, 4, 1.0, 6, 1.0, 0, 1, 1, 1, 1),
-    (150, 0.3, 90, 0.0, 300, 0.2, 0, 1, 1, 0, 1), (5, 0.0, 0, 0.0, 200, 0.9, 0, 1, 1, 1, 1), (8, 1.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1, 1), (18, 0.7, 80, 0.1, 100, 0.1, 0, 1, 1, 0, 1),
-    # inside an article element, but lists of links or parts that call themselves something else
-    (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (5, 1.0, 4, 1.0, 0, 0.0, 0, 1, 1, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (30, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0, 0),
-    (6, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 1, 0), (70, 0.0, 3, 0.0, 20, 0.0, 1, 1, 1, 0, 0), (4, 1.0, 3, 1.0, 2, 0.0, 1, 1, 1, 0, 0), (2, 0.0, 60, 0.0, 0, 0.0, 1, 1, 1, 0, 0),
-    # beside an article element
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0, 0), (10, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (9, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 1, 1, 0), (40, 0.0, 3, 0.0, 70, 0.0, 0, 0, 1, 0, 0), (12, 0.0, 90, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (60, 0.1, 40, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (3, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 1, 0), (25, 0.0, 4, 0.0, 30, 0.0, 1, 0, 1, 0, 0), (80, 0.0, 20, 0.0, 4, 0.0, 1, 0, 1, 0, 0),
-    (200, 0.0, 150, 0.0, 9, 0.0, 0, 0, 1, 0, 0), (30, 0.0, 300, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (9, 0.5, 250, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (60, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (18, 0.0, 1, 0.0, 4, 0.0, 1, 0, 1, 0, 0), (17, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 0), (20, 0.1, 200, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (16, 0.0, 70, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
-    (90, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (70, 0.0, 0, 0.0, 2, 0.0, 0, 0, 1, 0, 0), (300, 0.0, 300, 0.0, 300, 0.0, 1, 1, 1, 0, 0), (100, 0.0, 200, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (5, 0.0, 400, 0.0, 2, 0.0, 1, 0, 1, 0, 0),
-    # pages that name no article: runs of text and what stands between
-    (50, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (80, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 40, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (20, 0.2, 35, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 3, 0.5, 55, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1, 1), (15, 0.0, 60, 0.0, 8, 0.5, 0, 0, 0, 0, 1),
-    (12, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 7, 0.0, 22, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.3, 3, 1.0, 4, 0.8, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 5, 0.5, 0, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1, 0),
-    (50, 0.0, 60, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (80, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 130, 0.0, 7, 0.0, 0, 0, 0, 0, 1), (24, 0.0, 22, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
-    (17, 0.0, 0, 0.0, 6, 0.0, 1, 0, 0, 0, 0), (60, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (21, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (110, 0.0, 60, 0.0, 5, 0.3, 1, 0, 0, 0, 0),
-    (4, 1.0, 80, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 90, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (9, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (8, 0.2, 120, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 110, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.9, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
-    (40, 0.0, 3, 0.0, 50, 0.0, 1, 0, 0, 0, 0), (12, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (5, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0, 1, 0), (90, 0.1, 9, 0.0, 7, 0.0, 1, 0, 0, 0, 0),
+    # headings and paragraphs amid text, of any length
+    (9, 0.0, 10, 0.0, 60, 0.0, 1), (4, 0.0, 8, 0.0, 30, 0.0, 1), (12, 0.0, 12, 0.0, 5, 0.0, 1), (3, 0.0, 5, 0.0, 2, 0.0, 1), (30, 0.0, 13, 0.0, 80, 0.0, 1), (10, 0.0, 4, 0.0, 1, 0.0, 1),
+    (60, 0.0, 9, 0.0, 45, 0.0, 1), (2, 0.0, 50, 0.0, 70, 0.0, 1), (1, 0.0, 30, 0.0, 4, 0.0, 1), (1, 0.0, 9, 0.0, 12, 0.0, 1), (90, 0.2, 2, 0.0, 10, 0.0, 1), (25, 0.4, 40, 0.0, 60, 0.0, 1),
+    (5, 0.3, 40, 0.0, 60, 0.0, 1), (200, 0.0, 10, 0.0, 13, 0.0, 1), (400, 0.0, 120, 0.0, 9, 0.0, 1), (8, 0.0, 1, 0.0, 1, 0.0, 1), (15, 0.0, 60, 0.0, 13, 0.0, 1), (1, 0.0, 1, 0.0, 10, 0.0, 1),
+    (1, 0.0, 300, 0.0, 14, 0.0, 1), (5, 0.0, 2, 0.0, 8, 0.0, 1), (7, 0.0, 7, 0.0, 7, 0.0, 1), (40, 0.1, 70, 0.3, 50, 0.2, 1), (18, 0.0, 6, 0.0, 22, 0.0, 1), (1000, 0.0, 4, 0.0, 16, 0.0, 1),
+    # the first of the text: a title, or a paragraph or a title of a long text right after a menu
+    (24, 0.0, 0, 0.0, 24, 0.0, 1), (5, 0.0, 0, 0.0, 60, 0.0, 1), (9, 0.0, 0, 0.0, 12, 0.0, 1), (2, 0.0, 0, 0.0, 30, 0.0, 1), (24, 0.0, 2, 1.0, 24, 0.0, 1), (60, 0.0, 1, 1.0, 80, 0.0, 1),
+    (35, 0.0, 3, 1.0, 5, 0.0, 1), (6, 0.0, 1, 1.0, 45, 0.0, 1), (8, 0.0, 2, 1.0, 120, 0.0, 1), (3, 0.0, 1, 1.0, 24, 0.0, 1), (120, 0.0, 1, 1.0, 10, 0.0, 1), (40, 0.0, 5, 0.9, 0, 0.0, 1),
+    # the last of it, before links or before nothing, or all of it
+    (40, 0.0, 60, 0.0, 3, 1.0, 1), (26, 0.0, 80, 0.0, 2, 1.0, 1), (50, 0.0, 60, 0.0, 0, 0.0, 1), (80, 0.0, 9, 0.0, 0, 0.0, 1), (30, 0.0, 100, 0.0, 0, 0.0, 1), (26, 0.0, 26, 0.0, 0, 0.0, 1),
+    (24, 0.0, 0, 0.0, 0, 0.0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 1), (300, 0.1, 3, 1.0, 3, 1.0, 1), (45, 0.0, 2, 1.0, 2, 1.0, 1),
+    # menus and lists of links
+    (1, 1.0, 0, 0.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0), (5, 0.9, 40, 0.0, 2, 1.0, 0), (12, 0.8, 30, 0.0, 5, 0.9, 0), (25, 0.8, 3, 1.0, 5, 0.5, 0),
+    (4, 1.0, 80, 0.0, 60, 0.0, 0), (8, 1.0, 60, 0.0, 0, 0.0, 0), (20, 0.7, 12, 0.0, 10, 1.0, 0), (1, 1.0, 1, 1.0, 13, 0.0, 0), (40, 0.9, 10, 0.0, 20, 0.0, 0), (6, 0.6, 4, 0.8, 70, 0.0, 0),
+    # adverts and notices between a menu and the text
+    (10, 0.0, 1, 1.0, 9, 0.0, 0), (4, 0.0, 1, 1.0, 10, 0.0, 0), (13, 0.0, 1, 1.0, 4, 0.0, 0), (7, 0.0, 1, 1.0, 16, 0.0, 0), (11, 0.0, 1, 1.0, 14, 0.0, 0), (12, 0.0, 2, 1.0, 3, 0.0, 0),
+    (5, 0.0, 1, 1.0, 5, 0.0, 0), (9, 0.0, 3, 1.0, 12, 0.0, 0), (14, 0.0, 1, 1.0, 11, 0.0, 0), (3, 0.0, 1, 1.0, 2, 0.0, 0), (10, 0.0, 2, 0.9, 1, 0.0, 0),
+    # footers and other short ends
+    (7, 0.0, 15, 0.0, 0, 0.0, 0), (13, 0.0, 60, 0.0, 0, 0.0, 0), (16, 0.0, 5, 0.0, 0, 0.0, 0), (10, 0.0, 1, 0.0, 0, 0.0, 0), (12, 0.0, 400, 0.0, 0, 0.0, 0), (3, 0.0, 24, 0.0, 0, 0.0, 0),
+    (14, 0.0, 150, 0.0, 0, 0.0, 0), (16, 0.0, 1000, 0.0, 0, 0.0, 0), (9, 0.0, 9, 0.0, 0, 0.0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 0), (15, 0.0, 2, 1.0, 0, 0.0, 0), (3, 0.0, 0, 0.0, 0, 0.0, 0),
+    # between links, and titles of lists of links
+    (3, 0.0, 2, 1.0, 2, 1.0, 0), (10, 0.0, 1, 1.0, 1, 1.0, 0), (2, 0.0, 60, 0.0, 2, 1.0, 0), (3, 0.0, 30, 0.0, 1, 1.0, 0), (14, 0.0, 0, 0.0, 2, 1.0, 0), (4, 0.0, 0, 0.0, 1, 1.0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0), (1, 0.0, 0, 0.0, 1, 1.0, 0),
 ]
 
 
@@ -127,38 +120,32 @@ def share_of(tree: Leaf | Split, row: list[float]) -> float:
 @dataclass
 class Block:
     text: str
-    links: float
-    aside: bool
-    main: bool
-    heading: bool
+    links: float  # share of its characters that stand in links
+    aside: bool  # whether the markup around it says that it isn't the page's text
 
 
-def _role(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element calls itself something beside the text, and whether main text."""
-    if name == "header" and not inside_main or name in ASIDE_TAGS:
-        return True, False
-    main = name in MAIN_TAGS
+def _aside(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element calls itself something beside the text; ``inside`` an article a header belongs to it."""
+    if name == "header" and not inside or name in ASIDE_TAGS:
+        return True
     if attributes and ATTRIBUTE.search(attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True, False
-            names = set(WORDS.findall(value))
+                return True
             if key == "role" and value in ("navigation", "banner", "search"):
-                return True, False
-            if names & ASIDE_WORDS and not (main or name in ("html", "body")):
-                return True, False
-            main = main or bool(names & MAIN_WORDS) and name in ("div", "section", "td")
-            main = main or key == "role" and value == "main"
-    return False, main
+                return True
+            if set(WORDS.findall(value)) & ASIDE_WORDS and name not in ("html", "body", "main", "article"):
+                return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, aside, main; each with what is around it
-    heading, link, at, n = 0, False, 0, len(page)
+    open_: list[tuple[str, bool]] = []  # name, aside; each with what is around it
+    link, at, n = False, 0, len(page)
 
     def end() -> None:
         if not pieces:
@@ -166,8 +153,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(t for t, _ in pieces).split())
         if text:
             linked = sum(len("".join(t.split())) for t, is_link in pieces if is_link)
-            _, aside, main = open_[-1] if open_ else ("", False, False)
-            out.append(Block(text, linked / max(1, len("".join(text.split()))), aside, main, heading > 0))
+            out.append(Block(text, linked / max(1, len("".join(text.split()))), bool(open_) and open_[-1][1]))
         pieces.clear()
 
     while at < n:
@@ -206,10 +192,8 @@ def blocks_of(page: str) -> list[Block]:
                 at = stop.end() if stop else n
         elif name in BLOCKS or "-" in name:
             end()
-            if name[0] == "h" and name[1:].isdigit():
-                heading = 0 if closing else 1
-            elif name == "p" or name in VOID:
-                heading = 0 if name == "p" and not closing else heading
+            if name[0] == "h" and name[1:].isdigit() or name == "p" or name in VOID:
+                pass
             elif closing:
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k][0] == name:
@@ -218,33 +202,32 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 if open_ and open_[-1][0] in SIBLINGS.get(name, ()):
                     open_.pop()
-                _, aside, main = open_[-1] if open_ else ("", False, False)
-                own_aside, own_main = _role(name, m[2], main)
-                open_.append((name, aside or own_aside, main or own_main and not aside))
+                aside = bool(open_) and open_[-1][1]
+                open_.append((name, aside or _aside(name, m[2], any(o in ("article", "main") for o, _ in open_))))
             link = False
     end()
     return out
 
 
 def features_of(found: list[Block]) -> list[list[float]]:
-    has_main = float(any(b.main and not b.aside for b in found))
-    sizes = [(float(len(b.text.split())), b.links) for b in found]
-    padded = [(0.0, 0.0), *sizes, (0.0, 0.0)]
-    return [[*padded[k + 1], *padded[k], *padded[k + 2], float(b.aside), float(b.main), has_main, float(b.heading)] for k, b in enumerate(found)]
+    sizes = [(0.0, 0.0), *((float(len(b.text.split())), b.links) for b in found), (0.0, 0.0)]
+    return [[*sizes[k + 1], *sizes[k], *sizes[k + 2]] for k in range(len(found))]
 
 
 def main_text(page: str | None, tree: Leaf | Split) -> str:
     found = blocks_of(page or "")
-    return "\n\n".join(b.text for b, row in zip(found, features_of(found), strict=True) if share_of(tree, row) > 0.5)
+    return "\n\n".join(b.text for b, row in zip(found, features_of(found), strict=True) if share_of(tree, row) > 0.5 and not b.aside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``row`` (every column of ``pages``) and ``text``, the main text of the column ``html``.
 
-    Null and empty pages give an empty text; so do pages that hold nothing but menus and the like.
+    Null and empty pages give an empty text; so do pages that hold nothing but menus and the like. Equal
+    rows give equal texts; a missing column counts as null.
     """
     tree = grow(TABLE)
-    whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")).select("row", F.col("row.html").cast("string").alias("html"))
+    whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"))
+    whole = whole.select("row", (F.col("row.html") if "html" in {c.lower() for c in pages.columns} else F.lit(None)).cast("string").alias("html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

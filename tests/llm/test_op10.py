@@ -49,6 +49,78 @@ def test_table(spark):
         assert r["text"] == "\n\n".join(x for x in want if x) and r["n_chars"] == len(r["text"])
 
 
+def erased(page):
+    """The page with every element's role taken away: blocks are plain div, links stay."""
+    page = re.sub(r"(?s)<(script|style)\b.*?</\1>", "", page)
+    return re.sub(r"<(/?)(?:nav|ul|li|article|h1|footer|div)\b[^>]*>", r"<\1div>", page)
+
+
+def test_words_and_links_decide(spark):
+    """Without any markup but plain blocks and links, the tree finds the same text."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()
+    assert len(rows) == 2500
+    same = sum(text(erased(r["html"])) == text(r["html"]) for r in rows)
+    assert same >= 0.995 * len(rows)
+
+
+def test_blocks_by_brute_force(spark):
+    """Block texts and link densities, against a parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.now, self.link, self.off = [], [], 0, 0
+
+        def cut(self):
+            whole = "".join(t for t, _ in self.now)
+            if whole.split():
+                size = lambda x: len("".join(x.split()))
+                self.blocks.append((" ".join(whole.split()), size("".join(t for t, a in self.now if a)) / size(whole)))
+            self.now, self.link = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title"):
+                self.off += 1
+            elif tag == "a":
+                self.link = 1
+            elif tag == "br":
+                self.now.append((" ", self.link))
+            elif tag in html_text.BLOCKS:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title"):
+                self.off -= 1
+            elif tag == "a":
+                self.link = 0
+            elif tag in html_text.BLOCKS:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.off:
+                self.now.append((data, self.link))
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        plain.close()
+        plain.cut()
+        own = html_text.blocks_of(r["html"])
+        assert [b.text for b in own] == [t for t, _ in plain.blocks]
+        assert [b.links for b in own] == pytest.approx([x for _, x in plain.blocks])
+        kept = [html_text.share_of(TREE, f) > 0.5 and not b.aside for f, b in zip(html_text.features_of(own), own)]
+        assert text(r["html"]) == "\n\n".join(t for (t, _), k in zip(plain.blocks, kept) if k)
+
+
+def test_repeated_rows_long_page_and_missing_column(spark):
+    page = f"<article><h1>Title of it</h1>{'<p>' + BODY + '</p>'}" * 4000
+    d = spark.createDataFrame([(1, "u", page, "t")] * 3 + [(None,) * 4] * 2, "page_id long, url string, html string, n_chars string")
+    rows = [r["text"] for r in html_text.extract(d).collect()]
+    assert len(rows) == 5 and len(set(rows)) == 2 and max(map(len, rows)) >= 4000 * len(BODY)
+    assert html_text.extract(d.drop("html")).first()["text"] == ""
+
+
 def test_extra_columns_and_empty(spark):
     d = spark.createDataFrame([(1, "u", f"<article><p>{BODY}</article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(r[0] for r in html_text.extract(d).select("text").collect()) == ["", BODY]
