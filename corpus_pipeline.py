@@ -18,35 +18,58 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the hashed n-gram ratio."""
+    """Documents that pass the base rules and the hashed n-gram ratio.
+
+    Null and empty texts fail and go; equal rows are judged alike; an empty table gives an empty one.
+    Columns besides those of ``documents`` stay, whatever their names.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The document with the least doc_id of each group of near duplicates.
+
+    Texts without words are near to nothing and stay, and so do rows without a doc_id; equal rows are one.
+    """
     return jaccard_join.keep_first(docs, SHINGLE, PERCENT)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 13-word windows that an earlier document has; ``n_chars`` follows the text.
 
-    A document of which nothing is left goes; one that had no words before stays as it is.
+    A document of which nothing is left goes; one that had no words before stays as it is. Rows of
+    one doc_id aren't earlier than one another, a null doc_id is later than all others.
     """
     found = substring_dedup.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
-    own = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    own = {f.name: F.when(changed, new[f.name.lower()].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")) for f in docs.schema if f.name.lower() in new}
     return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage worth a twentieth of their words."""
+    """Documents that hold no benchmark passage worth a twentieth of their words; texts without words stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with what the mix takes of it."""
-    out = mixing.mix(docs)
-    return out.select("row.*", "size", "source_size", "target", "taken")
+    """Every document with what the mix takes of it: size, source_size, target and taken.
+
+    Texts without words have size 0 and nothing is taken of them; null is a source like others. A
+    column that has one of these names already is kept as ``input_<name>``.
+    """
+    names = ("size", "source_size", "target", "taken")
+    taken = {c.lower() for c in docs.columns} | set(names)
+    kept = []
+    for c in docs.columns:
+        name = c
+        if c.lower() in names:
+            name = f"input_{c}"
+            while name.lower() in taken:
+                name = f"input_{name}"
+            taken.add(name.lower())
+        kept.append(F.col(f"row.`{c}`").alias(name))
+    return mixing.mix(docs).select(*kept, *names)
 
 
 STAGES = [
