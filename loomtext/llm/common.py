@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,16 +49,18 @@ class Scratch:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, name: str, df: DataFrame, large: bool = False) -> DataFrame:
-        """``large``: whole texts were shuffled for it. Spark removes shuffle files once their plan is
-        collected as garbage, so a collection is asked for, lest they stay beside the next step's."""
+        """``large``: whole texts were shuffled for it, and the next step should not begin beside them."""
         path = f"{self.at}/{name}"
         df.write.parquet(path)
         self.paths[name] = path
         schema = df.schema
         del df
-        if large:
+        # Spark removes a plan's shuffle files once the plan is collected as garbage, some time after. Between
+        # jobs that follow at once nothing is, and all their files are on disk together; hence the wait.
+        for _ in range(2 if large else 1):
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.8 if large else 0)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

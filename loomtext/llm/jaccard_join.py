@@ -21,7 +21,9 @@ bring candidates together and common passages don't.
    component. What comes out is at most one link for each class (a forest of the components it
    joins), so nothing grows with pairs. Two sets meet in full at the first n-gram they share, where
    what follows it is all that they have in common: so no link between components is missed. More
-   than ``GROUP`` sets of one n-gram are dealt to chunks, of which every two meet in a task.
+   than ``GROUP`` sets of one n-gram are dealt to chunks, of which every two meet in a task. Of n-grams
+   with at most ``FEW`` sets the pairs that could do are named instead and each is walked once, as long
+   sets share many n-grams and would be sent for each.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ SLICES = 64
 #: Leaders that a class is tried against: those with which it shares most prefix n-grams.
 LEADERS = 3
 CHUNK = 256
+#: Sets of one n-gram up to which pairs are named: half of it for each set at most.
+FEW = 16
 #: Sets of one n-gram that a task puts into a tree.
 GROUP = 2048
 GROUP_BYTES = 32 << 20
@@ -333,15 +337,16 @@ def _side_by_side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, len(order))
 
 
-def _promising(table: pa.Table, percent: int) -> pa.Array:
+def _promising(table: pa.Table, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Which of the rows (of some n-grams' chunks) have a partner that could reach the threshold: of another
-    component, of a fitting size, with enough left behind the n-gram, and enough cells in common."""
+    component, of a fitting size, with enough left behind the n-gram, and enough cells in common. Of n-grams
+    with few rows the pairs themselves."""
     n, left = table.column("n").to_numpy().astype(np.int64), table.column("n").to_numpy() - table.column("pos").to_numpy()
     labels = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
     chunk, i, j = (table.column(c).to_numpy() for c in ("chunk", "i", "j"))
     cells = table.column("cells").to_pylist()
     order, ends = _side_by_side(table)
-    able = np.zeros(len(order), bool)
+    able, pairs = np.zeros(len(order), bool), []
     begin = 0
     for end in ends.tolist():
         own = order[begin:end]
@@ -355,7 +360,9 @@ def _promising(table: pa.Table, percent: int) -> pa.Array:
             others = own[k + 1 : high[k]]
             ok = (labels[others] != labels[m]) & ((chunk[others] != chunk[m]) | (i[m] == j[m]))
             ok &= np.minimum(rest[k + 1 : high[k]], rest[k]) * (100 + percent) >= percent * (size[k + 1 : high[k]] + size[k])
-            others = others[ok & ~(able[others] & able[m])]
+            if len(own) > FEW:
+                ok &= ~(able[others] & able[m])
+            others = others[ok]
             if not len(others):
                 continue
             good = np.ones(len(others), bool)
@@ -365,16 +372,24 @@ def _promising(table: pa.Table, percent: int) -> pa.Array:
                     if cells[o]:
                         theirs = np.frombuffer(cells[o], np.uint8).reshape(-1, len(mine)).sum(0, dtype=np.int64)
                         good[t] = np.minimum(mine, theirs).sum() * (100 + percent) >= percent * (n[m] + n[o])
-            able[others[good]] = True
-            able[m] |= good.any()
-    return pa.array(able)
+            if len(own) > FEW:
+                able[others[good]] = True
+                able[m] |= good.any()
+            else:
+                pairs += [(int(m), o) for o in others[good].tolist()]
+    return able, pairs
 
 
 def _joined(rest: DataFrame, sets: DataFrame, cells: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components, of ``rest`` (gram, sig, n, pos, label); a forest for each n-gram."""
 
     def promising(table: pa.Table) -> pa.Table:
-        return table.filter(_promising(table, percent)).select(["gram", "i", "j", "chunk", "sig", "n", "pos", "label"])
+        able, pairs = _promising(table, percent)
+        rows = table.filter(pa.array(able)).select(["gram", "i", "j", "chunk", "sig", "n", "pos", "label"])
+        sigs = table.column("sig").to_pylist()
+        named = sorted({(sigs[a], sigs[b]) if sigs[a] < sigs[b] else (sigs[b], sigs[a]) for a, b in pairs})
+        ends = pa.table({"a": pa.array([a for a, _ in named], pa.binary()), "b": pa.array([b for _, b in named], pa.binary())})
+        return pa.concat_tables([rows, ends], promote_options="default").select([*rows.column_names, "a", "b"])
 
     def grow(table: pa.Table) -> pa.Table:
         order, ends = _side_by_side(table)
@@ -401,10 +416,11 @@ def _joined(rest: DataFrame, sets: DataFrame, cells: DataFrame, percent: int, sc
     # a call takes the chunks of some n-grams, which are small
     calls = 8 * partitions(rest.sparkSession)
     dealt = dealt.withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls)))
-    some = dealt.groupBy("call").applyInArrow(promising, "gram long, i int, j int, chunk int, sig binary, n int, pos int, label binary")
+    some = dealt.groupBy("call").applyInArrow(promising, "gram long, i int, j int, chunk int, sig binary, n int, pos int, label binary, a binary, b binary")
     some = scratch.write("promising", some)
-    whole = some.withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls))).join(sets, "sig").withColumn("after", F.expr("substring(grams, 8 * pos + 9)"))
-    return whole.select("call", "gram", "i", "j", "chunk", "sig", "n", "label", "after").groupBy("call").applyInArrow(grow, "a binary, b binary").distinct()
+    few = _verified(some.where("a is not null").select("a", "b").distinct(), sets, percent)
+    whole = some.where("a is null").drop("a", "b").withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls))).join(sets, "sig").withColumn("after", F.expr("substring(grams, 8 * pos + 9)"))
+    return whole.select("call", "gram", "i", "j", "chunk", "sig", "n", "label", "after").groupBy("call").applyInArrow(grow, "a binary, b binary").unionByName(few).distinct()
 
 
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
