@@ -10,6 +10,7 @@ partition has some tens of MB of text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -63,18 +64,45 @@ def unpack(data: bytes, size: int) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def tidy(out: pa.Table) -> pa.Table:
+    """Gives memory that a block has freed back to the system, so that idle workers hold none of it."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    return out
+
+
 def ask(groups: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return groups.groupBy("blk").applyInArrow(fn, schema)
+    def of_block(table: pa.Table) -> pa.Table:
+        return tidy(fn(table))
+
+    return groups.groupBy("blk").applyInArrow(of_block, schema)
 
 
 def answer(requests: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn`` over all the requests of one bucket."""
-    return requests.groupBy("bucket").applyInArrow(fn, schema)
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        return tidy(fn(table))
+
+    return requests.groupBy("bucket").applyInArrow(of_bucket, schema)
 
 
 def resume(blocks: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """``fn`` over each block and the answers to it."""
-    return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(fn, schema)
+
+    def of_block(table: pa.Table, own: pa.Table) -> pa.Table:
+        return tidy(fn(table, own))
+
+    return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(of_block, schema)
 
 
 def rows_by_bucket(answers: pa.Table, *columns: str, kind: int | None = None) -> list[list[bytes]]:

@@ -79,6 +79,7 @@ def sketch(documents: DataFrame, n: int) -> np.ndarray:
         if total.any():
             parts = total.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+        blocks.tidy(None)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // SLICES, np.int64)
@@ -380,7 +381,19 @@ def _promising(table: pa.Table, percent: int) -> tuple[np.ndarray, list[tuple[in
     return able, pairs
 
 
-def _joined(rest: DataFrame, sets: DataFrame, cells: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+#: Classes up to which their names (40 bytes each) are broadcast to find their sets.
+NAMED = 1 << 19
+
+
+def _sets_of(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, grams) of these classes (sig). Few names go to the sets, so that no other set is shuffled; many are joined."""
+    names = classes.distinct()
+    names = F.broadcast(names) if names.limit(NAMED + 1).count() <= NAMED else names
+    whole = found.where("kind = 2").select("sig", "grams").join(names, "sig", "left_semi")
+    return whole.groupBy("sig").agg(F.first("grams").alias("grams"))  # a class stands once for each block that has it
+
+
+def _joined(rest: DataFrame, found: DataFrame, cells: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components, of ``rest`` (gram, sig, n, pos, label); a forest for each n-gram."""
 
     def promising(table: pa.Table) -> pa.Table:
@@ -418,7 +431,10 @@ def _joined(rest: DataFrame, sets: DataFrame, cells: DataFrame, percent: int, sc
     dealt = dealt.withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls)))
     some = dealt.groupBy("call").applyInArrow(promising, "gram long, i int, j int, chunk int, sig binary, n int, pos int, label binary, a binary, b binary")
     some = scratch.write("promising", some)
-    few = _verified(some.where("a is not null").select("a", "b").distinct(), sets, percent)
+    pairs = some.where("a is not null").select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(some.where("sig is not null").select("sig"))
+    sets = scratch.write("ends", _sets_of(ends, found))
+    few = _verified(pairs, sets, percent)
     whole = some.where("a is null").drop("a", "b").withColumn("call", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(calls))).join(sets, "sig").withColumn("after", F.expr("substring(grams, 8 * pos + 9)"))
     return whole.select("call", "gram", "i", "j", "chunk", "sig", "n", "label", "after").groupBy("call").applyInArrow(grow, "a binary, b binary").unionByName(few).distinct()
 
@@ -503,8 +519,6 @@ def classes(documents: DataFrame, n: int, percent: int, scratch: Scratch) -> tup
     found = scratch.write("found", blocks.resume(dealt, shared, _candidates(buckets, n, percent, levels), FOUND), large=True)
     scratch.drop("shared")
     documents = found.where("kind = 0").select("doc_id", "sig", "n")
-    # a class stands once for each block that has it
-    sets = found.where("kind = 2").groupBy("sig").agg(F.first("grams").alias("grams"))
     cells = found.where("kind = 2").groupBy("sig").agg(F.first("cells").alias("cells"))
     tokens = found.where("kind = 1").groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     tokens = scratch.write("tokens", tokens)
@@ -519,13 +533,16 @@ def classes(documents: DataFrame, n: int, percent: int, scratch: Scratch) -> tup
     best = Window.partitionBy("b").orderBy(F.desc("grams"), F.xxhash64("a"), "a")
     pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("grams", "rank")
     pairs = scratch.write("pairs", _able(pairs, cells, percent))
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+    sets = scratch.write("sets", _sets_of(ends, found))
     links = scratch.write("links", _verified(pairs, sets, percent))
+    scratch.drop("sets")
     labels = connected(links, scratch, "stars")
     rest = scratch.write("rest", _unsettled(tokens, labels))
-    more = scratch.write("joined", _joined(rest, sets, cells, percent, scratch))
+    more = scratch.write("joined", _joined(rest, found, cells, percent, scratch))
     if more.limit(1).count():
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), scratch, "joined-labels")
-    scratch.drop("tokens", "pairs", "links", "rest", "promising", "joined")
+    scratch.drop("tokens", "pairs", "links", "rest", "promising", "ends", "joined")
     return documents, labels
 
 
