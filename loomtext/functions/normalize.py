@@ -76,7 +76,7 @@ def plain_symbols(text: Column, keep: str = "") -> Column:
 
 
 def plain_spelling(df: DataFrame, column: str, spelling: DataFrame, into: str) -> DataFrame:
-    """Words replaced by ``spelling`` (src, dst), joined by one blank; the last pair of a repeated src wins.
+    """Words replaced by ``spelling`` (src, dst), joined by one blank; of a repeated src the greatest dst by code point.
 
     The words are joined to the table by key: broadcast while Spark's own size threshold allows it,
     shuffled beyond; rows are put together again by an id made of their content's position.
@@ -99,6 +99,21 @@ def spelled(text: Column, spelling: dict[str, str] | None) -> Column:
     return F.array_join(words, " ")
 
 
+def once(df: DataFrame, text: Column, into: str) -> DataFrame:
+    """``df`` with a column that is worked out once a row. It passes through a generator of one row, which
+    the optimizer doesn't see through: else each use of it would hold all its steps again."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.inline_outer(F.array(F.struct(text.alias(into)))))
+
+
+def with_normalized(df: DataFrame, text: str, into: str, spelling: dict[str, str] | None = None) -> DataFrame:
+    """``df`` plus the whole normalization of a column, each step in the plan once. Null stays null."""
+    at = "__text"
+    out = once(df, replaced(F.lower(F.col(text)), [*BRACKETS, *FILLERS, *FULL_FORMS, *STOPS]), at)
+    out = once(out, plain_symbols(F.col(at), KEPT_SIGNS), at)
+    out = once(out, numbers.standardized(F.col(at)), at)
+    return out.withColumn(into, replaced(spelled(F.col(at), spelling), LONE_SIGNS)).drop(at)
+
+
 def before_numbers(text: Column) -> Column:
     """The steps that come before spoken numbers."""
     return plain_symbols(replaced(F.lower(text), [*BRACKETS, *FILLERS, *FULL_FORMS, *STOPS]), KEPT_SIGNS)

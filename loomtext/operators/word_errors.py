@@ -22,9 +22,12 @@ def normalized_tokens(spelling: dict[str, str] | None = None, with_numbers: bool
 
 
 def pair_errors(pairs: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``pairs`` (with hyp and ref) plus ``distance`` and ``ref_length``."""
-    tokenize = tokenize or normalized_tokens()
-    out = pairs.withColumn("__h", tokenize(F.col("hyp"))).withColumn("__r", tokenize(F.col("ref")))
+    """``pairs`` (with hyp and ref) plus ``distance`` and ``ref_length``; of normalized texts unless ``tokenize`` is given."""
+    if tokenize:
+        out = pairs.withColumn("__h", tokenize(F.col("hyp"))).withColumn("__r", tokenize(F.col("ref")))
+    else:
+        out = normalize.with_normalized(normalize.with_normalized(pairs, "hyp", "__h"), "ref", "__r")
+        out = out.withColumn("__h", tokens.scoring_tokens(F.col("__h"))).withColumn("__r", tokens.scoring_tokens(F.col("__r")))
     return out.withColumn("distance", token_distance(F.col("__r"), F.col("__h"))).withColumn("ref_length", F.size("__r")).drop("__h", "__r")
 
 

@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["testset_id", "text"]
-PASSED = "Validation passed"
-BAD_COLUMNS = "columns must be testset_id, text"
-BAD_IDS = "testset_id must be test and four digits"
-BAD_TEXT = "text must be text"
-NOT_FOUND, EMPTY = "file not found", "file is empty"
+# What is said of a file.
+PASSED = "Validation passed: The CSV file is valid."
+BAD_COLUMNS = "Error: The CSV file must contain only the columns 'testset_id' and 'text'."
+BAD_IDS = "Error: 'testset_id' must follow the format 'testXXXX' (e.g., 'test0000')."
+BAD_TEXT = "Error: All values in the 'text' column must be strings."
+NOT_FOUND = "Error: The specified file was not found."
+EMPTY = "Error: The CSV file is empty or invalid."
+UNEXPECTED = "Error: An unexpected error occurred: "
 
 # What a CSV reader that infers types takes for missing.
 MISSING = [
@@ -57,7 +60,7 @@ def validate(spark: SparkSession, path: str) -> str:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return NOT_FOUND
-        raise
+        return f"{UNEXPECTED}{e}"
     if not head:
         return EMPTY
     names = spark.read.option("header", True).csv(path).columns

@@ -58,3 +58,11 @@ def test_spelling(spark):
     out = {r["k"]: r["u"] for r in normalize.plain_spelling(d, "t", table, "u").collect()}
     assert out == {1: "the color gray", 2: "", 3: None, 4: "color color"}
     assert [r[0] for r in d.orderBy("k").select(normalize.spelled(F.col("t"), {"colour": "color", "grey": "gray"})).collect()] == [out[k] for k in (1, 2, 3, 4)]
+
+
+def test_halves_and_cents():
+    cases = {
+        "two and a half": "2.5", "and a half": "", "cup and a half": "cup and a half", "two and a half and a half": "2.5", "x and a half y": "x and a half y",
+        "million and a half dollars": "$1000000.5", "two dollars and seven cents": "$2.07", "two dollars seventy cents": "$2.70", "five cents": "¢5", "a1b": "a one b", "3 rd": "3rd",
+    }
+    assert {k: numbers.standardize(k) for k in cases} == cases

@@ -16,9 +16,9 @@ def test_whole_turns(spark, tmp_path):
     rows = [(1, 0, "user", user), (1, 1, "assistant", reply), (1, 2, "user", "short"), (1, 3, "assistant", "short")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     queries = contract.queries()
-    got = {r["turn"]: r["tokenized"] for r in queries["tokenize_chars_whole"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: r["tokenized"] for r in queries["tokenize_chars"](spark, str(tmp_path)).collect()}
     assert got == {t: " ".join(x.replace(" ", "▁")).lower() for _, t, _, x in rows}
-    got = {r["turn"]: (r["distance"], r["ref_length"]) for r in queries["wer_raw_conversations_whole"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: (r["distance"], r["ref_length"]) for r in queries["wer_raw_conversations"](spark, str(tmp_path)).collect()}
     assert got == {0: (distance(user.split(), reply.split()), 200), 2: (0, 1)}
 
 
@@ -29,6 +29,23 @@ def test_rows_with_numbers(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     queries = contract.queries()
     run = lambda name: [tuple(r) for r in queries[name](spark, str(tmp_path)).collect()]
-    assert sorted(run("normalize_text_whole")) == [(1, 0, "205"), (1, 1, "the cat sat"), (1, 2, "$20000000")]
-    assert sorted(run("wer_by_pair_whole")) == [(1, 0, 1), (2, 3, 1), (3, 1, 3)]
-    assert run("wer_corpus_whole") == [(4, 5, 0.8)]
+    assert sorted(run("normalize_text")) == [(1, 0, "205"), (1, 1, "the cat sat"), (1, 2, "$20000000")]
+    assert sorted(run("wer_by_pair")) == [(1, 0, 1), (2, 3, 1), (3, 1, 3)]
+    assert run("wer_corpus") == [(4, 5, 0.8)]
+
+
+def test_each_step_stands_once_in_the_plan(spark):
+    queries = contract.queries()
+    for name, most in (("normalize_text", 90), ("wer_corpus", 180)):
+        plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 40 < plan.count("regexp_replace(") <= most, (name, plan.count("regexp_replace("))
+
+
+def test_normalized_like_the_single_expression(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.functions import normalize
+
+    d = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").unionAll(spark.createDataFrame([(None,), ("Mr. Smith's twenty-one œuvres",)], "text string"))
+    out = normalize.with_normalized(d, "text", "a").withColumn("b", normalize.normalized(F.col("text")))
+    assert out.where("not (a <=> b)").count() == 0
