@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, partitions
+from .common import Scratch, need, partitions
 from .quality import words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -121,7 +121,8 @@ def budget_end(queue: DataFrame, share: float = 1.0, steps: int | None = None):
 def schedule(documents: DataFrame, size: str = "size", repeats: int = REPEATS, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0) -> DataFrame:
     """``row``, source, size, source_size, target and ``copies``, a list of (pass, finish, taken) of the parts
     of a document that the mix takes something of. The budget is ``share`` of all words."""
-    ids = need(documents, doc_id="string", source="string", **{size: "long"})
+    # sizes are counted once for all that the end of the budget takes
+    ids = Scratch(documents.sparkSession).write("sizes", need(documents, doc_id="string", source="string", **{size: "long"}))
     end = budget_end(queued(ids, size, repeats, weights, share), share)
     queue = queued(documents, size, repeats, weights, share)
     if end is None:
@@ -162,7 +163,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     docs = need(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string", source="string")
     # sizes first, so that no text is shuffled
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    out = schedule(sized)
+    out = schedule(Scratch(spark).write("sizes", sized))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda x, c: x + c["taken"])
     return out.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
