@@ -47,7 +47,8 @@ def sentence_scores(
     """(id, cider_d) of each candidate (id, text) against its references (id, ref_idx, text).
 
     ``df`` replaces the document frequencies of the references themselves. Fewer than two samples,
-    or references without any gram, are errors, as no frequency means anything then.
+    or references without any gram, are errors, as no frequency means anything then; so is a ``df`` in
+    which more documents hold a gram than there are samples.
     """
     samples = references.select("id").distinct().count()
     if samples < 2:
@@ -56,6 +57,8 @@ def sentence_scores(
         df = document_frequencies(references, n, tokenize)
         if not df.limit(1).count():
             raise ValueError("the references hold no words")
+    elif (df.agg(F.max("df")).first()[0] or 0) > samples:
+        raise ValueError("more documents hold a gram than there are samples")
     cand = weights(gram_counts(candidates, ["id"], n, tokenize), df, samples)
     ref = weights(gram_counts(references, ["id", "ref_idx"], n, tokenize), df, samples)
     long = lambda t: F.greatest(F.size(tokenize(t)) - 1, F.lit(0))

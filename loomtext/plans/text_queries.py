@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, numbers, tokens
 from ..operators import word_errors
 from ..operators.edit_distance import token_distance
-from ..sources import annotations, submission
+from ..sources import annotations, shared, submission
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,16 @@ def tokenize_13a(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", tokens.tokenized(t, "13a").alias("tokenized"))
 
 
+def tokenize_intl(spark, sf_dir):
+    t = F.concat("text", F.lit(" &quot;$20&quot; 5% x-1 a,b 1-2 3.5 -7 €3 <skipped>a+b"))
+    return turns(spark, sf_dir).select("conv_id", "turn", tokens.tokenized(t, "intl").alias("tokenized"))
+
+
+def tokenize_zh(spark, sf_dir):
+    t = F.concat("text", F.lit(" 中文字，x中1。 a,b 3.5"))
+    return turns(spark, sf_dir).select("conv_id", "turn", tokens.tokenized(t, "zh", lowercase=True).alias("tokenized"))
+
+
 def punct_removal(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", tokens.tokenized(F.concat("text", F.lit(" . ?! a")), "none", without_punctuation=True).alias("tokenized"))
 
@@ -92,6 +102,12 @@ def token_edit_distance(spark, sf_dir):
     return p.select("id", token_distance(tokens.words(F.col("ref")), tokens.words(F.col("hyp"))).alias("distance"))
 
 
+def aligned_pairs(spark, sf_dir):
+    """Hypotheses and references from two tables, by key."""
+    p = bench_pairs(spark, sf_dir)
+    return word_errors.paired(p.select("id", "hyp"), p.select("id", "ref"), "id")
+
+
 def _raw_bench(spark, sf_dir):
     return word_errors.pair_errors(bench_pairs(spark, sf_dir), tokens.words)
 
@@ -155,6 +171,19 @@ def submission_validate_columns(spark, sf_dir):
     return submission.verdict(_submission(spark, sf_dir), ["text", "testset_id"])
 
 
+def submission_csv_files(spark, sf_dir):
+    """What is said of CSV files that are written first: a good one, and one for each rule that it can break."""
+    good = _submission(spark, sf_dir)
+    bad_id = good.withColumn("testset_id", F.replace("testset_id", F.lit("test0001"), F.lit("test1")))
+    bad_text = good.withColumn("text", F.when(F.col("testset_id") == "test0002", "NA").otherwise(F.col("text")))
+    at = shared.fresh_folder(spark)
+    for name, rows in (("good", good), ("bad_id", bad_id), ("bad_text", bad_text)):
+        submission.write(rows, f"{at}/{name}")
+    good.select("text", "testset_id").write.option("header", True).option("escape", '"').csv(f"{at}/columns")
+    said = [(name, submission.validate(spark, f"{at}/{name}")) for name in ("good", "bad_id", "bad_text", "columns", "missing")]
+    return spark.createDataFrame(said, "file string, message string")
+
+
 def annotation_defaults(spark, sf_dir):
     t = turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("testset_id"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("task"), F.when(F.col("turn") % 3 == 0, F.col("text")).alias("Q"))
     return annotations.with_defaults(t).withColumnRenamed("Q", "question")
@@ -182,9 +211,9 @@ def wer_corpus(spark, sf_dir):
 
 QUERIES = [
     text_lower_brackets, text_fillers, text_contractions, strip_symbols_diacritics, number_normalize_golden, spelling_normalize, tokenize_13a,
-    tokenize_chars, punct_removal, token_edit_distance, wer_raw_by_pair, wer_raw_corpus, wer_by_task,
+    tokenize_intl, tokenize_zh, tokenize_chars, punct_removal, token_edit_distance, aligned_pairs, wer_raw_by_pair, wer_raw_corpus, wer_by_task,
     wer_numbers_golden, hyp_truncate_eos, prompt_join, submission_validate_ok, submission_validate_ids, submission_validate_text, submission_validate_columns,
-    annotation_defaults,
+    submission_csv_files, annotation_defaults,
 ]
 
 #: SQL is too slow for whole turns, or has no number stage; tests hold these against brute force.
@@ -245,14 +274,26 @@ def _sql_no_numbers(before: str) -> str:
     return f"not regexp_matches({before}, '\\p{{Nd}}|\\band\\s+a\\s+half\\b') and len(list_intersect({_sql_words(before)}, [{_NUMBER_WORDS}])) = 0"
 
 
-def _sql_13a(expr: str) -> str:
+def _sql_unescaped(expr: str) -> str:
     e = f"replace(replace(replace({expr}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     for a, b in tokens.ENTITIES:
         e = f"replace({e}, '{a}', '{b}')"
-    e = _sql(f"(' ' || {e} || ' ')", tokens.RULES_13A)
+    return e
+
+
+def _sql_13a(expr: str) -> str:
+    e = _sql(f"(' ' || {_sql_unescaped(expr)} || ' ')", tokens.RULES_13A)
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 
+def _sql_intl(expr: str) -> str:
+    return f"trim(regexp_replace({_sql(_sql_unescaped(expr), tokens.RULES_INTL)}, '\\s+', ' ', 'g'))"
+
+
+def _sql_zh(expr: str) -> str:
+    return _sql_13a(_sql(expr, [("([\\p{Han}\u3000-\u303f\uff00-\uffef])", " $1 ")]))
+
+
 def _sql_scoring(expr: str) -> str:
     return f"list_transform(list_filter(string_split({_sql_13a(expr)}, ' '), lambda x: not regexp_matches(x, '^\\p{{P}}*$')), lambda x: lower(x))"
 
@@ -299,6 +340,10 @@ def oracles() -> dict[str, str]:
         "spelling_normalize": f"""select conv_id, turn, coalesce(spelled, case when text is not null then '' end) as spelled from conversations left join (
             select conv_id, turn, string_agg(coalesce(dst, w), ' ' order by pos) as spelled from ({spelled}) left join {_values(SPELLING, 'src, dst')} on src = w group by 1, 2) using (conv_id, turn)""",
         "tokenize_13a": each.format(_sql_13a("(text || ' &quot;$20&quot; 5% x-1 a,b 1-2 3.5')"), "tokenized"),
+        "tokenize_intl": each.format(_sql_intl("(text || ' &quot;$20&quot; 5% x-1 a,b 1-2 3.5 -7 €3 <skipped>a+b')"), "tokenized"),
+        "tokenize_zh": each.format(f"lower({_sql_zh("(text || ' 中文字，x中1。 a,b 3.5')")})", "tokenized"),
+        "aligned_pairs": _BENCH,
+        "submission_csv_files": "select file, message from " + _values([("good", submission.PASSED), ("bad_id", submission.BAD_IDS), ("bad_text", submission.BAD_TEXT), ("columns", submission.BAD_COLUMNS), ("missing", submission.NOT_FOUND)], "file, message"),
         "tokenize_chars": each.format("lower(array_to_string(list_filter(string_split(replace(text, ' ', '▁'), ''), lambda x: x <> ''), ' '))", "tokenized"),
         "punct_removal": each.format("array_to_string(list_filter(string_split(text || ' . ?! a', ' '), lambda x: not regexp_matches(x, '^\\p{P}*$')), ' ')", "tokenized"),
         "token_edit_distance": f"select id, distance::int as distance from ({raw})",

@@ -24,9 +24,16 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity
 _TRUTH = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
-def write(submission: DataFrame, path: str) -> None:
-    """A folder with one CSV file, with a header. A submission is as long as its test set, so one task writes it."""
-    submission.select(*COLUMNS).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+#: Fields may hold line ends, and quotes in them are doubled.
+_CSV = {"multiLine": True, "escape": '"'}
+
+
+def write(submission: DataFrame, path: str, files: int | None = 1) -> None:
+    """A folder with one CSV file, with a header: a submission is as long as its test set. Longer tables are
+    written by so many tasks as ``files`` says, or by those they have if it is None, each file with a header."""
+    rows = submission.select(*COLUMNS)
+    rows = rows if files is None else rows.coalesce(files)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def verdict(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,12 +70,12 @@ def validate(spark: SparkSession, path: str) -> str:
         return f"{UNEXPECTED}{e}"
     if not head:
         return EMPTY
-    names = spark.read.option("header", True).csv(path).columns
-    wide = spark.read.option("header", False).option("mode", "PERMISSIVE").csv(path, schema=", ".join(f"c{k} string" for k in range(len(names) + 1)))
+    names = spark.read.options(**_CSV).option("header", True).csv(path).columns
+    wide = spark.read.options(**_CSV).option("header", False).option("mode", "PERMISSIVE").csv(path, schema=", ".join(f"c{k} string" for k in range(len(names) + 1)))
     first = wide.where(F.col("c0") != names[0]).limit(1).collect()
     if first and first[0][len(names)] is not None:
-        moved = spark.read.option("header", True).csv(path, schema=", ".join(f"c{k} string" for k in range(len(names) + 1)), enforceSchema=True)
+        moved = spark.read.options(**_CSV).option("header", True).csv(path, schema=", ".join(f"c{k} string" for k in range(len(names) + 1)), enforceSchema=True)
         rows = moved.select(F.col("c1").alias("testset_id"), F.col("c2").alias("text")) if len(names) == 2 else moved
     else:
-        rows = spark.read.option("header", True).csv(path)
+        rows = spark.read.options(**_CSV).option("header", True).csv(path)
     return verdict(rows, names).first()["message"]

@@ -129,3 +129,30 @@ def test_streamed_rate(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("rate").first()["wer"] == pytest.approx(0.4)
+
+
+def test_submission_file_with_line_ends_and_quotes(spark, tmp_path):
+    rows = spark.createDataFrame([("test0000", 'said "so",\ntwice'), ("test0001", "b\\"), ("test0002", "c")], "testset_id string, text string")
+    for files in (1, None):
+        submission.write(rows, f"{tmp_path}/f{files}", files)
+        assert submission.validate(spark, f"{tmp_path}/f{files}") == submission.PASSED
+    (tmp_path / "quoted.csv").write_text('testset_id,text\ntest0000,"a ""b"",\ntest9"\ntest0001,c\n')
+    assert submission.validate(spark, str(tmp_path / "quoted.csv")) == submission.PASSED
+
+
+def test_scores_of_tasks(spark):
+    from loomtext.operators import scoring
+
+    rows = [(1, "asr", "the cat", "The cat sat."), (2, "other", "x", "y"), (3, None, "x", "y")]
+    samples = spark.createDataFrame(rows, "id int, task string, hyp string, ref string")
+    assert [(r["task"], r["metric"], round(r["score"], 4)) for r in scoring.task_scores(samples).collect()] == [("asr", "WER", 0.3333)]
+    assert scoring.task_scores(samples, skip=True).count() == 0
+    assert scoring.task_scores(samples.limit(0)).count() == 0
+
+
+def test_document_frequencies_beyond_the_samples(spark):
+    cand = spark.createDataFrame([(1, "a b"), (2, "c d")], "id int, text string")
+    refs = spark.createDataFrame([(1, 0, "a b"), (2, 0, "c e")], "id int, ref_idx int, text string")
+    df = spark.createDataFrame([(["a"], 3)], "gram array<string>, df int")
+    with pytest.raises(ValueError, match="more documents"):
+        consensus.sentence_scores(cand, refs, df=df)
