@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, langid, lm, mixing, packing, quality, substring_dedup, toxicity, urls
+from . import decontaminate, html_text, jaccard_join, langid, lm, lot_matching, mixing, packing, quality, substring_dedup, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality.op9,
         "op10_html_extraction": html_text.op10,
         "op11_packing": packing.op11,
+        "op12_lot_matching": lot_matching.op12,
     }
 
 
