@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, langid, lm, lot_matching, mixing, packing, quality, substring_dedup, toxicity, urls
+from . import decontaminate, html_text, jaccard_join, langid, lm, lot_matching, mixing, packing, quality, substring_dedup, toxicity, urls, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": html_text.op10,
         "op11_packing": packing.op11,
         "op12_lot_matching": lot_matching.op12,
+        "op13_vector_codes": vector_codes.op13,
     }
 
 
