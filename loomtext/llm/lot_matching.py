@@ -233,7 +233,9 @@ def _within(rule: str):
     return run
 
 
-_CHAINED = ["client_id", "item_id", "part", "own", *STREAM[2:], "first_unit", "taken_before", "returns_before"]
+#: Of a chunk's stream: what came before it, lots of earlier chunks, its own rows.
+_HEAD, _CARRIED, _OWN = 0, 1, 2
+_CHAINED = ["client_id", "item_id", "part", "place", *STREAM[2:], "first_unit", "taken_before", "returns_before"]
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +244,13 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             lots = Earliest()
-            rows = m[a:b]
-            carried = int((rows[:, 3] == 0).sum())
-            stream = np.column_stack([rows[:, :2], rows[:, 4:13]])
-            for row, at, taken in zip(stream[:carried].tolist(), rows[:carried, 13].tolist(), rows[:carried, 14].tolist(), strict=True):
+            head, rows = m[a], m[a + 1 : b]
+            taken, returns = int(head[14]), int(head[15])
+            carried = int((rows[:, 3] == _CARRIED).sum())
+            stream = np.column_stack([rows[:, :2], rows[:, 4:13]]).tolist()
+            for row, at in zip(stream[:carried], rows[:carried, 13].tolist(), strict=True):
                 lots.add(Lot(row, max(0, taken - at)))
-            out += matched(stream[carried:].tolist(), lots, int(rows[0, 15]))
+            out += matched(stream[carried:], lots, returns)
         if out:
             yield pa.RecordBatch.from_struct_array(_longs(out, PIECE))
 
@@ -309,26 +312,41 @@ def _linked(chunks: DataFrame) -> DataFrame:
     out = out.withColumn("reach", F.col("lots_before") - F.col("wanted_before") + F.col("low"))
     out = out.withColumn("taken", F.col("wanted_before") + F.col("wanted") + F.least(F.lit(0), F.min("reach").over(through)))
     out = out.withColumn("taken_before", F.coalesce(F.lag("taken").over(pair.orderBy("part")), F.lit(0)))
-    return out.select("client_id", "item_id", "part", "lots_before", "returns_before", "taken_before", "taken", F.greatest(F.lit(1), "width").cast("long").alias("width"))
+    return out.select("client_id", "item_id", "part", "lots_before", "returns_before", "taken_before", "taken", F.max("taken").over(pair).alias("taken_of_all"), F.greatest(F.lit(1), "width").cast("long").alias("width"))
 
 
-def _dealt(events: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every chunk's own rows and the lots of earlier chunks that it takes from."""
+_LINKS = ["lots_before", "taken", "taken_of_all", "width"]
+
+
+def _carried(events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(client_id, item_id, part, lot, first_unit) of the lots that a later chunk takes from, by that chunk."""
+    nothing = lambda names: [F.lit(None).cast("long").alias(c) for c in names]
     key = ["client_id", "item_id", "part"]
-    own = events.join(chunks.hint("merge"), key)
-    lots = own.where("kind = 1").withColumn("first_unit", F.col("lots_before") + F.col("ahead")).drop("taken_before", "returns_before", "taken")
+    # a chunk's row stands among its lots, and a window over the chunk hands it on
+    lots = events.where("kind = 1").select(*key, *_EVENT[2:], *nothing(_LINKS))
+    both = lots.unionAll(chunks.select(*key, *nothing(_EVENT[2:]), *_LINKS))
+    of_chunk = Window.partitionBy(*key)
+    lots = both.withColumns({c: F.max(c).over(of_chunk) for c in _LINKS}).where("kind is not null").withColumn("first_unit", F.col("lots_before") + F.col("ahead"))
+    lots = lots.where("first_unit < taken_of_all and first_unit + q > taken")
     ranges = lambda a, b: F.explode(F.sequence(F.floor(a / F.col("width")), F.floor((b - 1) / F.col("width"))))
     lots = lots.withColumn("low_range", F.floor(F.col("first_unit") / F.col("width"))).withColumn("range", ranges(F.col("first_unit"), F.col("first_unit") + F.col("q")))
-    last = F.least("taken", "lots_before")
-    takers = chunks.withColumn("stop", last).where("taken_before < stop")
-    takers = takers.select("client_id", "item_id", F.col("part").alias("to"), "taken_before", "stop", "returns_before", F.floor(F.col("taken_before") / F.col("width")).alias("low_taken"), ranges(F.col("taken_before"), F.col("stop")).alias("range"))
-    carried = lots.join(takers.hint("merge"), ["client_id", "item_id", "range"])
+    takers = chunks.withColumn("stop", F.least("taken", "lots_before")).where("taken_before < stop")
+    takers = takers.select("client_id", "item_id", F.col("part").alias("to"), "taken_before", "stop", F.floor(F.col("taken_before") / F.col("width")).alias("low_taken"), ranges(F.col("taken_before"), F.col("stop")).alias("range"))
+    out = lots.join(takers.hint("merge"), ["client_id", "item_id", "range"])
     # a lot and a chunk that share several ranges meet in the first of them
-    carried = carried.where("to > part and range = greatest(low_range, low_taken) and first_unit < stop and first_unit + q > taken_before")
-    rest = STREAM[2:]
-    carried = carried.select("client_id", "item_id", F.col("to").cast("long").alias("part"), F.lit(0).cast("long").alias("own"), *rest, "first_unit", "taken_before", "returns_before")
-    own = own.select("client_id", "item_id", F.col("part").cast("long"), F.lit(1).cast("long").alias("own"), *rest, F.lit(0).cast("long").alias("first_unit"), "taken_before", "returns_before")
-    return own.unionAll(carried)
+    out = out.where("to > part and range = greatest(low_range, low_taken) and first_unit < stop and first_unit + q > taken_before")
+    return out.select("client_id", "item_id", F.col("to").alias("part"), *STREAM[2:], "first_unit")
+
+
+def _dealt(events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every chunk as a stream: what came before it, the lots of earlier chunks that it takes from, its own rows."""
+    key = ["client_id", "item_id", F.col("part").cast("long").alias("part")]
+    number = lambda n, name: F.lit(n).cast("long").alias(name)
+    before = ["taken_before", "returns_before"]
+    own = events.select(*key, number(_OWN, "place"), *STREAM[2:], number(0, "first_unit"), *[number(0, c) for c in before])
+    carried = _carried(events, chunks).select(*key, number(_CARRIED, "place"), *STREAM[2:], "first_unit", *[number(0, c) for c in before])
+    heads = chunks.select(*key, number(_HEAD, "place"), *[number(0, c) for c in [*STREAM[2:], "first_unit"]], *before)
+    return heads.unionAll(carried).unionAll(own)
 
 
 def match(lots: DataFrame, rule: str = "earliest") -> DataFrame:
@@ -352,7 +370,8 @@ def match(lots: DataFrame, rule: str = "earliest") -> DataFrame:
     first = scratch.write("first", ranged.mapInArrow(_within(rule), _FIRST))
     chunks = scratch.write("chunks", _linked(first.where("chunk is not null").select("part", "chunk.*")))
     dealt = _dealt(first.where("event is not null").select("part", "event.*"), chunks)
-    dealt = dealt.repartition(n, "client_id", "item_id", "part").sortWithinPartitions("client_id", "item_id", "part", "own", *ORDER[2:])
+    # chunks of neighbouring partitions, so that streams are as even as those were
+    dealt = dealt.repartitionByRange(n, "part", "client_id", "item_id").sortWithinPartitions("client_id", "item_id", "part", "place", *ORDER[2:])
     return first.where("piece is not null").select("piece.*").unionAll(dealt.select(*_CHAINED).mapInArrow(_chained, pieces))
 
 
