@@ -13,10 +13,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in [*text_queries.QUERIES, *score_queries.QUERIES]}
 
 
-def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Queries that have no SQL; tests hold them against brute force."""
-    return {q.__name__: q for q in text_queries.WHOLE}
-
-
 def oracle_sql() -> dict[str, str]:
     return text_queries.oracles() | score_queries.oracles()

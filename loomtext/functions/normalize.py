@@ -1,21 +1,17 @@
 """English text normalization as column expressions.
 
 The steps are data: ordered (pattern, replacement) pairs that one fold turns into nested
-``regexp_replace`` calls, so a whole normalization is one codegen'd projection. Every pattern has the
-flag ``U``, by which the JVM's classes and word boundaries are Unicode's. Only compatibility
-decomposition and spoken numbers need Python; rows that can't be changed by them are sent as NULL,
-because a CASE alone does not keep rows from an Arrow UDF.
+``regexp_replace`` calls. Every pattern has the flag ``U``, by which the JVM's classes and word
+boundaries are Unicode's. Compatibility decomposition is ICU's, which Spark ships, called where a text
+has letters beyond ASCII. No step needs Python.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import numbers
 
@@ -59,16 +55,16 @@ def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, f"(?Ud){p[0]}", p[1]), pairs, text)
 
 
-@F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition (NFKD); null stays null."""
+    foreign = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), foreign).otherwise(text)
 
 
 def plain_symbols(text: Column, keep: str = "") -> Column:
     """Decomposed letters without marks; other marks, signs and punctuation, but those kept, as blanks."""
-    decomposed = F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     # a kept character stands before the table of letters and the classes
-    lettered = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [(a, b) for a, b in PLAIN_LETTERS.items() if a not in keep], decomposed)
+    lettered = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [(a, b) for a, b in PLAIN_LETTERS.items() if a not in keep], decomposed(text))
     kept = "".join(f"\\x{{{ord(c):x}}}" for c in keep)
     but = f"&&[^{kept}]" if keep else ""
     unmarked = F.regexp_replace(lettered, f"[\\p{{Mn}}{but}]", "")
@@ -76,18 +72,26 @@ def plain_symbols(text: Column, keep: str = "") -> Column:
 
 
 def plain_spelling(df: DataFrame, column: str, spelling: DataFrame, into: str) -> DataFrame:
-    """Words replaced by ``spelling`` (src, dst), joined by one blank; of a repeated src the greatest dst by code point.
+    """Words replaced by ``spelling`` (src, dst), joined by one blank, as a new column of ``df``.
 
-    The words are joined to the table by key: broadcast while Spark's own size threshold allows it,
-    shuffled beyond; rows are put together again by an id made of their content's position.
+    Of a repeated src the last dst counts: the one of greatest ``position`` where the table has that column,
+    as in a JSON object, else the greatest by code point. A null src is no word, a null dst leaves a word as it is.
+    Each distinct text is worked on once and found again by its digest, so a text of a third of all
+    rows is one, and repeated tasks give the same rows. Its words are joined to the table by key:
+    broadcast while Spark's own size threshold allows it, shuffled beyond.
     """
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    words = rows.select("__row", F.posexplode(F.filter(F.split(F.col(column), r"(?U)\s+"), lambda w: w != "")).alias("__at", "__word"))
-    table = spelling.groupBy("src").agg(F.max("dst").alias("dst"))
-    mapped = words.join(table, F.col("__word") == F.col("src"), "left").select("__row", "__at", F.coalesce("dst", "__word").alias("__word"))
-    joined = mapped.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__word"))), lambda x: x["__word"]), " ").alias("__text"))
-    out = rows.join(joined, "__row", "left")
-    return out.withColumn(into, F.when(F.col(column).isNotNull(), F.coalesce("__text", F.lit("")))).drop("__row", "__text")
+    taken = {c.lower() for c in df.columns}
+    name = lambda n: next(x for x in (f"{'_' * k}{n}" for k in range(2, 99)) if x not in taken)
+    key, text = name("key"), name("text")
+    digest = F.sha2(F.col(f"`{column}`").cast("string"), 256)
+    texts = df.select(digest.alias("key"), F.col(f"`{column}`").cast("string").alias("text")).where("text is not null").groupBy("key").agg(F.first("text").alias("text"))
+    words = texts.select("key", F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("at", "word"))
+    last = F.struct("position", "dst") if "position" in spelling.columns else F.struct("dst")
+    table = spelling.where("src is not null and dst is not null").groupBy("src").agg(F.max(last)["dst"].alias("dst"))
+    mapped = words.join(table, F.col("word") == F.col("src"), "left").select("key", F.struct("at", F.coalesce("dst", "word").alias("word")).alias("word"))
+    joined = mapped.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("word")), lambda x: x["word"]), " ").alias(text)).withColumnRenamed("key", key)
+    out = df.withColumn(into, F.col(f"`{column}`")).join(joined, digest == F.col(key), "left")
+    return out.withColumn(into, F.when(F.col(f"`{into}`").isNotNull(), F.coalesce(F.col(text), F.lit("")))).drop(key, text)
 
 
 def spelled(text: Column, spelling: dict[str, str] | None) -> Column:

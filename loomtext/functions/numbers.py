@@ -1,20 +1,18 @@
-"""Spoken English numbers as digits.
+"""Spoken English numbers as digits, as column expressions.
 
-Each word has one entry in a table: its kind, value and ending. A text is read from left to right
-with a pending amount (an exact integer, or digits as a string once they are spelled one after
-another) and a pending sign; a method for each kind says what the word does to them. Integers are
-Python's, so no amount is too large.
+Each word has one entry in a table: its kind, value and ending. Other words end whatever is pending,
+so a text is cut into runs of number words, and each run is folded from left to right with a pending
+amount and a pending sign. Amounts are kept as digits and worked on as text, a long at a time, so
+none is too large. Texts without number words pass with one look at each word.
 """
 
 from __future__ import annotations
 
-import re
-from fractions import Fraction
+import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Names of numbers.
 ZEROS = ("o", "oh", "zero")
@@ -27,9 +25,6 @@ IRREGULAR_ORDINALS = {"zeroth": (0, "th"), "first": (1, "st"), "second": (2, "nd
 SIGNS = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}
 CURRENCIES = {"pound": "£", "euro": "€", "dollar": "$", "cent": "¢"}
 
-_NUMERIC = re.compile(r"\d+(\.\d+)?\Z")
-_SIGNED = frozenset("-+£€$¢")
-
 
 def _lexicon() -> dict[str, tuple[str, object, str]]:
     """word -> (kind, value, ending). A name that has two kinds keeps the one that is read first."""
@@ -59,197 +54,238 @@ def _lexicon() -> dict[str, tuple[str, object, str]]:
 LEXICON = _lexicon()
 #: Words that may open a fraction after a point.
 DECIMALS = frozenset(w for w, e in LEXICON.items() if e[0] in ("zero", "unit", "ten"))
-_HALF_AFTER = DECIMALS | {w for w, e in LEXICON.items() if e[0] == "power"}
-
-
-def _kind(word: str | None) -> str:
-    return LEXICON[word][0] if word in LEXICON else ""
-
-
-class _Reading:
-    """One pass over the words of a text."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.amount: int | str | None = None
-        self.sign = ""
-        self.out: list[str] = []
-        self.skip = False
-
-    def emit(self, what: object) -> None:
-        self.out.append(f"{self.sign}{what}")
-        self.sign, self.amount = "", None
-
-    def flush(self) -> None:
-        if self.amount is not None:
-            self.emit(self.amount)
-
-    def digits(self, more: object) -> str:
-        return f"{self.amount or ''}{more}"
-
-    def run(self) -> list[str]:
-        edge = [None, *self.words, None]
-        for k, word in enumerate(self.words):
-            if self.skip:
-                self.skip = False
-                continue
-            before, after = edge[k], edge[k + 2]
-            signed = word[0] in _SIGNED
-            bare = word[1:] if signed else word
-            if _NUMERIC.match(bare):
-                self.arabic(word, bare, signed)
-            elif word in LEXICON:
-                kind, value, ending = LEXICON[word]
-                getattr(self, f"on_{kind}")(word, value, ending, before, after)
-            else:
-                self.flush()
-                self.emit(word)
-        self.flush()
-        return self.out
-
-    def arabic(self, word: str, bare: str, signed: bool) -> None:
-        if isinstance(self.amount, str) and self.amount.endswith("."):
-            self.amount += word
-            return
-        self.flush()
-        self.sign = word[0] if signed else self.sign
-        exact = Fraction(bare)
-        self.amount = exact.numerator if exact.denominator == 1 else bare
-
-    def on_zero(self, word, value, ending, before, after):
-        self.amount = self.digits("0")
-
-    def with_unit(self, n: int, before: str | None) -> int | str:
-        have = self.amount
-        if have is None:
-            return n
-        if isinstance(have, str) or _kind(before) == "unit":
-            return f"{have[:-1]}{n}" if _kind(before) == "ten" and n < 10 else f"{have}{n}"
-        room = 10 if n < 10 else 100
-        return have + n if have % room == 0 else f"{have}{n}"
-
-    def with_ten(self, n: int) -> int | str:
-        have = self.amount
-        if have is None:
-            return n
-        return have + n if isinstance(have, int) and have % 100 == 0 else f"{have}{n}"
-
-    def times(self, n: int) -> int | None:
-        """The pending amount times n, of a whole number its last three digits; None if that isn't whole."""
-        have = self.amount
-        if isinstance(have, int) and have:
-            return have // 1000 * 1000 + have % 1000 * n
-        try:
-            product = Fraction(have) * n
-        except ValueError:
-            return None
-        return product.numerator if product.denominator == 1 else None
-
-    def on_unit(self, word, value, ending, before, after):
-        self.amount = self.with_unit(value, before)
-
-    def on_unit_end(self, word, value, ending, before, after):
-        self.emit(f"{self.with_unit(value, before)}{ending}")
-
-    def on_ten(self, word, value, ending, before, after):
-        self.amount = self.with_ten(value)
-
-    def on_ten_end(self, word, value, ending, before, after):
-        self.emit(f"{self.with_ten(value)}{ending}")
-
-    def on_power(self, word, value, ending, before, after):
-        product = value if self.amount is None else self.times(value)
-        if product is None:
-            self.flush()
-            product = value
-        self.amount = product
-
-    def on_power_end(self, word, value, ending, before, after):
-        product = value if self.amount is None else self.times(value)
-        if product is None:
-            self.flush()
-            product = value
-        self.emit(f"{product}{ending}")
-
-    def on_sign(self, word, value, ending, before, after):
-        self.flush()
-        if self.goes_on(after):
-            self.sign = value
-        else:
-            self.emit(word)
-
-    def on_currency(self, word, value, ending, before, after):
-        if self.amount is None:
-            self.emit(word)
-        else:
-            self.sign = value
-            self.flush()
-
-    def on_percent(self, word, value, ending, before, after):
-        if self.amount is None:
-            self.emit(word)
-        elif word == "percent":
-            self.emit(f"{self.amount}%")
-        elif after == "cent":
-            self.emit(f"{self.amount}%")
-            self.skip = True
-        else:
-            self.flush()
-            self.emit(word)
-
-    @staticmethod
-    def goes_on(after: str | None) -> bool:
-        return after in LEXICON or bool(after and _NUMERIC.match(after))
-
-    def on_special(self, word, value, ending, before, after):
-        if self.goes_on(after):
-            if word == "and" and _kind(before) == "power":
-                return
-            if word == "point":
-                if after in DECIMALS or _NUMERIC.match(after):
-                    self.amount = self.digits(".")
-                return
-            if word in ("double", "triple") and _kind(after) in ("unit", "zero"):
-                self.amount = self.digits(str(LEXICON[after][1]) * (2 if word == "double" else 3))
-                self.skip = True
-                return
-        self.flush()
-        self.emit(word)
-
+HALF_AFTER = DECIMALS | {w for w, e in LEXICON.items() if e[0] == "power"}
 
 # Blanks between digits and letters, but not before an ending.
-SPACED = [(r"([a-z])([0-9])", r"\1 \2"), (r"([0-9])([a-z])", r"\1 \2"), (r"([0-9])\s+(st|nd|rd|th|s)\b", r"\1\2")]
+SPACED = [(r"([a-z])([0-9])", "$1 $2"), (r"([0-9])([a-z])", "$1 $2"), (r"([0-9])\s+(st|nd|rd|th|s)\b", "$1$2")]
 # Cents behind an amount, amounts of cents alone (the dot stands for any sign), and a single one as a word.
 CENTS = [
-    (r"([€£$])([0-9]+) (?:and )?¢([0-9])\b", r"\1\2.0\3"), (r"([€£$])([0-9]+) (?:and )?¢([0-9]{2})\b", r"\1\2.\3"),
-    (r"[€£$]0.0([0-9])\b", r"¢\1"), (r"[€£$]0.([0-9]{1,2})\b", r"¢\1"), (r"\b1(s?)\b", r"one\1"),
+    (r"([€£$])([0-9]+) (?:and )?¢([0-9])\b", "$1$2.0$3"), (r"([€£$])([0-9]+) (?:and )?¢([0-9]{2})\b", "$1$2.$3"),
+    (r"[€£$]0.0([0-9])\b", "¢$1"), (r"[€£$]0.([0-9]{1,2})\b", "¢$1"), (r"\b1(s?)\b", "one$1"),
 ]
-#: The phrase, once or more, with the word before it.
-_HALVES = re.compile(r"(\S+)?\s*(?:\band\s+a\s+half\b\s*)+")
+_HALF = r"(?:\band\s+a\s+half\b\s*)+"
+#: A half with no word before it goes; after a number it is a decimal; after another word it stays, once.
+HALVES = [(rf"^\s*{_HALF}", ""), (rf"(?<!\S)({'|'.join(sorted(HALF_AFTER))})\s*{_HALF}", "$1 point five "), (rf"(\S+)\s*{_HALF}", "$1 and a half ")]
 
+#: An Arabic numeral, and one with a sign.
+_NUMERAL = r"(?U)^\d+(\.\d+)?$"
+_SIGNED = r"(?U)^[-+£€$¢]\d+(\.\d+)?$"
+#: All decimal digits of Unicode but ASCII's, and ASCII's for them.
+_OTHER_DIGITS = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+_DIGITS = "".join(_OTHER_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
+_CUT = "\u0001"
 
-def _half(m: re.Match) -> str:
-    """A half after a number is a decimal; after another word it stays, and with no word before it goes."""
-    if m[1] is None:
-        return ""
-    return f"{m[1]} point five " if m[1] in _HALF_AFTER else f"{m[1]} and a half "
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+
+def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for pattern, to in pairs:
-        text = re.sub(pattern, to, text)
+        text = F.regexp_replace(text, f"(?Ud){pattern}", to)
     return text
 
 
-def standardize(text: str) -> str:
-    """Spoken numbers of a text as digits; words are joined by one blank."""
-    words = _replaced(_HALVES.sub(_half, text), SPACED).split()
-    return _replaced(" ".join(_Reading(words).run()), CENTS)
+def _tail(digits: Column, n: int) -> Column:
+    """The last n characters, or as many as there are."""
+    return F.when(F.length(digits) > n, F.right(digits, F.lit(n))).otherwise(digits)
+
+
+def _head(digits: Column, n: int) -> Column:
+    """What stands before the last n characters."""
+    return F.when(F.length(digits) > n, F.substring(digits, F.lit(1), F.length(digits) - n)).otherwise("")
+
+
+def _more_by_one(digits: Column) -> Column:
+    """The next whole number of any length; of no digits, 1."""
+    core = F.rtrim(digits, F.lit("9"))
+    zeros = F.repeat(F.lit("0"), F.length(digits) - F.length(core))
+    last = F.when(core == "", "1").otherwise(F.concat(_head(core, 1), (F.right(core, F.lit(1)).cast("int") + 1).cast("string")))
+    return F.concat(last, zeros)
+
+
+_CHUNK = 15  # digits that a long adds without running over
+
+
+def _plus(digits: Column, small: Column) -> Column:
+    """A whole number of any length plus one of at most ``_CHUNK`` digits."""
+    low = F.coalesce(F.nullif(_tail(digits, _CHUNK), F.lit("")).cast("long"), F.lit(0)) + small
+
+    def added(total: Column) -> Column:
+        high = _head(digits, _CHUNK)
+        text = F.lpad(F.right(total.cast("string"), F.lit(_CHUNK)), _CHUNK, "0")
+        over = total >= 10**_CHUNK
+        return F.when((high == "") & ~over, total.cast("string")).otherwise(F.concat(F.when(over, _more_by_one(high)).otherwise(high), text))
+
+    return let(low, added)
+
+
+def _whole(numeral: Column) -> Column:
+    """A whole number without leading zeros, from digits with a point somewhere; null if it isn't whole."""
+    ascii_ = F.translate(numeral, *_DIGITS)
+    return F.when(ascii_.rlike(r"^\d+(\.0*)?$"), F.regexp_replace(F.regexp_replace(ascii_, r"\..*", ""), r"^0+(?=\d)", ""))
+
+
+def _times(have: Column, exact: Column, zeros: Column) -> Column:
+    """A pending amount times a power of ten, of a whole number its last three digits; null if that isn't whole."""
+
+    def of_whole(base: Column) -> Column:  # the number with its last three digits set to 0
+        last = _tail(have, 3).cast("long")
+        upper = F.when(F.length(base) > zeros, F.substring(base, F.lit(1), F.length(base) - zeros)).otherwise("")
+        lower = F.when(F.length(base) > zeros, F.substring(base, F.length(base) - zeros + 1, zeros)).otherwise(F.lpad(base, zeros, F.lit("0")))
+        return F.when(last == 0, have).when(F.length(have) <= 3, F.concat(last.cast("string"), F.repeat(F.lit("0"), zeros))).otherwise(F.concat(_plus(upper, last), lower))
+
+    def of_other(text: Column) -> Column:
+        whole, part = F.substring_index(text, ".", 1), F.rtrim(F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(""), F.lit("0"))
+        moved = F.regexp_replace(F.concat(whole, F.rpad(part, zeros, F.lit("0"))), r"^0+(?=\d)", "")
+        return F.when(text.rlike(r"^(\d+\.?\d*|\.\d+)$") & (F.length(part) <= zeros), moved)
+
+    whole = let(F.concat(_head(have, 3), F.lit("000")), of_whole)
+    return F.when(exact & (have != "0"), whole).otherwise(let(F.translate(have, *_DIGITS), of_other))
+
+
+class _State:
+    """The pending amount (digits; ``exact`` if it is a whole number and not digits spelled one by one), the pending
+    sign, whether the next word is done with, and what has been read."""
+
+    def __init__(self, amount: Column, exact: Column, sign: Column, skip: Column, out: Column):
+        self.amount, self.exact, self.sign, self.skip, self.out = amount, exact, sign, skip, out
+
+    @classmethod
+    def of(cls, s: Column) -> _State:
+        return cls(*(s[n] for n in ("amount", "exact", "sign", "skip", "out")))
+
+    def column(self) -> Column:
+        return F.struct(self.amount.alias("amount"), self.exact.alias("exact"), self.sign.alias("sign"), self.skip.alias("skip"), self.out.alias("out"))
+
+    def emitted(self, what: Column, skip: bool = False) -> _State:
+        return _State(F.lit(None).cast("string"), F.lit(False), F.lit(""), F.lit(skip), F.concat(self.out, F.lit(" "), self.sign, what))
+
+    def flushed(self) -> _State:
+        done = self.amount.isNotNull()
+        out = F.when(done, F.concat(self.out, F.lit(" "), self.sign, self.amount)).otherwise(self.out)
+        return _State(F.lit(None).cast("string"), F.lit(False), F.when(done, F.lit("")).otherwise(self.sign), F.lit(False), out)
+
+    def pending(self, amount: Column, exact: Column, sign: Column | None = None, skip: bool = False) -> _State:
+        return _State(amount, exact, self.sign if sign is None else sign, F.lit(skip), self.out)
+
+    def digits(self, more: Column) -> Column:
+        """Digits behind the pending ones; a whole number 0 is none."""
+        return F.concat(F.when(self.amount.isNull() | (self.exact & (self.amount == "0")), "").otherwise(self.amount), more)
+
+
+def _joined(s: _State, t: Column, room: Column) -> tuple[Column, Column]:
+    """(amount, whether it is a whole number) of the pending amount and a unit or ten: added where it ends in ``room`` zeros."""
+    value = t["value"]
+    ends = F.right(s.amount, F.least(room, F.length(s.amount))) == F.repeat(F.lit("0"), F.least(room, F.length(s.amount)))
+    fits = s.exact & ((s.amount == "0") | ((F.length(s.amount) > room) & ends))
+    spelled = (t["kind"].startswith("unit")) & (~s.exact | (t["before"] == "unit"))
+    instead = spelled & (t["before"] == "ten") & (F.length(value) == 1)
+    added = F.when(s.amount == "0", value).otherwise(F.concat(F.substring(s.amount, F.lit(1), F.length(s.amount) - room), F.lpad(value, room, F.lit("0"))))
+    amount = F.when(s.amount.isNull(), value).when(instead, F.concat(_head(s.amount, 1), value)).when(fits & ~spelled, added).otherwise(F.concat(s.amount, value))
+    return amount, s.amount.isNull() | (fits & ~spelled)
+
+
+def _read(state: Column, t: Column) -> Column:
+    """What a word does to the state."""
+    s = _State.of(state)
+    flushed = s.flushed()
+    kind, value, word = t["kind"], t["value"], t["word"]
+    other = flushed.emitted(word)
+    sign = F.substring(word, F.lit(1), F.lit(1))
+    bare = F.when(kind == "signed", F.substring(word, F.lit(2), F.length(word))).otherwise(word)
+    number = let(F.struct(bare.alias("bare"), _whole(bare).alias("whole")), lambda b: flushed.pending(F.coalesce(b["whole"], b["bare"]), b["whole"].isNotNull(), F.when(kind == "signed", sign).otherwise(flushed.sign)).column())
+    arabic = F.when(s.amount.isNotNull() & ~s.exact & s.amount.endswith("."), s.pending(F.concat(s.amount, word), F.lit(False)).column()).otherwise(number)
+    amount, exact = _joined(s, t, F.when(kind.startswith("ten") | (F.length(value) > 1), 2).otherwise(1))
 
+    def powered(product: Column) -> Column:
+        own = _State(F.lit(None).cast("string"), F.lit(False), F.when(product.isNull(), flushed.sign).otherwise(s.sign), F.lit(False), F.when(product.isNull(), flushed.out).otherwise(s.out))
+        result = F.coalesce(product, F.concat(F.lit("1"), F.repeat(F.lit("0"), value.cast("int"))))
+        return F.when(kind == "power", own.pending(result, F.lit(True)).column()).otherwise(own.emitted(F.concat(result, t["ending"])).column())
 
-@F.pandas_udf(StringType())
-def _standardized(texts: pd.Series) -> pd.Series:
-    return texts.map(standardize, na_action="ignore")
+    # without an amount the power itself is one, and nothing is flushed
+    power = let(F.when(s.amount.isNull(), F.concat(F.lit("1"), F.repeat(F.lit("0"), value.cast("int")))).otherwise(_times(s.amount, s.exact, value.cast("int"))), powered)
+    on, after = t["goes_on"], t["after"]
+    percent = F.when(s.amount.isNull(), s.emitted(word).column()).when(word == "percent", s.emitted(F.concat(s.amount, F.lit("%"))).column())
+    percent = percent.when(after == "cent", s.emitted(F.concat(s.amount, F.lit("%")), skip=True).column()).otherwise(other.column())
+    doubled = F.repeat(t["after_value"], F.when(word == "double", 2).otherwise(3))
+    special = (
+        F.when(on & (word == "and") & (t["before"] == "power"), state)
+        .when(on & (word == "point"), F.when(t["decimal"], s.pending(s.digits(F.lit(".")), F.lit(False)).column()).otherwise(state))
+        .when(on & word.isin("double", "triple") & t["after_kind"].isin("unit", "zero"), s.pending(s.digits(doubled), F.lit(False), skip=True).column())
+        .otherwise(other.column())
+    )
+    return (
+        F.when(s.skip, _State(s.amount, s.exact, s.sign, F.lit(False), s.out).column())
+        .when(kind.isin("numeral", "signed"), arabic)
+        .when(kind == "zero", s.pending(s.digits(F.lit("0")), F.lit(False)).column())
+        .when(kind.isin("unit", "ten"), s.pending(amount, exact).column())
+        .when(kind.isin("unit_end", "ten_end"), s.emitted(F.concat(amount, t["ending"])).column())
+        .when(kind.isin("power", "power_end"), power)
+        .when(kind == "sign", F.when(on, flushed.pending(F.lit(None).cast("string"), F.lit(False), value).column()).otherwise(other.column()))
+        .when(kind == "currency", F.when(s.amount.isNull(), s.emitted(word).column()).otherwise(_State(s.amount, s.exact, value, F.lit(False), s.out).flushed().column()))
+        .when(kind == "percent", percent)
+        .otherwise(special)
+    )
+
+
+def _value(kind: str, value: object) -> str:
+    """Of a power how many zeros it has."""
+    return str(len(str(value)) - 1) if kind.startswith("power") else str(value)
+
+
+def _entries() -> Column:
+    pairs = []
+    for word, (kind, value, ending) in LEXICON.items():
+        pairs += [F.lit(word), F.struct(F.lit(kind).alias("kind"), F.lit(_value(kind, value)).alias("value"), F.lit(ending).alias("ending"))]
+    return F.create_map(*pairs)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def _is_number(word: Column) -> Column:
+    return word.isin(*LEXICON) | (word.rlike(r"(?U)\d$") & (word.rlike(_NUMERAL) | word.rlike(_SIGNED)))
+
+
+def _run(run: Column) -> Column:
+    """A run of words that are all numbers, read from left to right."""
+    table = _entries()
+    none = F.struct(*[F.lit(None).cast("string").alias(n) for n in ("kind", "value", "ending")])
+
+    def known(word: Column) -> Column:  # each word is looked up once
+        kind = F.when(word.rlike(r"\p{Nd}"), F.when(word.rlike(_NUMERAL), "numeral").when(word.rlike(_SIGNED), "signed"))
+        return F.struct(word.alias("word"), F.when(kind.isNull(), F.try_element_at(table, word)).otherwise(none).alias("own"), kind.alias("arabic"))
+
+    def token(known_: Column) -> Callable[[Column, Column], Column]:
+        def of(x: Column, k: Column) -> Column:
+            before, after = F.when(k > 0, F.get(known_, k - 1)), F.get(known_, k + 1)
+            numeral = F.coalesce(after["arabic"] == "numeral", F.lit(False))
+            after_kind = F.coalesce(after["own"]["kind"], F.lit(""))
+            return F.struct(
+                x["word"].alias("word"), F.coalesce(x["arabic"], x["own"]["kind"]).alias("kind"), F.coalesce(x["own"]["value"], F.lit("")).alias("value"),
+                F.coalesce(x["own"]["ending"], F.lit("")).alias("ending"), F.coalesce(before["own"]["kind"], F.lit("")).alias("before"), F.coalesce(after["word"], F.lit("")).alias("after"),
+                after_kind.alias("after_kind"), F.coalesce(after["own"]["value"], F.lit("")).alias("after_value"),
+                (numeral | (after_kind != "")).alias("goes_on"), (numeral | after_kind.isin("zero", "unit", "ten")).alias("decimal"),
+            )
+
+        return of
+
+    begin = _State(F.lit(None).cast("string"), F.lit(False), F.lit(""), F.lit(False), F.lit("")).column()
+    return F.aggregate(let(F.transform(F.split(run, " "), known), lambda ws: F.transform(ws, token(ws))), begin, _read, lambda s: F.substring(_State.of(s).flushed().out, F.lit(2), F.length(s["out"]) + F.length(s["sign"]) + F.length(F.coalesce(s["amount"], F.lit(""))) + 1))
+
+
+def _read_all(words: Column) -> Column:
+    """Words joined by one blank, each run of numbers read by itself: other words end what is pending."""
+
+    def marked(word: Column, k: Column) -> Column:
+        turned = (k > 0) & (_is_number(word) != F.coalesce(_is_number(F.get(words, k - 1)), F.lit(False)))
+        return F.concat(F.when(k == 0, "").when(turned, _CUT).otherwise(" "), word)
+
+    runs = F.split(F.array_join(F.transform(words, marked), ""), _CUT)
+    return F.array_join(F.transform(runs, lambda r: F.when(_is_number(F.substring_index(r, " ", 1)), _run(r)).otherwise(r)), " ")
 
 
 def may_hold_numbers(text: Column) -> Column:
@@ -259,5 +295,7 @@ def may_hold_numbers(text: Column) -> Column:
 
 
 def standardized(text: Column) -> Column:
-    """Column version; texts that can't hold a number don't reach Python."""
-    return F.coalesce(_standardized(F.when(may_hold_numbers(text), text)), F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), " "))
+    """Spoken numbers of a text as digits; words are joined by one blank. Null stays null."""
+    plain = F.array_join(_words(text), " ")
+    read = let(_words(_replaced(F.translate(_replaced(text, HALVES), _CUT, " "), SPACED)), _read_all)
+    return F.when(may_hold_numbers(text), _replaced(read, CENTS)).otherwise(plain)

@@ -17,17 +17,13 @@ def paired(hyps: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("__key").isNull(), F.raise_error(F.lit("a reference has no hypothesis"))).otherwise(F.col("hyp")).alias("hyp"), "ref")
 
 
-def normalized_tokens(spelling: dict[str, str] | None = None, with_numbers: bool = True) -> Callable[[Column], Column]:
-    return lambda c: tokens.scoring_tokens(normalize.normalized(c, spelling, with_numbers))
-
-
-def pair_errors(pairs: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
+def pair_errors(pairs: DataFrame, tokenize: Callable[[Column], Column] | None = None, spelling: dict[str, str] | None = None) -> DataFrame:
     """``pairs`` (with hyp and ref) plus ``distance`` and ``ref_length``; of normalized texts unless ``tokenize`` is given."""
     if tokenize:
-        out = pairs.withColumn("__h", tokenize(F.col("hyp"))).withColumn("__r", tokenize(F.col("ref")))
+        out = normalize.once(normalize.once(pairs, tokenize(F.col("hyp")), "__h"), tokenize(F.col("ref")), "__r")
     else:
-        out = normalize.with_normalized(normalize.with_normalized(pairs, "hyp", "__h"), "ref", "__r")
-        out = out.withColumn("__h", tokens.scoring_tokens(F.col("__h"))).withColumn("__r", tokens.scoring_tokens(F.col("__r")))
+        out = normalize.with_normalized(normalize.with_normalized(pairs, "hyp", "__h", spelling), "ref", "__r", spelling)
+        out = normalize.once(normalize.once(out, tokens.scoring_tokens(F.col("__h")), "__h"), tokens.scoring_tokens(F.col("__r")), "__r")
     return out.withColumn("distance", token_distance(F.col("__r"), F.col("__h"))).withColumn("ref_length", F.size("__r")).drop("__h", "__r")
 
 
@@ -40,7 +36,7 @@ def corpus_rate(errors: DataFrame, *by: str, lenient: bool = False) -> DataFrame
 
 def word_error_rate(pairs: DataFrame, spelling: dict[str, str] | None = None) -> float:
     """The corpus rate as a number."""
-    return corpus_rate(pair_errors(pairs, normalized_tokens(spelling))).first()["wer"]
+    return corpus_rate(pair_errors(pairs, spelling=spelling)).first()["wer"]
 
 
 def shown(rate: float) -> str:

@@ -29,9 +29,9 @@ def sample_at(items: DataFrame, position: int) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str, key: str = "src", value: str = "dst") -> DataFrame:
-    """A JSON object of strings as rows."""
+    """A JSON object of strings as rows, with their ``position``: of a key that stands there twice the last one counts."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
+    return raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("position", "e")).select("position", F.col("e.key").alias(key), F.col("e.value").alias(value))
 
 
 def with_audio(items: DataFrame, audio: DataFrame) -> DataFrame:

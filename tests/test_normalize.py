@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from spoken import standardize
 
 from loomtext.functions import normalize, numbers, tokens
+from loomtext.sources import annotations
 
 NUMBERS = [
     ("one oh one", "101"), ("twenty one", "21"), ("two hundred and five", "205"), ("one thousand two hundred", "1200"), ("million million", "1000000"),
@@ -22,9 +26,35 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize(("text", "want"), NUMBERS)
-def test_numbers(text, want):
-    assert numbers.standardize(text) == want
+def read(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    return [r["n"] for r in d.select("k", numbers.standardized(F.col("t")).alias("n")).orderBy("k").collect()]
+
+
+def test_numbers(spark):
+    assert read(spark, [t for t, _ in NUMBERS]) == [w for _, w in NUMBERS]
+    assert [standardize(t) for t, _ in NUMBERS] == [w for _, w in NUMBERS]
+
+
+ODD = (
+    "x cup half a 12 0 007 3.14 $20 -5 +7 ¢5 £0.07 10.0 1st b2b 99 999 ٣ ٣.٥ 100 1000 5000 123456789012345678901234567890 999999999999999999999999999999999999999999 $0 0.05"
+    " . % - $ -x cent per and point double triple"
+).split() + ["and a half"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_numbers_in_any_order(spark, seed):
+    rng = random.Random(seed)
+    every = list(numbers.LEXICON)
+    small = [w for w in every if numbers.LEXICON[w][0] in ("unit", "ten", "power", "zero", "special", "currency")]
+    texts = [(" " if rng.random() < 0.9 else "  ").join(rng.choice(lexicon if rng.random() < 0.85 else ODD) for _ in range(rng.randint(0, 10))) for lexicon in (every, small) for _ in range(1500)]
+    assert read(spark, texts) == [standardize(t) for t in texts]
+
+
+def test_no_python_in_the_plan(spark):
+    d = spark.createDataFrame([("é two",)], "t string")
+    plan = normalize.with_normalized(d, "t", "n")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_normalized(spark):
@@ -37,7 +67,7 @@ def test_gate_changes_nothing(spark):
     texts = [t for t, _ in NUMBERS] + ["plain words and  more", "half of it", "sand a half", "٣ things", "and a half"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     got = d.select("t", numbers.standardized(F.col("t")).alias("n"), numbers.may_hold_numbers(F.col("t")).alias("g")).collect()
-    assert [r["n"] for r in got] == [numbers.standardize(t) for t in texts]
+    assert [r["n"] for r in got] == [standardize(t) for t in texts]
     assert not got[-5]["g"]
 
 
@@ -60,9 +90,28 @@ def test_spelling(spark):
     assert [r[0] for r in d.orderBy("k").select(normalize.spelled(F.col("t"), {"colour": "color", "grey": "gray"})).collect()] == [out[k] for k in (1, 2, 3, 4)]
 
 
-def test_halves_and_cents():
+def test_halves_and_cents(spark):
     cases = {
         "two and a half": "2.5", "and a half": "", "cup and a half": "cup and a half", "two and a half and a half": "2.5", "x and a half y": "x and a half y",
         "million and a half dollars": "$1000000.5", "two dollars and seven cents": "$2.07", "two dollars seventy cents": "$2.70", "five cents": "¢5", "a1b": "a one b", "3 rd": "3rd",
     }
-    assert {k: numbers.standardize(k) for k in cases} == cases
+    assert dict(zip(cases, read(spark, list(cases)), strict=True)) == cases
+
+
+def test_a_large_dictionary(spark, tmp_path):
+    """100,000 words, repeated ones among them: the last counts, as in a JSON object."""
+    import json
+
+    body = ", ".join(f"{json.dumps(f'w{k}')}: {json.dumps(f'v{k}')}" for k in range(100_000))
+    (tmp_path / "m.json").write_text("{" + body + ', "w5": "zzz", "w7": "b", "w7": "a", "é": "e"}')
+    table = annotations.read_lookup(spark, f"{tmp_path}/m.json")
+    d = spark.createDataFrame([(1, "w5  w99999 none"), (2, "w7 w7 é"), (2, "w7 w7 é"), (3, None), (4, " "), (5, " ".join(f"w{k}" for k in range(0, 100_000, 7)))], "k int, t string")
+    got = sorted((r["k"], r["u"]) for r in normalize.plain_spelling(d, "t", table, "u").collect())
+    assert got[:-1] == [(1, "zzz v99999 none"), (2, "a a e"), (2, "a a e"), (3, None), (4, "")]
+    assert got[-1][1].split() == [{5: "zzz", 7: "a"}.get(k, f"v{k}") for k in range(0, 100_000, 7)]
+
+
+def test_spelling_keeps_columns_of_its_own_names(spark):
+    d = spark.createDataFrame([("a b", 1, 2, 3, 4)], "t string, __key int, __text int, word int, at int")
+    table = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), ("b", None)], "src string, dst string")
+    assert [r.asDict() for r in normalize.plain_spelling(d, "t", table, "t").collect()] == [{"t": "y b", "__key": 1, "__text": 2, "word": 3, "at": 4}]

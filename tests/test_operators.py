@@ -99,7 +99,7 @@ def test_annotations(spark, tmp_path):
     with pytest.raises(Exception, match="no prompt"):
         annotations.prompted(items, spark.createDataFrame([("asr", "go")], "task string, prompt string")).collect()
     (tmp_path / "m.json").write_text('{"colour": "color"}')
-    assert [tuple(r) for r in annotations.read_lookup(spark, f"{tmp_path}/m.json").collect()] == [("colour", "color")]
+    assert [tuple(r) for r in annotations.read_lookup(spark, f"{tmp_path}/m.json").collect()] == [(0, "colour", "color")]
     d = spark.createDataFrame([("Hello<|end_of_text|>junk<|end_of_text|>",), ("No End",), ("<|end_of_text|>x",)], "t string")
     assert [r[0] for r in d.select(annotations.hypothesis(F.col("t"))).collect()] == ["hello", "no end", ""]
     mock = annotations.mock_samples(spark, 10, 2, 5)
