@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import score_queries, text_queries
+from .plans import audio_queries, score_queries, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in [*text_queries.QUERIES, *score_queries.QUERIES]}
+    return {q.__name__: q for q in [*text_queries.QUERIES, *score_queries.QUERIES, *audio_queries.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.oracles() | score_queries.oracles()
+    return text_queries.oracles() | score_queries.oracles() | audio_queries.oracles()

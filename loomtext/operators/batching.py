@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_folder
 
-def in_batches(df: DataFrame, order: str, size: int = 8) -> DataFrame:
-    """``df`` with ``batch_id``: rows in order, ``size`` to a batch. The order must be total.
 
-    Positions are exact without a global sort in one task: rows are range-partitioned by the order,
-    numbered within their partition, and moved by the (few) sums of the partitions before.
+def in_batches(df: DataFrame, order: str, size: int = 8, place: str | None = None) -> DataFrame:
+    """``df`` with ``batch_id`` and, if named, the ``place`` in the batch: rows in order, ``size`` to a batch.
+
+    Rows are range-partitioned by the order, sorted, and written with the number of their partition and their
+    place in it. Where a partition begins follows from the (few) counts of those before, read from the same
+    table: no step numbers partitions anew, so neither adaptive execution nor a stage that runs again
+    moves a row. Rows of equal ``order`` stand in some order that is written too. Nulls come first.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    sums = ranged.groupBy("__part").agg(F.count("*").alias("rows"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
-    numbered = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    out = numbered.join(before, "__part").withColumn("batch_id", F.floor((F.col("__before") + F.col("__row") - 1) / size))
-    return out.drop("__part", "__row", "__before")
+    spark = df.sparkSession
+    # the upper bits are the partition, the lower 33 the row in it
+    at = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(F.col(order)).withColumn("__at", at)
+    path = fresh_folder(spark)
+    ranged.write.parquet(path)
+    written = spark.read.schema(ranged.schema).parquet(path)
+    part = F.shiftright("__at", 33)
+    counts = written.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    before = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = written.join(before, part == F.col("__of"))
+    number = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = out.withColumn("batch_id", F.floor(number / size))
+    out = out if place is None else out.withColumn(place, (number % size).cast("int"))
+    return out.drop("__at", "__of", "__before")
 
 
 def padded(df: DataFrame, column: str, batch: str = "batch_id") -> DataFrame:

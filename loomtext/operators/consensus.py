@@ -35,47 +35,65 @@ def document_frequencies(refs: DataFrame, n: int = N, tokenize: Callable[[Column
     return gram_counts(refs, ["id"], n, tokenize).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def weights(counts: DataFrame, df: DataFrame, samples: int) -> DataFrame:
-    idf = F.ln(F.lit(float(samples))) - F.ln(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))).cast("double"))
-    return counts.join(df, "gram", "left").withColumn("w", F.col("tf") * idf).drop("df")
+def weights(counts: DataFrame, df: DataFrame | Callable[[Column], Column], samples: int) -> DataFrame:
+    """``counts`` with ``w``, tf-idf. ``df`` is a table (gram, df) or says of a gram in how many samples it is; a gram
+    that none has counts as one of a single sample."""
+    known = counts.withColumn("df", df(F.col("gram"))) if callable(df) else counts.join(df, "gram", "left")
+    idf = F.ln(F.lit(float(samples))) - F.ln(F.greatest(F.lit(1.0), F.coalesce(F.col("df").cast("double"), F.lit(0.0))))
+    return known.withColumn("w", F.col("tf") * idf).drop("df")
 
 
-def sentence_scores(
-    candidates: DataFrame, references: DataFrame, n: int = N, sigma: float = SIGMA, scale: float = SCALE,
-    tokenize: Callable[[Column], Column] = words, df: DataFrame | None = None,
-) -> DataFrame:
-    """(id, cider_d) of each candidate (id, text) against its references (id, ref_idx, text).
+def lengths(texts: DataFrame, keys: list[str], tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """(keys, length): in words, less one, and never below 0."""
+    return texts.select(*keys, F.greatest(F.size(tokenize(F.col("text"))) - 1, F.lit(0)).alias("length"))
 
-    ``df`` replaces the document frequencies of the references themselves. Fewer than two samples,
-    or references without any gram, are errors, as no frequency means anything then; so is a ``df`` in
-    which more documents hold a gram than there are samples.
-    """
-    samples = references.select("id").distinct().count()
+
+def checked(samples: int, df: DataFrame | Callable[[Column], Column]) -> None:
+    """Fewer than two samples, or frequencies of no gram at all, are errors, as no frequency means anything then; so are
+    frequencies in which more documents hold a gram than there are samples."""
     if samples < 2:
         raise ValueError("at least two samples are needed")
-    if df is None:
-        df = document_frequencies(references, n, tokenize)
-        if not df.limit(1).count():
-            raise ValueError("the references hold no words")
-    elif (df.agg(F.max("df")).first()[0] or 0) > samples:
+    if callable(df):
+        return
+    most = df.agg(F.max("df")).first()[0]
+    if most is None:
+        raise ValueError("the references hold no words")
+    if most > samples:
         raise ValueError("more documents hold a gram than there are samples")
-    cand = weights(gram_counts(candidates, ["id"], n, tokenize), df, samples)
-    ref = weights(gram_counts(references, ["id", "ref_idx"], n, tokenize), df, samples)
-    long = lambda t: F.greatest(F.size(tokenize(t)) - 1, F.lit(0))
+
+
+def scores(cand: DataFrame, ref: DataFrame, cand_length: DataFrame, ref_length: DataFrame, n: int = N, sigma: float = SIGMA, scale: float = SCALE) -> DataFrame:
+    """(id, cider_d) from weighted grams of candidates (id, n, gram, w) and references (id, ref_idx, n, gram, w) and their lengths."""
     cand_norm = cand.groupBy("id", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_c"))
     ref_norm = ref.groupBy("id", "ref_idx", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_r"))
     dots = cand.select("id", "gram", "n", F.col("w").alias("wc")).join(ref.select("id", "gram", "ref_idx", F.col("w").alias("wr")), ["id", "gram"])
     dots = dots.groupBy("id", "ref_idx", "n").agg(F.sum(F.least("wc", "wr") * F.col("wr")).alias("dot"))
-    lengths = references.select("id", "ref_idx", long(F.col("text")).alias("len_r")).join(candidates.select("id", long(F.col("text")).alias("len_c")), "id")
+    both = ref_length.withColumnRenamed("length", "len_r").join(cand_length.withColumnRenamed("length", "len_c"), "id")
     norm = F.col("norm_c") * F.col("norm_r")
-    sims = dots.join(cand_norm, ["id", "n"]).join(ref_norm, ["id", "ref_idx", "n"]).join(lengths, ["id", "ref_idx"])
+    sims = dots.join(cand_norm, ["id", "n"]).join(ref_norm, ["id", "ref_idx", "n"]).join(both, ["id", "ref_idx"])
     sims = sims.withColumn("sim", F.when(norm != 0, F.col("dot") / norm).otherwise(F.col("dot")) * F.exp(-F.pow(F.col("len_c") - F.col("len_r"), F.lit(2)) / (2 * sigma * sigma)))
     total = sims.groupBy("id").agg(F.sum("sim").alias("sim"))
-    each = references.groupBy("id").agg(F.count("*").alias("refs"))
-    out = candidates.select("id").join(each, "id").join(total, "id", "left")
+    each = ref_length.groupBy("id").agg(F.count("*").alias("refs"))
+    out = cand_length.select("id").join(each, "id").join(total, "id", "left")
     return out.select("id", (scale * F.coalesce("sim", F.lit(0.0)) / n / F.col("refs")).alias("cider_d"))
 
 
+def sentence_scores(
+    candidates: DataFrame, references: DataFrame, n: int = N, sigma: float = SIGMA, scale: float = SCALE,
+    tokenize: Callable[[Column], Column] = words, df: DataFrame | Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """(id, cider_d) of each candidate (id, text) against its references (id, ref_idx, text).
+
+    ``df`` replaces the document frequencies of the references themselves; see ``checked`` for what is an error.
+    """
+    samples = references.select("id").distinct().count()
+    df = document_frequencies(references, n, tokenize) if df is None else df
+    checked(samples, df)
+    cand = weights(gram_counts(candidates, ["id"], n, tokenize), df, samples)
+    ref = weights(gram_counts(references, ["id", "ref_idx"], n, tokenize), df, samples)
+    return scores(cand, ref, lengths(candidates, ["id"], tokenize), lengths(references, ["id", "ref_idx"], tokenize), n, sigma, scale)
+
+
 def corpus_score(sentences: DataFrame) -> DataFrame:
     return sentences.agg(F.avg("cider_d").alias("cider_d"))
 
@@ -88,3 +106,7 @@ def single(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def spider(pairs: DataFrame) -> DataFrame:
     """The corpus score of single references times 100, to 4 places."""
     return corpus_score(sentence_scores(*single(pairs))).select(F.round(F.col("cider_d") * 100, 4).alias("spider"))
+
+
+def shown(score: float) -> str:
+    return f"SPIDEr: {score}"

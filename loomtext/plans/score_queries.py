@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators import batching, consensus, measurements, scoring
+from ..sources import shared
+from ..streaming import consensus as running
+from ..streaming import word_errors as running_errors
+from . import text_queries
 from .text_queries import _BENCH, _sql_errors, _sql_words, bench_pairs, table, turns
 
 
@@ -67,6 +71,53 @@ def ciderd_multi_ref(spark, sf_dir):
     return consensus.sentence_scores(*_multi(spark, sf_dir)).select("id", F.round("cider_d", 6).alias("cider_d"))
 
 
+#: Batches that a stream of the benchmark comes in.
+_BATCHES = 4
+
+
+def _streamed(spark, sf_dir):
+    """A running consensus after a stream of the conversations' samples and its end."""
+    cand, refs = _multi(spark, sf_dir)
+    refs = refs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda x: x["text"]).alias("refs"))
+    samples = cand.withColumnRenamed("text", "hyp").join(refs, "id")
+    state = running.RunningConsensus(spark)
+    running.done(state.attach(running.in_batches(spark, samples, f"{state.at}/input", _BATCHES), availableNow=True))
+    return state
+
+
+def ciderd_streamed(spark, sf_dir):
+    """Scores after a stream: those of the whole table, however it was split."""
+    return _streamed(spark, sf_dir).scores().select("id", F.round("cider_d", 6).alias("cider_d"))
+
+
+def ciderd_streamed_corpus(spark, sf_dir):
+    pairs = bench_pairs(spark, sf_dir).select("id", "hyp", F.array("ref").alias("refs"))
+    state = running.RunningConsensus(spark)
+    running.done(state.attach(running.in_batches(spark, pairs, f"{state.at}/input", _BATCHES), availableNow=True))
+    return state.compute()["corpus"].select(F.round("cider_d", 6).alias("cider_d"))
+
+
+def ciderd_tfidf(spark, sf_dir):
+    """The tf-idf vectors that scores are made of, by reference and order."""
+    cand, refs = _multi(spark, sf_dir)
+    state = running.RunningConsensus(spark)
+    whole = refs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda x: x["text"]).alias("refs"))
+    state.update(cand.withColumnRenamed("text", "hyp").join(whole, "id"), 0)
+    bags = state.compute(tfidf=True)["references"]
+    total = F.aggregate(F.map_values("tfidf"), F.lit(0.0), lambda a, w: a + w)
+    return bags.select("id", "ref_idx", "n", F.size("tfidf").alias("grams"), F.round(total, 6).alias("total"))
+
+
+def wer_streamed(spark, sf_dir):
+    """Error rates after a stream, by task; a batch adds to the running sums."""
+    pairs = bench_pairs(spark, sf_dir).withColumn("task", F.when(F.col("id") % 3 == 0, "asr").otherwise("aac"))
+    at = shared.fresh_folder(spark)
+    rates = running_errors.running_rate(running.in_batches(spark, pairs, f"{at}/input", _BATCHES), "task", tokenize=tokens.words)
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/rates")
+    running.done(rates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{at}/rates").select("task", "distance", "ref_length", F.round("wer", 6).alias("wer"))
+
+
 def efficiency_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("event_id") - 1).alias("it"), (F.abs("value") * 1e9).cast("long").alias("memory"), (F.col("value") / 7).alias("ttft"), (F.col("value") / 100).alias("tpot"))
     return measurements.summary(e, 10).select(*[F.round(c, 6).alias(c) for c in ("memory_gb", "inference_s", "ttft_s", "tpot_s")])
@@ -86,7 +137,7 @@ def array_preparation(spark, sf_dir):
     return out.select("vec_id", F.size("p").alias("size"), F.round(F.get("p", 3), 6).alias("fourth"), F.get("p", 66).alias("filled"), "best")
 
 
-QUERIES = [ngram_counts, doc_freq, tfidf_weights, tfidf_norms, ciderd_sentence, ciderd_corpus, spider_score, task_scores, ciderd_multi_ref, efficiency_summary, batch_pad_mask, array_preparation]
+QUERIES = [ngram_counts, doc_freq, tfidf_weights, tfidf_norms, ciderd_sentence, ciderd_corpus, spider_score, task_scores, ciderd_multi_ref, ciderd_streamed, ciderd_streamed_corpus, ciderd_tfidf, wer_streamed, efficiency_summary, batch_pad_mask, array_preparation]
 
 _TOKS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 _MULTI_C = """select conv_id as id, arg_max(text, turn) as text from conversations where role = 'assistant' and conv_id in (select conv_id from conversations where role = 'user') group by 1"""
@@ -134,6 +185,11 @@ def oracles() -> dict[str, str]:
         "ciderd_corpus": f"select round(avg(cider_d), 6) as cider_d from ({single})",
         "spider_score": f"select round(avg(cider_d) * 100, 4) as spider from ({single})",
         "ciderd_multi_ref": f"select id, round(cider_d, 6) as cider_d from ({_cider(_MULTI_C, _MULTI_R)})",
+        "ciderd_streamed": f"select id, round(cider_d, 6) as cider_d from ({_cider(_MULTI_C, _MULTI_R)})",
+        "ciderd_streamed_corpus": f"select round(avg(cider_d), 6) as cider_d from ({single})",
+        "ciderd_tfidf": f"""select id, (dense_rank() over (partition by id order by turn) - 1)::int as ref_idx, n, grams, total from (
+          select id, ref_idx as turn, n::int as n, count(*)::int as grams, round(sum(w), 6) as total from ({weights}) group by all)""",
+        "wer_streamed": text_queries.oracles()["wer_by_task"],
         "efficiency_summary": """select round(avg(trunc(abs(value) * 1e9)::bigint / 1073741824), 6) as memory_gb, round(avg(value / 7 + value / 100), 6) as inference_s,
           round(avg(value / 7), 6) as ttft_s, round(avg(value / 100), 6) as tpot_s from events where event_id - 1 >= 10""",
         "batch_pad_mask": """with e as (select vec_id, list_slice(embedding::double[], 1, vec_id % 5 + 1) as v, ((row_number() over (order by vec_id)) - 1) // 8 as batch_id from embeddings)

@@ -35,12 +35,20 @@ def read_lookup(spark: SparkSession, path: str, key: str = "src", value: str = "
 
 
 def with_audio(items: DataFrame, audio: DataFrame) -> DataFrame:
-    """Joins decoded audio (path, samples) by path; what can't be read gets the first item's samples."""
-    first = items.where("position = 0").select(F.col("path").alias("__first")).join(audio, F.col("__first") == audio["path"]).select(F.col("samples").alias("__fallback"))
-    joined = items.join(audio.withColumnRenamed("path", "__path"), items["path"] == F.col("__path"), "left").drop("__path")
+    """``items`` (position, path, ...) with the columns of decoded ``audio`` (path, samples, ...) by path.
+
+    A file that is missing or couldn't be decoded (null samples) gives the first item's audio; if that can't be
+    read either, that is an error where it is needed.
+    """
+    fields = [c for c in audio.columns if c != "path"]
+    decoded = audio.select(F.col("path").alias("__path"), F.struct(*fields).alias("__audio")).where("__audio.samples is not null")
+    first = items.where("position = 0").select(F.col("path").alias("__first")).join(decoded, F.col("__first") == F.col("__path")).select(F.col("__audio").alias("__fallback"))
+    joined = items.join(decoded, items["path"] == F.col("__path"), "left")
     # one row, joined by a constant
     joined = joined.withColumn("__one", F.lit(1)).join(F.broadcast(first.limit(1).withColumn("__one", F.lit(1))), "__one", "left")
-    return joined.withColumn("samples", F.coalesce("samples", "__fallback")).drop("__one", "__fallback")
+    unread = F.raise_error(F.concat(F.lit("neither this file nor the first one can be read: "), "path")).cast(joined.schema["__audio"].dataType)
+    used = F.coalesce("__audio", "__fallback", unread)
+    return joined.withColumn("__used", used).select(*items.columns, *[F.col(f"__used.{c}").alias(c) for c in fields])
 
 
 def hypothesis(decoded: Column, end: str = END_SIGN) -> Column:
