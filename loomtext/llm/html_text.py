@@ -3,8 +3,11 @@
 A page is cut into flat blocks at its block tags. A block's features are its word count and link
 density, and those of the blocks before and after it: nothing of its markup. The tree is grown (Gini
 impurity, on the driver, in a moment) from ``TABLE``, a small table of labelled blocks. What words and
-links can't tell, such as a reader's comment of a paragraph, is left out afterwards where the markup
-around it says what it is (``nav``, ``form``, a class ``comments``); no markup makes a block main text.
+links can't tell, such as a reader's comment of a paragraph, is left out afterwards where an element
+around it says what it is (``nav``, a class ``comments``); no markup makes a block main text. Names that
+only contain such a word (``comment-list``, ``has-sidebar``) may speak of what is inside or beside: what
+they say of an element's state is no role, and an element that holds all but ``BESIDE`` of the text that
+the tree found is the page, whatever it is called.
 
 Scale: pages are mapped one by one, nothing is shuffled, and memory follows the longest page. Every
 scan over a page moves forward only, so the time is in proportion to its length.
@@ -34,7 +37,11 @@ SILENT = frozenset("script style title textarea".split())
 #: Elements that end where a like one begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog button select fieldset".split())
+#: Share of the words that the tree finds that may stand outside an element that is the page, and the least words in it.
+BESIDE, PAGE_WORDS = 0.05, 50
+#: Parts of a hyphenated name that make it the state of an element, not its role.
+STATES = frozenset("has have with without no not is are on off hide hidden show shows can enabled disabled open closed active inactive".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer"
     " discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
@@ -45,6 +52,8 @@ ASIDE_WORDS = frozenset(
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: How surely an element says that it stands beside the text.
+NOT, PERHAPS, SURELY = 0, 1, 2
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 
@@ -64,6 +73,9 @@ TABLE = [
     # menus and lists of links
     (1, 1.0, 0, 0.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0), (5, 0.9, 40, 0.0, 2, 1.0, 0), (12, 0.8, 30, 0.0, 5, 0.9, 0), (25, 0.8, 3, 1.0, 5, 0.5, 0),
     (4, 1.0, 80, 0.0, 60, 0.0, 0), (8, 1.0, 60, 0.0, 0, 0.0, 0), (20, 0.7, 12, 0.0, 10, 1.0, 0), (1, 1.0, 1, 1.0, 13, 0.0, 0), (40, 0.9, 10, 0.0, 20, 0.0, 0), (6, 0.6, 4, 0.8, 70, 0.0, 0),
+    # a link or two right before the text, or after it
+    (1, 1.0, 0, 0.0, 60, 0.0, 0), (2, 1.0, 0, 0.0, 9, 0.0, 0), (1, 1.0, 0, 0.0, 24, 0.0, 0), (3, 0.9, 0, 0.0, 150, 0.0, 0), (6, 1.0, 0, 0.0, 5, 0.0, 0), (2, 1.0, 60, 0.0, 0, 0.0, 0),
+    (1, 1.0, 9, 0.0, 40, 0.0, 0), (10, 0.7, 0, 0.0, 80, 0.0, 0), (4, 0.6, 0, 0.0, 30, 0.0, 0),
     # adverts and notices between a menu and the text
     (10, 0.0, 1, 1.0, 9, 0.0, 0), (4, 0.0, 1, 1.0, 10, 0.0, 0), (13, 0.0, 1, 1.0, 4, 0.0, 0), (7, 0.0, 1, 1.0, 16, 0.0, 0), (11, 0.0, 1, 1.0, 14, 0.0, 0), (12, 0.0, 2, 1.0, 3, 0.0, 0),
     (5, 0.0, 1, 1.0, 5, 0.0, 0), (9, 0.0, 3, 1.0, 12, 0.0, 0), (14, 0.0, 1, 1.0, 11, 0.0, 0), (3, 0.0, 1, 1.0, 2, 0.0, 0), (10, 0.0, 2, 0.9, 1, 0.0, 0),
@@ -122,30 +134,38 @@ class Block:
     text: str
     links: float  # share of its characters that stand in links
     aside: bool  # whether the markup around it says that it isn't the page's text
+    claims: tuple[int, ...] = ()  # elements around it that perhaps say so
 
 
-def _aside(name: str, attributes: str, inside: bool) -> bool:
+def _aside(name: str, attributes: str, inside: bool) -> int:
     """Whether an element calls itself something beside the text; ``inside`` an article a header belongs to it."""
     if name == "header" and not inside or name in ASIDE_TAGS:
-        return True
+        return SURELY
+    found = PERHAPS if name == "form" else NOT
     if attributes and ATTRIBUTE.search(attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return SURELY
             if key == "role" and value in ("navigation", "banner", "search"):
-                return True
-            if set(WORDS.findall(value)) & ASIDE_WORDS and name not in ("html", "body", "main", "article"):
-                return True
-    return False
+                return SURELY
+            if name in ("html", "body", "main", "article"):
+                continue
+            for own in value.split():
+                if own in ASIDE_WORDS:
+                    return SURELY
+                parts = WORDS.findall(own)
+                if not ASIDE_WORDS.isdisjoint(parts) and STATES.isdisjoint(parts):
+                    found = PERHAPS
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool]] = []  # name, aside; each with what is around it
-    link, at, n = False, 0, len(page)
+    open_: list[tuple[str, bool, tuple[int, ...]]] = []  # name, aside, claims; each with what is around it
+    link, at, n, claimed = False, 0, len(page), 0
 
     def end() -> None:
         if not pieces:
@@ -153,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(t for t, _ in pieces).split())
         if text:
             linked = sum(len("".join(t.split())) for t, is_link in pieces if is_link)
-            out.append(Block(text, linked / max(1, len("".join(text.split()))), bool(open_) and open_[-1][1]))
+            out.append(Block(text, linked / max(1, len("".join(text.split()))), bool(open_) and open_[-1][1], open_[-1][2] if open_ else ()))
         pieces.clear()
 
     while at < n:
@@ -202,8 +222,12 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 if open_ and open_[-1][0] in SIBLINGS.get(name, ()):
                     open_.pop()
-                aside = bool(open_) and open_[-1][1]
-                open_.append((name, aside or _aside(name, m[2], any(o in ("article", "main") for o, _ in open_))))
+                aside, claims = open_[-1][1:] if open_ else (False, ())
+                said = NOT if aside else _aside(name, m[2], any(o[0] in ("article", "main") for o in open_))
+                if said == PERHAPS:
+                    claimed += 1
+                    claims = (*claims, claimed)
+                open_.append((name, aside or said == SURELY, claims))
             link = False
     end()
     return out
@@ -216,7 +240,14 @@ def features_of(found: list[Block]) -> list[list[float]]:
 
 def main_text(page: str | None, tree: Leaf | Split) -> str:
     found = blocks_of(page or "")
-    return "\n\n".join(b.text for b, row in zip(found, features_of(found), strict=True) if share_of(tree, row) > 0.5 and not b.aside)
+    kept = [b for b, row in zip(found, features_of(found), strict=True) if share_of(tree, row) > 0.5 and not b.aside]
+    sizes = [len(b.text.split()) for b in kept]
+    inside: dict[int, int] = {}
+    for b, words in zip(kept, sizes, strict=True):
+        for claim in b.claims:
+            inside[claim] = inside.get(claim, 0) + words
+    least = max(PAGE_WORDS, (1 - BESIDE) * sum(sizes))
+    return "\n\n".join(b.text for b in kept if all(inside[claim] >= least for claim in b.claims))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -125,3 +125,37 @@ def test_extra_columns_and_empty(spark):
     d = spark.createDataFrame([(1, "u", f"<article><p>{BODY}</article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(r[0] for r in html_text.extract(d).select("text").collect()) == ["", BODY]
     assert html_text.extract(d.limit(0)).count() == 0
+
+
+LONG = " ".join(f"word{k}" for k in range(60))
+TWO = f"<p>{LONG}</p><p>{LONG} again</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    ['<div class="layout has-sidebar">', '<div class="page with-share-bar">', '<section class="post tags-on">', '<div id="content" class="no-cookie-banner">', '<div class="elementor-widget-text">', "<form>", '<div class="post-and-comments">'],
+)
+def test_an_element_that_is_the_page(around):
+    tree = html_text.grow(html_text.TABLE)
+    name = around[1:].split()[0].rstrip(">")
+    want = f"{LONG}\n\n{LONG} again"
+    assert html_text.main_text(f"{around}{TWO}</{name}>", tree) == want
+    assert html_text.main_text(f'<nav><a href="/">Home</a></nav>{around}{TWO}</{name}><footer>All rights reserved by us</footer>', tree) == want
+
+
+def test_what_stands_beside_goes():
+    tree = html_text.grow(html_text.TABLE)
+    article = f"<article>{TWO}</article>"
+    want = f"{LONG}\n\n{LONG} again"
+    for aside in (f'<div class="comment-list"><p>{LONG} yes</p><p>{LONG} no</p></div>', f'<section id="comments">{TWO * 9}</section>', f'<div class="site-sidebar"><p>{LONG}</p></div>', f"<form><p>{LONG}</p></form>"):
+        assert html_text.main_text(article + aside, tree) == want
+    # nothing but what stands beside
+    assert html_text.main_text(f'<div class="cookie-notice"><p>{" ".join(LONG.split()[:30])}</p></div>', tree) == ""
+    assert html_text.main_text(f"<footer>{TWO}</footer>", tree) == ""
+
+
+def test_a_bare_menu():
+    tree = html_text.grow(html_text.TABLE)
+    for links in (1, 2, 5):
+        menu = "<ul>" + '<li><a href="/">Home</a></li>' * links + "</ul>"
+        assert html_text.main_text(menu + f"<div>{TWO}</div>", tree) == f"{LONG}\n\n{LONG} again"
