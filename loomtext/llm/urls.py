@@ -111,16 +111,27 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return word.groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Words of up to so many letters are looked up as they are, so a part of a host makes so many rows a letter at most.
+LOOKED_UP = 32
+
+
 def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(name, words) of distinct ``hosts`` (name): the words of their parts in order."""
     parts = hosts.select("name", F.posexplode(F.expr(f"regexp_extract_all(name, r'{PART}', 0)")).alias("at", "part"))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")).first()
-    total, longest = sums["n"] + 1, sums["longest"]
-    one = parts.select("part").distinct()
-    begin = one.select("part", F.expr("explode(sequence(1, length(part)))").alias("b"))
-    sizes = F.expr(f"explode(filter(sequence(1, least(length(part) - b + 1, {longest})), x -> x > 1))") if longest > 1 else F.explode(F.array().cast("array<int>"))
-    pieces = begin.select("part", "b", sizes.alias("size")).select("part", F.expr("substring(part, b, size)").alias("word"))
-    known = pieces.join(counts, "word").groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    short = F.length("word") <= LOOKED_UP
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set(F.when(short, F.length("word"))).alias("sizes"), F.bool_or(~short).alias("long")).first()
+    total, sizes = sums["n"] + 1, sorted(sums["sizes"])  # at most LOOKED_UP
+    one = parts.select("part").distinct().withColumn("id", F.sha2("part", 256))  # rows of letters carry the digest, not the part
+    begins = F.transform(F.sequence(F.lit(1), F.length("part")), lambda b: F.struct(b.alias("b"), F.substring(F.col("part"), b, F.lit(LOOKED_UP + 1)).alias("ahead")))
+    begin = one.select("id", F.inline(begins))
+    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("ahead"))
+    pieces = begin.select("id", "ahead", F.explode(fitting).alias("size")).select("id", F.expr("substring(ahead, 1, size)").alias("word"))
+    known = pieces.join(counts.where(short), "word").select("id", "word", "n")
+    if sums["long"]:  # a longer word is found by its beginning
+        beginnings = counts.where(~short).select("word", "n", F.substring("word", 1, LOOKED_UP + 1).alias("ahead"))
+        met = begin.where(F.length("ahead") > LOOKED_UP).join(beginnings, "ahead").join(one, "id").where(F.expr("substring(part, b, length(word)) = word"))
+        known = known.unionByName(met.select("id", "word", "n"))
+    known = known.groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +139,7 @@ def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFra
             words = [split(part, {x["word"]: x["n"] for x in known or []}, total) for part, known in rows]
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
 
-    cuts = scratch.write("parts", one.join(known, "part", "left").mapInArrow(cut, "part string, words array<string>"))
+    cuts = scratch.write("parts", one.join(known, "id", "left").select("part", "known").mapInArrow(cut, "part string, words array<string>"))
     each = parts.join(cuts, "part").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
     return each.select("name", F.flatten(F.col("x.words")).alias("words"))
 

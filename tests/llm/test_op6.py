@@ -119,3 +119,23 @@ def test_table(spark):
     odds = brute_odds(pages, {r["page_id"]: r["verdict"] for r in rows if r["rule"]})
     assert all(r["verdict"] == ("block" if odds[r["page_id"]] > 0 else "allow") for r in rows if not r["rule"] and abs(odds[r["page_id"]]) > 1e-9)
     assert len({r["verdict"] for r in rows if not r["rule"]}) == 2
+
+
+def test_a_very_long_part(spark):
+    """A part of 50,000 letters, and words longer than those that are looked up as they are."""
+    rng = random.Random(2)
+    long_word = "".join(rng.choice("abcdefgh") for _ in range(200))
+    words = ["the", "river", "bank", long_word, long_word[:40]]
+    part = "".join(rng.choice([*words[:3], "zq"]) for _ in range(13_000))[:50_000]
+    urls_ = [f"http://{part}.org/", f"http://{long_word}river.com/", f"http://the{long_word[:40]}bank.com/", f"http://{long_word[:39]}.com/"]
+    d = spark.createDataFrame([(i, u, " ".join(words) + " and the river bank") for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    scratch = Scratch(spark)
+    counts = urls.word_counts(d)
+    own = {r["word"]: r["n"] for r in counts.collect()}
+    names = d.select(urls.host_of(urls.F.col("url")).alias("name")).distinct()
+    got = {r["name"]: r["words"] for r in urls.host_words(names, counts, scratch).collect()}
+    total = sum(own.values()) + 1
+    for name, found in got.items():
+        assert found == [w for p in name.split(".") for w in urls.split(p, {k: n for k, n in own.items() if k in p}, total)]
+    assert got[f"{long_word}river.com"][:2] == [long_word, "river"]
+    assert got[f"the{long_word[:40]}bank.com"][:3] == ["the", long_word[:40], "bank"]
