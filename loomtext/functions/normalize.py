@@ -114,7 +114,7 @@ def with_normalized(df: DataFrame, text: str, into: str, spelling: dict[str, str
     at = "__text"
     out = once(df, replaced(F.lower(F.col(text)), [*BRACKETS, *FILLERS, *FULL_FORMS, *STOPS]), at)
     out = once(out, plain_symbols(F.col(at), KEPT_SIGNS), at)
-    out = once(out, numbers.standardized(F.col(at)), at)
+    out = once(out, numbers.standardized(at), at)
     return out.withColumn(into, replaced(spelled(F.col(at), spelling), LONE_SIGNS)).drop(at)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -236,10 +237,9 @@ def _value(kind: str, value: object) -> str:
 
 
 def _entries() -> Column:
-    pairs = []
-    for word, (kind, value, ending) in LEXICON.items():
-        pairs += [F.lit(word), F.struct(F.lit(kind).alias("kind"), F.lit(_value(kind, value)).alias("value"), F.lit(ending).alias("ending"))]
-    return F.create_map(*pairs)
+    """The lexicon as one literal, written as SQL, which is made at once."""
+    row = "'{}', named_struct('kind', '{}', 'value', '{}', 'ending', '{}')"
+    return F.expr(f"map({', '.join(row.format(w, kind, _value(kind, value), ending) for w, (kind, value, ending) in LEXICON.items())})")
 
 
 def _words(text: Column) -> Column:
@@ -280,12 +280,17 @@ def _run(run: Column) -> Column:
 def _read_all(words: Column) -> Column:
     """Words joined by one blank, each run of numbers read by itself: other words end what is pending."""
 
-    def marked(word: Column, k: Column) -> Column:
-        turned = (k > 0) & (_is_number(word) != F.coalesce(_is_number(F.get(words, k - 1)), F.lit(False)))
-        return F.concat(F.when(k == 0, "").when(turned, _CUT).otherwise(" "), word)
+    def of(flags: Column) -> Column:
+        def marked(word: Column, k: Column) -> Column:
+            turned = (k > 0) & (F.get(flags, k) != F.coalesce(F.get(flags, k - 1), F.lit(False)))
+            return F.concat(F.when(k == 0, "").when(turned, _CUT).otherwise(" "), word)
 
-    runs = F.split(F.array_join(F.transform(words, marked), ""), _CUT)
-    return F.array_join(F.transform(runs, lambda r: F.when(_is_number(F.substring_index(r, " ", 1)), _run(r)).otherwise(r)), " ")
+        runs = F.split(F.array_join(F.transform(words, marked), ""), _CUT)
+        # runs of numbers and of other words take turns
+        first = F.when(F.coalesce(F.get(flags, F.lit(0)), F.lit(False)), 0).otherwise(1)
+        return F.array_join(F.transform(runs, lambda r, k: F.when(k % 2 == first, _run(r)).otherwise(r)), " ")
+
+    return F.when(F.size(words) == 0, "").otherwise(let(F.transform(words, _is_number), of))
 
 
 def may_hold_numbers(text: Column) -> Column:
@@ -294,8 +299,23 @@ def may_hold_numbers(text: Column) -> Column:
     return text.rlike(r"\p{Nd}|(?U)\band\s+a\s+half\b") | F.arrays_overlap(F.split(text, r"(?U)\s+"), words)
 
 
-def standardized(text: Column) -> Column:
-    """Spoken numbers of a text as digits; words are joined by one blank. Null stays null."""
+def _standardized(text: Column) -> Column:
     plain = F.array_join(_words(text), " ")
     read = let(_words(_replaced(F.translate(_replaced(text, HALVES), _CUT, " "), SPACED)), _read_all)
     return F.when(may_hold_numbers(text), _replaced(read, CENTS)).otherwise(plain)
+
+
+#: The expression of a column by its name, for the JVM that holds it: thousands of nodes are made once.
+_made: dict[str, tuple[object, Column]] = {}
+
+
+def standardized(text: Column | str) -> Column:
+    """Spoken numbers of a text (a column, or its name) as digits; words are joined by one blank. Null stays null."""
+    if not isinstance(text, str):
+        return _standardized(text)
+    jvm = SparkContext._active_spark_context and SparkContext._active_spark_context._jvm
+    if jvm is None:
+        return _standardized(F.col(text))
+    if text not in _made or _made[text][0] is not jvm:
+        _made[text] = jvm, _standardized(F.col(text))
+    return _made[text][1]
