@@ -378,3 +378,40 @@ def match(lots: DataFrame, rule: str = "earliest") -> DataFrame:
 def op12(spark, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return match(sold_lots(read("sale_lines"), read("sales")))
+
+
+#: The same rows by DuckDB: what is taken of a pair's lots is a prefix of their units, so pieces are where intervals meet.
+ORACLE = """
+with crc as (select list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+l as (
+  select s.client_id, x.item_id, (x.shipped_at::date - date '1970-01-01')::bigint as day, x.sale_id, coalesce(x.line_no::bigint, -1099511627776) as line_no, x.quantity::bigint as q,
+    floor(100 * x.amount + 0.5)::bigint as c, floor(100 * case when abs(x.discount) < 1000 then x.discount else 0.0 end + 0.5)::bigint as d, x.flag = 'returned' as back,
+    list_transform(string_split(x.sale_id || ':' || coalesce(x.line_no::varchar, ''), ''), lambda b: ascii(b)::bigint) as bytes
+  from sale_lines x join sales s on s.sale_id = x.sale_id
+  where s.client_id is not null and x.item_id is not null and x.shipped_at is not null and x.quantity >= 1 and abs(x.amount) < 1e13),
+h as (select l.* exclude (bytes), xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h,
+    row_number() over (order by client_id, item_id, day, sale_id, line_no, q, c, d) as n from l, crc),
+e as (
+  select client_id, item_id, day, 1 as kind, sale_id, line_no, q, c, d, n, 0::bigint as units from h
+  union all select client_id, item_id, day + 1 + h % 7, 0, sale_id, line_no, q, c, d, n, 1 + h % (q + 1) from h where back),
+w as (
+  select *, sum(case when kind = 1 then q else 0 end) over o as shipped, sum(units) over o as wanted, sum(1 - kind) over o as return_no
+  from e window o as (partition by client_id, item_id order by day, kind, sale_id, line_no, q, c, d, n rows between unbounded preceding and current row)),
+lots as (select *, shipped - q as u0 from w where kind = 1),
+m as (select *, wanted + least(0, min(shipped - wanted) over (partition by client_id, item_id order by return_no rows between unbounded preceding and current row)) as taken from w where kind = 0),
+r as (select *, coalesce(lag(taken) over (partition by client_id, item_id order by return_no), 0) as before from m),
+p as (
+  select r.client_id, r.item_id, r.return_no, r.day, r.sale_id, r.q, r.c, r.d, lots.sale_id as lot_sale_id, lots.line_no as lot_line_no, lots.q as lot_q, lots.c as lot_c,
+    greatest(u0, before) - u0 as low, least(u0 + lots.q, taken) - u0 as high, u0
+  from r join lots on lots.client_id = r.client_id and lots.item_id = r.item_id and u0 < taken and u0 + lots.q > before
+  union all
+  select client_id, item_id, return_no, day, sale_id, q, c, d, null, null, null, null, 0, units - (taken - before), 9223372036854775807 from r where units > taken - before),
+g as (
+  select *, high - low as units, row_number() over o as piece_no, sum(high - low) over o as given
+  from p window o as (partition by client_id, item_id, return_no order by u0 rows between unbounded preceding and current row)),
+f as (select *, (given::hugeint * c * (100 - d)) // (100 * q) - ((given - units)::hugeint * c * (100 - d)) // (100 * q) as refund from g)
+select client_id::bigint as client_id, item_id::bigint as item_id, return_no::bigint as return_no, piece_no::bigint as piece_no, day::bigint as return_day, sale_id::bigint as return_sale_id,
+  lot_sale_id::bigint as lot_sale_id, nullif(lot_line_no, -1099511627776)::bigint as lot_line_no, units::bigint as units, (lot_q - high)::bigint as lot_left, refund::bigint as refund_cents,
+  (refund - ((high * lot_c) // lot_q - (low * lot_c) // lot_q))::bigint as margin_cents
+from f
+"""

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE}
+    return {"op2_source_mixing": mixing.ORACLE, "op12_lot_matching": lot_matching.ORACLE, "op13_vector_codes": vector_codes.oracle()}

@@ -209,3 +209,24 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
 
 def op13(spark, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def oracle() -> str:
+    """The same rows by DuckDB, for vectors of 64 components and integer sums that fit."""
+    rounds = ""
+    nearest = """a{k} as (select vec_id, label, part, v, min(list_sum(list_transform(range(1, 17), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint * 256 + entry) as best from p join b{k} using (part) group by all)"""
+    for k in range(ROUNDS):
+        rounds += nearest.format(k=k) + f""",
+s{k} as (select part, best % 256 as entry, i, sum(v[i])::bigint as s, count(*) as n from a{k}, range(1, 17) t(i) group by all),
+m{k} as (select part, entry, list(case when s >= 0 then s // n else -((n - 1 - s) // n) end order by i) as c from s{k} group by all),
+b{k + 1} as (select part, entry, coalesce(m{k}.c, b{k}.c) as c from b{k} left join m{k} using (part, entry)),
+"""
+    return f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select vec_id, label, part, v[part * 16 + 1 : part * 16 + 16] as v from k, range(0, 4) t(part)),
+b0 as (select part, entry, v as c from (select part, v, row_number() over (partition by part order by vec_id) - 1 as entry from p) where entry < 256),
+{rounds}{nearest.format(k=ROUNDS)},
+z as (select vec_id, label, string_agg(printf('%02x', best % 256), '' order by part) as code, sum(best // 256)::bigint as error from a{ROUNDS} group by all),
+h as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from b{ROUNDS})
+select vec_id, label, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from z, h"""
