@@ -7,7 +7,10 @@ import pytest
 from loomtext import catalog
 
 AT = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    " clicks sales sale_lines clients client_changes vendors items stamps"
+).split()
 
 
 @pytest.fixture(scope="module")
