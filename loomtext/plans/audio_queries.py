@@ -24,8 +24,8 @@ def _clips(spark, sf_dir):
     return v.groupBy("clip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"])).alias("signal"))
 
 
-def audio_files(spark, sf_dir):
-    """Files of all formats, written and read back; those that can't be read get the first one's samples."""
+def _read_back(spark, sf_dir):
+    """Files of all formats, written and read back, by position; those that can't be read get the first one's samples."""
     clips = _clips(spark, sf_dir)
     kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("clip") % len(_KINDS)).cast("int"))
     frames = F.transform("signal", lambda x: F.when(kind == "stereo", F.array(x, -x)).otherwise(F.array(x)))
@@ -35,11 +35,28 @@ def audio_files(spark, sf_dir):
     audio.write_files(made, at, "clip")
     read = audio.read_audio(spark, at).withColumn("path", F.substring_index("path", "/", 1))
     items = clips.select(F.col("clip").alias("position"), F.concat(F.lit("clip="), "clip").alias("path"))
-    out = annotations.with_audio(items, read.select("path", "samples", "rate"))
+    return annotations.with_audio(items, read.select("path", "samples", "rate"))
+
+
+def audio_files(spark, sf_dir):
+    out = _read_back(spark, sf_dir)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return out.select(F.col("position").alias("clip"), "rate", F.size("samples").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("samples", 100), 9).alias("one"))
 
 
+_LEAST, _MOST, _TARGET = 2000, 1800, 8000
+
+
+def audio_batches(spark, sf_dir):
+    """From files to batches: filled to a least length, resampled, cut to a greatest one, a spectrogram, and padding with its mask."""
+    read = _read_back(spark, sf_dir).select("position", "rate", batching.at_least(F.col("samples"), _LEAST).alias("samples"))
+    read = read.withColumn("samples", batching.at_most(signals.resampled(F.col("samples"), F.col("rate"), _TARGET), _MOST))
+    read = read.withColumn("mel", signals.spectrogram(F.col("samples"), _TARGET, 64, 32, 10, None))
+    out = batching.padded(batching.in_batches(read, "position", 4), "samples")
+    masked = F.size(F.filter("padding_mask", lambda x: x))
+    return out.select(F.col("position").alias("clip"), "batch_id", F.size("samples").alias("width"), masked.alias("padded"), F.col("mel.mels").alias("mels"), F.col("mel.frames").alias("frames"))
+
+
 _UP, _DOWN, _CROSSINGS = 3, 2, 4
 
 
@@ -99,7 +116,7 @@ def settings_merged(spark, sf_dir):
     return settings.merged(base, given)
 
 
-QUERIES = [annotation_scan, settings_merged, audio_files, resampled_vectors, log_mel_vectors, batch_numbers, measured_runs]
+QUERIES = [annotation_scan, settings_merged, audio_files, audio_batches, resampled_vectors, log_mel_vectors, batch_numbers, measured_runs]
 
 
 def oracles() -> dict[str, str]:
@@ -118,6 +135,11 @@ with v as (select vec_id // {_PER_FILE} as clip, vec_id, generate_subscripts(emb
 r as (select clip, {read} as x, row_number() over (partition by clip order by vec_id, i) as i from v),
 s as (select clip, count(*) as n, round(sum(x), 6) as total, round(max(case when i = 101 then x end), 9) as one from r group by 1)
 select a.clip::bigint as clip, 16000 as rate, b.n::int as n, b.total, b.one from s a join s b on b.clip = case when a.clip % 7 = 3 then (select min(clip) from s) else a.clip end""",
+        "audio_batches": f"""
+with c as (select vec_id // {_PER_FILE} as clip, sum(len(embedding)) as n from embeddings group by 1),
+s as (select a.clip, least(ceil(greatest(b.n, {_LEAST}) * {_TARGET} / 16000.0), {_MOST})::int as n, (row_number() over (order by a.clip) - 1) // 4 as batch_id
+  from c a join c b on b.clip = case when a.clip % 7 = 3 then (select min(clip) from c) else a.clip end)
+select clip::bigint as clip, batch_id::bigint as batch_id, (max(n) over (partition by batch_id))::int as width, (max(n) over (partition by batch_id) - n)::int as padded, 10 as mels, (n // 32)::int as frames from s""",
         "resampled_vectors": f"""
 with e as (select vec_id, embedding::double[] as v, len(embedding) as n from embeddings),
 y as (select vec_id, list_transform(range(0, ceil(n * {_UP} / {_DOWN}.0)::bigint), lambda m: list_sum(list_transform(range(0, n), lambda k: case when abs{t} <= {_CROSSINGS * wide} then v[k + 1] * {tap} else 0.0 end))) as y from e)
