@@ -277,7 +277,13 @@ def _in_one(rule: str):
 
 
 def sold_lots(lines: DataFrame, sales: DataFrame) -> DataFrame:
-    """Lots (client_id, item_id, day, sale_id, line_no, q, c, d) with ``units`` and ``return_day`` of what came back."""
+    """Lots (client_id, item_id, day, sale_id, line_no, q, c, d) with ``units`` and ``return_day`` of what came back.
+
+    A line without sale, item or day, of a sale without client or of no sale, of less than one unit, or whose
+    amount is null, no number, infinite or reaches 10^13, is no lot. A discount that is null or not within
+    +-1000 is 0; a null line number is kept, and its digits in the hash are none. Sales that stand there
+    twice make each line two lots. Other columns are left alone, missing ones count as null.
+    """
     lines = need(lines, sale_id="long", line_no="long", item_id="long", quantity="long", amount="double", discount="double", flag="string", shipped_at="timestamp_ntz")
     # comparisons leave out nulls, what is infinite and what is no number
     lines = lines.where("sale_id is not null and item_id is not null and shipped_at is not null and quantity >= 1 and abs(amount) < 1e13")
