@@ -332,6 +332,8 @@ def _carried(events: DataFrame, chunks: DataFrame) -> DataFrame:
     lots = events.where("kind = 1").select(*key, *_EVENT[2:], *nothing(_LINKS))
     both = lots.unionAll(chunks.select(*key, *nothing(_EVENT[2:]), *_LINKS))
     of_chunk = Window.partitionBy(*key)
+    # by ranges, as the partitions were that chunks come from, so that chunks don't meet in a task by their hash
+    both = both.repartitionByRange(partitions(events.sparkSession), "part", "client_id", "item_id")
     lots = both.withColumns({c: F.max(c).over(of_chunk) for c in _LINKS}).where("kind is not null").withColumn("first_unit", F.col("lots_before") + F.col("ahead"))
     lots = lots.where("first_unit < taken_of_all and first_unit + q > taken")
     ranges = lambda a, b: F.explode(F.sequence(F.floor(a / F.col("width")), F.floor((b - 1) / F.col("width"))))
