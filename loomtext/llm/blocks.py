@@ -1,6 +1,7 @@
 """Blocks of documents that ask sorted buckets about packed keys.
 
-Documents are dealt to blocks by a hash of their id. A block sends each of its distinct keys once,
+Documents are dealt to blocks by a hash of their id, or of their text where they have none, so that
+rows without ids, of which there may be many, are spread like others. A block sends each of its distinct keys once,
 sorted and packed, to the bucket that owns the key's range; the bucket answers in the same order.
 So a key that a third of all documents hold reaches its bucket once for each block, not once for
 each document, and what moves is a few bytes a key instead of a row. Blocks and buckets are as many
@@ -16,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -25,17 +26,20 @@ from .common import partitions
 PER_PARTITION = 4
 
 
+def _block(doc_id: Column, text: Column, spark: SparkSession) -> Column:
+    key = F.when(doc_id.isNull(), F.xxhash64(text.cast("string"))).otherwise(F.xxhash64(doc_id.cast("long")))
+    return F.pmod(key, F.lit(PER_PARTITION * partitions(spark))).cast("int")
+
+
 def dealt(documents: DataFrame) -> DataFrame:
-    """``documents`` with the number of their block in ``blk``; equal ids share a block."""
-    n = PER_PARTITION * partitions(documents.sparkSession)
-    return documents.withColumn("blk", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int"))
+    """``documents`` with the number of their block in ``blk``; equal ids share a block, as do equal texts without id."""
+    return documents.withColumn("blk", _block(F.col("doc_id"), F.col("text"), documents.sparkSession))
 
 
 def dealt_rows(documents: DataFrame, **more: Column) -> DataFrame:
     """The block of each row and the row as one column, ``row``; texts are held once. ``more`` by name."""
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
-    n = PER_PARTITION * partitions(documents.sparkSession)
-    return rows.withColumn("blk", F.pmod(F.xxhash64(F.col("row.doc_id").cast("long")), F.lit(n)).cast("int"))
+    return rows.withColumn("blk", _block(F.col("row.doc_id"), F.col("row.text"), documents.sparkSession))
 
 
 def opened(table: pa.Table) -> pa.Table:
