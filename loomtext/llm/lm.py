@@ -43,6 +43,10 @@ END, START = np.uint64(0x454E44), np.uint64(0x53544152)
 CTX_BYTES, WORD_BYTES = 8, 6
 
 
+#: Of each octet, where its ones stand, the highest bit first; zeros come after.
+_BIT_OF_RANK = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, kind="stable")
+
+
 class EliasFano:
     """A monotone sequence: low bits in whole bytes, high bits as a bitmap of their unary differences, and
     how many ones stand before each 64 bits of it."""
@@ -68,9 +72,14 @@ class EliasFano:
         """Places of the wanted-th ones, or zeros, of the bitmap."""
         before = self.ranks if one else np.arange(len(self.ranks)) * 64 - self.ranks
         chunk = np.searchsorted(before, wanted, "right") - 1
-        bits = np.unpackbits(self.high[chunk], axis=1)
-        reached = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.uint8) == (wanted - before[chunk] + 1)[:, None]
-        return chunk * 64 + reached.argmax(1)
+        octets = self.high[chunk] if one else ~self.high[chunk]
+        through = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)  # ones up to and with each octet
+        rank = (wanted - before[chunk]).astype(np.uint8)
+        octet = (through <= rank[:, None]).argmin(axis=1)
+        own = np.arange(len(octet))
+        value = octets[own, octet]
+        rank -= through[own, octet] - np.bitwise_count(value)
+        return chunk * 64 + octet * 8 + _BIT_OF_RANK[value, rank]
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
@@ -158,16 +167,18 @@ class Trie:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair; NONE where there is none."""
-        out = np.full(len(context), NONE, np.uint8)
-        if not self.contexts.n or not len(context):
+        return self.find_among(*np.unique(context, return_inverse=True), *np.unique(word, return_inverse=True))
+
+    def find_among(self, contexts: np.ndarray, of_context: np.ndarray, words: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+        """The same for pairs of places among distinct contexts and words."""
+        out = np.full(len(of_context), NONE, np.uint8)
+        if not self.contexts.n or not len(of_context):
             return out
-        contexts, of_context = np.unique(context, return_inverse=True)
         at, known = self.contexts.search(contexts.astype(np.uint64))
         at = np.where(known, at, 0)
         begin, end = (self.pointers.get(at + k).astype(np.int64) for k in (0, 1))
         # the greatest relative value of a context is where the next one's begin
         base = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-        words, of_word = np.unique(word, return_inverse=True)
         rank, met = self.words.search(words.astype(np.uint64))
         ask = np.flatnonzero(known[of_context] & met[of_word])
         c = of_context[ask]
@@ -246,8 +257,10 @@ class Block:
         c, w = self.context[which], self.keys[self.word[which]]
         slices = (context_total[c] // SLICE + 1).astype(np.uint64)
         key = mix(np.append(self.keys, START)[c] + (w >> np.uint64(40)) % slices * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8 * CTX_BYTES)
-        word = mix(w) >> np.uint64(64 - 8 * WORD_BYTES)
-        order = np.lexsort((word, key))
+        words = mix(self.keys) >> np.uint64(64 - 8 * WORD_BYTES)
+        of_key, of_word = np.unique(key, return_inverse=True)[1], np.empty(len(words), np.int64)
+        of_word[np.argsort(words)] = np.arange(len(words))
+        word, order = words[self.word[which]], np.argsort(of_key * len(words) + of_word[self.word[which]])
         return Pairs(which[order], key[order], word[order], context_total[c][order], context_total)
 
 
@@ -316,20 +329,22 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     col = lambda name: b"".join(table.column(name).to_pylist())
     parts = [np.frombuffer(x, np.uint32) for x in table.column("own").to_pylist()]
     degrees = np.frombuffer(col("degrees"), np.uint32)
-    key = np.repeat(blocks.unpack(col("contexts"), CTX_BYTES), degrees)
+    contexts, of_context = np.unique(blocks.unpack(col("contexts"), CTX_BYTES), return_inverse=True)
+    of_context = np.repeat(of_context, degrees)
     count = np.repeat(np.frombuffer(col("counts"), np.int64), degrees)
-    word, own = blocks.unpack(col("words"), WORD_BYTES), np.concatenate(parts)
-    order = np.lexsort((word, key))
-    k, w = key[order], word[order]
-    fresh = np.ones(len(k), bool)
-    fresh[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    words, of_word = np.unique(blocks.unpack(col("words"), WORD_BYTES), return_inverse=True)
+    pair = of_context * len(words) + of_word
+    order = np.argsort(pair)
+    ordered = pair[order]
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
     heads = np.flatnonzero(fresh)
-    total = np.add.reduceat(own[order].astype(np.int64), heads)
+    total = np.add.reduceat(np.concatenate(parts)[order].astype(np.int64), heads)
     seen = total > 0
-    heads = heads[seen]
-    trie = Trie.build(k[heads], w[heads], quantise(total[seen] / (count[order][heads] + MU)))
+    heads = order[heads[seen]]
+    trie = Trie.build(contexts[of_context[heads]], words[of_word[heads]], quantise(total[seen] / (count[heads] + MU)))
     trie = Trie.from_buffer(trie.to_bytes())
-    return _answers(table, parts, trie.find(key, word), 1)
+    return _answers(table, parts, trie.find_among(contexts, of_context, words, of_word), 1)
 
 
 def _score(buckets: int, tokens: int, known: int):
