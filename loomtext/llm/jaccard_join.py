@@ -560,6 +560,7 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, scratch: Scr
     gram. Texts with 100 * |intersection| >= percent * |union| are linked; ``component_id`` is the
     least doc_id that links reach. Null and wordless texts have empty sets and are linked to nothing.
     Rows with a null doc_id link like others but lend no id: a component of such rows alone has null.
+    Rows that share a doc_id are judged each by its own text.
     """
     scratch = scratch or Scratch(documents.sparkSession)
     docs, labels = classes(documents, n, percent, scratch)
