@@ -43,6 +43,8 @@ ENDINGS = [
     (r"'ve\b", " have"), (r"'m\b", " am"),
 ]
 FULL_FORMS = [*CONTRACTIONS, *((rf"\b{short}\b", f"{full} ") for short, full in TITLES), *ENDINGS]
+#: One look that finds whatever any pattern of brackets, fillers and full forms would: all others have an apostrophe.
+_SPOKEN_FORM = rf"[<\[(']|\b(?:hmm|mm|mhm|mmm|uh|um|wanna|gotta|gonna|imma|woulda|coulda|shoulda|{'|'.join(short for short, _ in TITLES)})\b"
 
 # Commas in numbers, stops that end something; at the end, signs without a number.
 STOPS = [(r"(\d),(\d)", "$1$2"), (r"\.([^0-9]|$)", " $1")]
@@ -55,6 +57,11 @@ def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, f"(?Ud){p[0]}", p[1]), pairs, text)
 
 
+def replaced_where(text: Column, sign: str, pairs: list[tuple[str, str]]) -> Column:
+    """The same, where texts without ``sign`` are known to hold none of the patterns: those take one look."""
+    return F.when(text.rlike(f"(?Ud){sign}"), replaced(text, pairs)).otherwise(text)
+
+
 def decomposed(text: Column) -> Column:
     """Compatibility decomposition (NFKD); null stays null."""
     foreign = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True))
@@ -64,10 +71,11 @@ def decomposed(text: Column) -> Column:
 def plain_symbols(text: Column, keep: str = "") -> Column:
     """Decomposed letters without marks; other marks, signs and punctuation, but those kept, as blanks."""
     # a kept character stands before the table of letters and the classes
-    lettered = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [(a, b) for a, b in PLAIN_LETTERS.items() if a not in keep], decomposed(text))
     kept = "".join(f"\\x{{{ord(c):x}}}" for c in keep)
     but = f"&&[^{kept}]" if keep else ""
-    unmarked = F.regexp_replace(lettered, f"[\\p{{Mn}}{but}]", "")
+    lettered = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [(a, b) for a, b in PLAIN_LETTERS.items() if a not in keep], decomposed(text))
+    # neither those letters nor marks are ASCII
+    unmarked = F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(lettered, f"[\\p{{Mn}}{but}]", "")).otherwise(text)
     return F.regexp_replace(unmarked, f"[\\p{{M}}\\p{{S}}\\p{{P}}{but}]", " ")
 
 
@@ -112,7 +120,9 @@ def once(df: DataFrame, text: Column, into: str) -> DataFrame:
 def with_normalized(df: DataFrame, text: str, into: str, spelling: dict[str, str] | None = None) -> DataFrame:
     """``df`` plus the whole normalization of a column, each step in the plan once. Null stays null."""
     at = "__text"
-    out = once(df, replaced(F.lower(F.col(text)), [*BRACKETS, *FILLERS, *FULL_FORMS, *STOPS]), at)
+    out = once(df, F.lower(F.col(text)), at)
+    out = once(out, replaced_where(F.col(at), _SPOKEN_FORM, [*BRACKETS, *FILLERS, *FULL_FORMS]), at)
+    out = once(out, replaced_where(F.col(at), "[,.]", STOPS), at)
     out = once(out, plain_symbols(F.col(at), KEPT_SIGNS), at)
     out = once(out, numbers.standardized(at), at)
     return out.withColumn(into, replaced(spelled(F.col(at), spelling), LONE_SIGNS)).drop(at)

@@ -88,6 +88,11 @@ def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
+def _replaced_where(text: Column, sign: str, pairs: list[tuple[str, str]]) -> Column:
+    """The same, where texts without ``sign`` are known to hold none of the patterns: those take one look."""
+    return let(text, lambda t: F.when(t.rlike(f"(?Ud){sign}"), _replaced(t, pairs)).otherwise(t))
+
+
 def _tail(digits: Column, n: int) -> Column:
     """The last n characters, or as many as there are."""
     return F.when(F.length(digits) > n, F.right(digits, F.lit(n))).otherwise(digits)
@@ -301,8 +306,9 @@ def may_hold_numbers(text: Column) -> Column:
 
 def _standardized(text: Column) -> Column:
     plain = F.array_join(_words(text), " ")
-    read = let(_words(_replaced(F.translate(_replaced(text, HALVES), _CUT, " "), SPACED)), _read_all)
-    return F.when(may_hold_numbers(text), _replaced(read, CENTS)).otherwise(plain)
+    whole = F.translate(_replaced_where(text, r"and\s+a\s+half", HALVES), _CUT, " ")
+    read = let(_words(_replaced_where(whole, r"[a-z][0-9]|[0-9]\s*[a-z]", SPACED)), _read_all)
+    return F.when(may_hold_numbers(text), _replaced_where(read, "[€£$1]", CENTS)).otherwise(plain)
 
 
 #: The expression of a column by its name, for the JVM that holds it: thousands of nodes are made once.

@@ -98,7 +98,8 @@ def _in_words(n):
 
 def _spoken_prices(spark, sf_dir):
     """Orders with their price spoken and written; in one of five a dollar too much is said. Cents go by the key."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.floor("o_totalprice") + 1).cast("int").alias("dollars"), (F.col("o_orderkey") % 98 + 2).cast("int").alias("cents"))
+    # a file of one row group is one task, whatever is worked out of its rows
+    orders = table(spark, sf_dir, "orders").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "o_orderkey").select("o_orderkey", "o_orderstatus", (F.floor("o_totalprice") + 1).cast("int").alias("dollars"), (F.col("o_orderkey") % 98 + 2).cast("int").alias("cents"))
     said = F.col("dollars") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
     spoken = F.concat(F.lit("pay "), _in_words(said), F.lit(" dollars and "), _in_words(F.col("cents")), F.lit(" cents now"))
     written = F.concat(F.lit("Pay $"), "dollars", F.lit("."), F.lpad(F.col("cents").cast("string"), 2, "0"), F.lit(" now!"))

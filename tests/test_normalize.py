@@ -115,3 +115,18 @@ def test_spelling_keeps_columns_of_its_own_names(spark):
     d = spark.createDataFrame([("a b", 1, 2, 3, 4)], "t string, __key int, __text int, word int, at int")
     table = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), ("b", None)], "src string, dst string")
     assert [r.asDict() for r in normalize.plain_spelling(d, "t", table, "t").collect()] == [{"t": "y b", "__key": 1, "__text": 2, "word": 3, "at": 4}]
+
+
+def test_one_look_finds_whatever_a_pattern_would(spark):
+    forms = [*normalize.BRACKETS, *normalize.FILLERS, *normalize.FULL_FORMS]
+    words = ["<a>", "[b]", "(c)", "hmm", "mm", "um", "uh,", "mhm", "x 'y", "won't", "wanna", "gotta", "gonna", "imma", "woulda", "coulda", "shoulda", *(f"{s}." for s, _ in normalize.TITLES), "é'd", "plain", "ümm", "1,234.", "3.5", "１,２"]
+    texts = spark.createDataFrame([(w,) for w in [*words, *(f"a {w} b" for w in words), ""]] + [(None,)], "t string")
+    for sign, pairs in ((normalize._SPOKEN_FORM, forms), ("[,.]", normalize.STOPS)):
+        assert texts.where(~normalize.replaced_where(F.col("t"), sign, pairs).eqNullSafe(normalize.replaced(F.col("t"), pairs))).count() == 0
+
+
+def test_prices_of_one_file_are_dealt_to_tasks(spark):
+    from loomtext.plans import text_queries
+
+    prices = text_queries._spoken_prices(spark, "/root/testdata/sf0.01")
+    assert prices.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
