@@ -84,3 +84,21 @@ def test_spectrogram_by_sums():
     assert np.allclose(got, (np.maximum(want, want.max() - 8) + 4) / 4)
     edges = signals.mel_to_hertz(signals.hertz_to_mel([0, 500, 1000, 4000]))
     assert np.allclose(edges, [0, 500, 1000, 4000])
+
+
+def test_files_are_made_in_the_memory_of_their_samples(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    clips = [np.random.default_rng(k).uniform(-1, 1, (4096, 1)) for k in range(40)]
+    frames = pa.array([c.tolist() for c in clips], pa.list_(pa.list_(pa.float64())))
+    tracemalloc.start()
+    made = sum(len(f) for f in audio._wavs(frames, pa.array(["pcm16"] * 40), 8000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 40 * (44 + 2 * 4096) and peak < frames.nbytes / 3
+    d = spark.createDataFrame([(0, [[0.5], [-0.5]], "pcm16"), (1, None, "pcm8"), (2, [], "pcm24"), (3, [[0.1, 0.2]], "float64")], "k int, f array<array<double>>, kind string")
+    got = {r["k"]: r["w"] for r in d.select("k", audio.as_wav(F.col("f"), F.col("kind"), 8000).alias("w")).collect()}
+    want = {0: (np.array([0.5, -0.5]), "pcm16"), 2: (np.zeros(0), "pcm24"), 3: (np.array([[0.1, 0.2]]), "float64")}
+    assert got == {1: None} | {k: audio.wav_bytes(x, 8000, kind) for k, (x, kind) in want.items()}
