@@ -87,8 +87,11 @@ def sentence_scores(
     ``df`` replaces the document frequencies of the references themselves; see ``checked`` for what is an error.
     """
     samples = references.select("id").distinct().count()
-    df = document_frequencies(references, n, tokenize) if df is None else df
-    checked(samples, df)
+    if df is None:  # its own frequencies are those of as many samples, so one word is all there is to look for
+        df = document_frequencies(references, n, tokenize)
+        checked(samples, references.where(F.size(tokenize(F.col("text"))) > 0).select(F.lit(1).alias("df")).limit(1))
+    else:
+        checked(samples, df)
     cand = weights(gram_counts(candidates, ["id"], n, tokenize), df, samples)
     ref = weights(gram_counts(references, ["id", "ref_idx"], n, tokenize), df, samples)
     return scores(cand, ref, lengths(candidates, ["id"], tokenize), lengths(references, ["id", "ref_idx"], tokenize), n, sigma, scale)

@@ -67,3 +67,14 @@ def test_observed_runs(spark):
     means = spark.createDataFrame([(1.5, 0.25, 0.2, 0.05)], "memory_gb double, inference_s double, ttft_s double, tpot_s double")
     assert measurements.shown(means)[0] == "Average memory used during inference: 1.5000 GB" and measurements.shown(means)[3] == "Average TPOT: 0.0500 seconds"
     assert consensus.shown(12.5) == "SPIDEr: 12.5"
+
+
+def test_own_frequencies_are_not_counted_for_the_check(spark, monkeypatch):
+    looked, real = [], consensus.checked
+    monkeypatch.setattr(consensus, "checked", lambda n, df: (looked.append(df), real(n, df)))
+    s = samples(spark).where("id < 8")
+    cand, refs = s.select("id", F.col("hyp").alias("text")), s.select("id", F.posexplode("refs").alias("ref_idx", "text"))
+    consensus.sentence_scores(cand, refs)
+    assert "Aggregate" not in looked[0]._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="no words"):
+        consensus.sentence_scores(cand, refs.withColumn("text", F.lit(" ")))
