@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import words
 
 N, SIGMA, SCALE = 4, 6.0, 10.0
+#: References of a sample that are counted in one task; a sample with more is dealt to several.
+TOGETHER = 64
 
 
 def gram_counts(texts: DataFrame, keys: list[str], n: int = N, tokenize: Callable[[Column], Column] = words) -> DataFrame:
@@ -97,6 +99,52 @@ def sentence_scores(
     return scores(cand, ref, lengths(candidates, ["id"], tokenize), lengths(references, ["id", "ref_idx"], tokenize), n, sigma, scale)
 
 
+def _grams(texts: DataFrame, n: int) -> DataFrame:
+    """``texts`` with ``n`` and ``gram`` for ``tokens``: every gram as one text. Blanks and backslashes within a token are
+    written differently, so that different grams are different texts."""
+    plain = F.transform("tokens", lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\_")))
+    keys = [c for c in texts.columns if c != "tokens"]
+    orders = texts.select(*keys, plain.alias("tokens")).select("*", F.explode(F.array(*[F.lit(k) for k in range(1, n + 1)])).alias("n")).where("size(tokens) >= n")
+    grams = F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.array_join(F.slice("tokens", i, F.col("n")), " "))
+    return orders.select(*keys, "n", F.explode(grams).alias("gram"))
+
+
+def sample_scores(samples: DataFrame, many: int, n: int = N, sigma: float = SIGMA, scale: float = SCALE) -> DataFrame:
+    """(id, cider_d) of samples (id, hyp, refs) of tokens, ``refs`` an array of them; ``many`` have references.
+
+    Texts are dealt by sample, so grams are counted and a candidate's meet those of its references without a shuffle.
+    Only for their frequencies grams are shuffled, each once with its counts, sorted by hash first. A gram of one sample or
+    none weighs the same, so only those of more are joined.
+    """
+    spark = samples.sparkSession
+    samples = samples.where(F.size("refs") > 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    starts = F.sequence(F.lit(0), F.size("refs") - 1, F.lit(TOGETHER))
+    dealt = samples.select("id", "hyp", "refs", F.explode(starts).alias("at")).select("id", "at", "hyp", F.slice("refs", F.col("at") + 1, F.lit(TOGETHER)).alias("refs")).repartition(parts, "id", "at")
+    refs = dealt.select("id", "at", F.posexplode("refs").alias("ref_idx", "tokens")).withColumn("ref_idx", F.col("ref_idx") + F.col("at"))
+
+    frequent = _grams(refs.select("id", "tokens"), n).select("id", "gram").distinct().groupBy(F.xxhash64("gram").alias("h"), "gram").agg(F.count("*").alias("df")).where("df > 1")
+
+    held = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("ref_idx"), F.col("hyp").alias("tokens"))), F.transform("refs", lambda t, i: F.struct((i + F.col("at")).alias("ref_idx"), t.alias("tokens"))))
+    texts = dealt.select("id", "at", F.inline(held))
+    counts = _grams(texts, n).groupBy("id", "at", "ref_idx", "n", "gram").agg(F.count("*").alias("tf")).withColumn("h", F.xxhash64("gram"))
+    same = Window.partitionBy("h", "gram", "id", "at")
+    counts = counts.withColumn("cand", F.max(F.when(F.col("ref_idx").isNull(), F.col("tf"))).over(same)).where("ref_idx is not null or at = 0")
+    common = F.least("cand", "tf") * F.col("tf")
+    counts = counts.select("id", "ref_idx", "n", "h", "gram", (F.col("tf") * F.col("tf")).alias("own"), F.when(F.col("ref_idx").isNotNull() & F.col("cand").isNotNull(), common).otherwise(0).alias("common"))
+    idf = F.ln(F.lit(float(many))) - F.ln(F.coalesce(F.col("df").cast("double"), F.lit(1.0)))
+    sums = counts.join(frequent, ["h", "gram"], "left").withColumn("idf2", idf * idf).groupBy("id", "ref_idx", "n").agg(F.sqrt(F.sum(F.col("own") * F.col("idf2"))).alias("norm"), F.sum(F.col("common") * F.col("idf2")).alias("dot"))
+
+    # from here on there are a few rows for each text
+    norm_c = F.max(F.when(F.col("ref_idx").isNull(), F.col("norm"))).over(Window.partitionBy("id", "n"))
+    sums = sums.withColumn("norm", F.col("norm") * F.coalesce(norm_c, F.lit(0.0))).where("ref_idx is not null")
+    length = lambda t: F.greatest(F.size(t) - 1, F.lit(0))
+    both = samples.select("id", length(F.col("hyp")).alias("len_c"), F.posexplode(F.transform("refs", length)).alias("ref_idx", "len_r"))
+    sims = sums.join(both, ["id", "ref_idx"]).withColumn("sim", F.when(F.col("norm") != 0, F.col("dot") / F.col("norm")).otherwise(F.col("dot")) * F.exp(-F.pow(F.col("len_c") - F.col("len_r"), F.lit(2)) / (2 * sigma * sigma)))
+    out = samples.select("id", F.size("refs").alias("refs")).join(sims.groupBy("id").agg(F.sum("sim").alias("sim")), "id", "left")
+    return out.select("id", (scale * F.coalesce("sim", F.lit(0.0)) / n / F.col("refs")).alias("cider_d"))
+
+
 def corpus_score(sentences: DataFrame) -> DataFrame:
     return sentences.agg(F.avg("cider_d").alias("cider_d"))
 

@@ -77,9 +77,10 @@ _BATCHES = 4
 
 def _streamed(spark, sf_dir):
     """A running consensus after a stream of the conversations' samples and its end."""
-    cand, refs = _multi(spark, sf_dir)
-    refs = refs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda x: x["text"]).alias("refs"))
-    samples = cand.withColumnRenamed("text", "hyp").join(refs, "id")
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text")))
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
+    samples = turns(spark, sf_dir).where("conv_id is not null").groupBy(F.col("conv_id").alias("id")).agg(last.alias("x"), said.alias("y")).where("x is not null and size(y) > 0")
+    samples = samples.select("id", F.col("x.text").alias("hyp"), F.transform("y", lambda u: u["text"]).alias("refs"))
     state = running.RunningConsensus(spark)
     running.done(state.attach(running.in_batches(spark, samples, f"{state.at}/input", _BATCHES), availableNow=True))
     return state

@@ -78,3 +78,28 @@ def test_own_frequencies_are_not_counted_for_the_check(spark, monkeypatch):
     assert "Aggregate" not in looked[0]._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError, match="no words"):
         consensus.sentence_scores(cand, refs.withColumn("text", F.lit(" ")))
+
+
+def test_a_batch_is_not_one_file_and_grams_travel_once(spark, tmp_path):
+    state = running.RunningConsensus(spark, str(tmp_path / "state"))
+    running.done(state.attach(running.in_batches(spark, samples(spark), str(tmp_path / "in"), 1), availableNow=True))
+    assert len(list((tmp_path / "in").glob("part-*.parquet"))) > 1
+    plan = state.scores()._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= sum("Exchange hashpartitioning" in line and "gram" in line for line in plan.splitlines()) <= 4
+
+
+def test_many_references_and_tokens_with_blanks(spark, tmp_path, monkeypatch):
+    """A sample that is dealt to several tasks; grams whose tokens are the same only when put together."""
+    monkeypatch.setattr(consensus, "TOGETHER", 2)
+    commas = lambda text: F.split(text, ",")
+    texts = ["a b,c,d", "a,b c,d", "a b,c", "a\\,_b,c", "a\\_,b,c", "a_b,c d", "d,a b,c"]
+    rows = [(k, texts[k % 7], [texts[(k + j) % 7] for j in range(k)]) for k in range(9)]
+    s = spark.createDataFrame(rows, "id long, hyp string, refs array<string>")
+    state = running.RunningConsensus(spark, str(tmp_path), tokenize=commas)
+    state.update(s.where("id < 5"), 0)
+    state.update(s.where("id >= 5"), 1)
+    s = s.where("id > 0")
+    refs = s.select("id", F.posexplode("refs").alias("ref_idx", "text"))
+    plain = consensus.sentence_scores(s.select("id", F.col("hyp").alias("text")), refs, tokenize=commas)
+    shown = lambda df: sorted((r["id"], round(r["cider_d"], 9)) for r in df.collect())
+    assert shown(state.scores()) == shown(plain) and len(shown(plain)) == 8
