@@ -91,3 +91,22 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     out = [r for r in rows if r["held_out"]]
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in out]) >= 0.97
+
+
+def test_pieces_that_do_not_agree_are_not_parsed_again(monkeypatch):
+    """One odd text among others adds no steps beyond those of two pieces; what comes out doesn't depend on how many go one by one."""
+    rng = random.Random(5)
+    whole = "".join(rng.choice("ab") for _ in range(900))
+    words = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(120)) for _ in range(6)]
+    by = {"x": ([whole], [whole]), "y": (["abcd " * 40 + words[0]], [words[1]]), "z": (["ba dc " * 9 + "é" * 40], ["cab"])}
+    model = langid.build(by)
+    texts = [model.encode(t) for t in (whole, whole[3:700] + words[2] + whole[5:800], "abcd" * 200, words[3] + "ba dc " * 90, "é" * 300, "ab" * 300 + whole[:200] * 3, "q" * 200, words[4])]
+    want = [[greedy(t.tolist(), model.encode(" ".join(by[k][0])).tolist()) for k in model.languages] for t in texts]
+    steps, real = [], langid.Model._step
+    monkeypatch.setattr(langid.Model, "_step", lambda self, *a: (steps.append(1), real(self, *a))[1])
+    for piece in (1, 4, 16, 64):
+        for few in (0, 3, 10**9):
+            monkeypatch.setattr(langid, "FEW", few)
+            steps.clear()
+            assert model.phrases(texts, piece).tolist() == want
+            assert len(steps) <= 2 * piece
